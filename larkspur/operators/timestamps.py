@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import timeparse
+from larkspur.plans.ship import ship
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _INTERVAL = T.ArrayType(
@@ -95,7 +96,12 @@ def zone_intervals(spark: SparkSession, zones: list[str], first_year: int = 1970
     return spark.createDataFrame(rows, schema)
 
 
-@F.arrow_udf("base_us long, off_s int, place string")
+_PARSED = T.StructType(
+    [T.StructField("base_us", T.LongType()), T.StructField("off_s", T.IntegerType()), T.StructField("place", T.StringType())]
+)
+
+
+@F.arrow_udf(_PARSED)
 def _parsed(texts: pa.Array, month_first: pa.Array) -> pa.Array:
     return timeparse.parse(texts, month_first)
 
@@ -117,6 +123,7 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     numeric offset wins over a bracketed zone name beside it.  An abbreviation
     is looked up in the server's zone.
     """
+    ship(df.sparkSession)
     spark = df.sparkSession
     real = sorted(available_timezones())
     zones = [r.zone for r in servers.select("zone").distinct().filter(F.col("zone").isin(real)).collect()]
@@ -157,4 +164,4 @@ def instants(df: DataFrame, source_table: str, key: str, text: str, servers: Dat
     """
     slim = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("_text"), F.col(server_id).alias("server_id"))
     out = with_utc_micros(slim, "_text", "utc_us", servers).filter(F.col("utc_us").isNotNull())
-    return out.groupBy("row_key", "utc_us").agg().select(F.lit(source_table).alias("source_table"), "row_key", "utc_us")
+    return out.select("row_key", "utc_us").distinct().select(F.lit(source_table).alias("source_table"), "row_key", "utc_us")
