@@ -62,7 +62,7 @@ def _emit(names: list, group: np.ndarray, mean: np.ndarray, weight: np.ndarray,
     )
 
 
-def centroids(df: DataFrame, group: str, value: str, delta: int = 200, weight: str | None = None) -> DataFrame:
+def centroids(df: DataFrame, group: str, value: str, delta: int = 400, weight: str | None = None) -> DataFrame:
     """Per-partition centroids ``grp, mean, weight, lo, hi``: the map side of a digest, without a shuffle.
 
     Null and NaN values and null groups take no part.
@@ -110,7 +110,7 @@ def _recluster(df: DataFrame, keys: list[str], delta: int) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(merge, f"{schema}, {_CENTROIDS}")
 
 
-def merge_digests(parts: DataFrame, delta: int = 200) -> DataFrame:
+def merge_digests(parts: DataFrame, delta: int = 400) -> DataFrame:
     """One digest per ``grp`` from centroid rows of any number of partitions, files or days.
 
     Two levels: a task meets at most ``delta + 1`` centroids from each of 1/64 of
@@ -187,7 +187,7 @@ def certified(df: DataFrame, group: str, value: str, ests: DataFrame, qs: Sequen
     return x.withColumn("rank_error", error)
 
 
-def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], delta: int = 200, weight: str | None = None) -> DataFrame:
+def percentiles(df: DataFrame, group: str, value: str, qs: Sequence[float], delta: int = 400, weight: str | None = None) -> DataFrame:
     """Percentiles per group with their certified rank error; see ``certified`` for the columns."""
     stored = digest_rows(merge_digests(centroids(df, group, value, delta, weight), delta))
     ests = cut(estimates(stored, qs))

@@ -202,7 +202,7 @@ def pack(sizes: DataFrame, capacity: int, rounds: int = _ROUNDS) -> DataFrame:
     c = F.col
     whole = sizes.withColumn("full", F.floor(c("n_tokens") / F.lit(capacity)).cast("int"))
     alone = whole.filter("full > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0), c("full") - 1)).cast("long").alias("piece"), F.lit(capacity).cast("long").alias("n_tokens")
+        "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), c("full").cast("long") - 1)).alias("piece"), F.lit(capacity).cast("long").alias("n_tokens")
     )
     alone = alone.select("*", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container"), F.lit(capacity).cast("long").alias("fill"))
     rest = whole.select("doc_id", c("full").cast("long").alias("piece"), (c("n_tokens") - c("full") * capacity).alias("size"))

@@ -5,15 +5,88 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larkspur.llm.digest import centroid_rows, centroids, certified, digest_rows, estimates, merge_digests, percentiles
 from larkspur.llm.leakage import leaked_items
+from larkspur.llm.packing import pack, token_counts
+from larkspur.llm.subjects import subject_areas
+from larkspur.plans.materialize import cut
 from larkspur.sources.tables import table
 
+#: Percentiles reported per weapon class.
+QS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+#: Tokens of a container.
+CAPACITY = 2048
+#: Events of one arrival block: stands for a day's or a file's share of the log.
+ARRIVAL_BLOCK = 100_000
+
+
+def _distances(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """``weapon, distance, n`` (and ``extra``): measured distances of distinct events, equal ones counted together."""
+    kills = table(spark, d, "kill_events").distinct().filter("distance >= 0")
+    weapon = F.lower(F.regexp_replace("killer_weapon", r"^\s+|\s+$", ""))
+    kills = kills.withColumn("weapon", F.when(F.coalesce(weapon, F.lit("")) == "", F.lit("unspecified")).otherwise(weapon))
+    kills = kills.withColumn("block", F.floor(F.coalesce("id", F.lit(0)) / F.lit(float(ARRIVAL_BLOCK))))
+    return kills.groupBy("weapon", "distance", *extra).agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of the measured distance per weapon class with their certified rank error."""
+    out = percentiles(_distances(spark, d), "weapon", "distance", QS, weight="n")
+    return out.withColumnRenamed("grp", "weapon")
+
+
+def p2_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same from one stored digest per weapon class and arrival block, merged afterwards."""
+    parts = _distances(spark, d, "block").withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
+    stored = digest_rows(merge_digests(centroids(parts, "key", "distance", weight="n")))
+    again = centroid_rows(stored).withColumn("grp", F.expr("substr(grp, instr(grp, '|') + 1)"))
+    ests = cut(estimates(digest_rows(merge_digests(again)), QS))
+    return certified(_distances(spark, d), "weapon", "distance", ests, QS, "n").withColumnRenamed("grp", "weapon")
+
+
+def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What a digest keeps exactly: number, least and greatest measured distance per weapon class."""
+    rows = digest_rows(merge_digests(centroids(_distances(spark, d), "weapon", "distance", weight="n")))
+    return rows.select(F.col("grp").alias("weapon"), "n", F.col("lo").cast("long").alias("least"), F.col("hi").cast("long").alias("greatest"))
+
+
+P2_RANGES_SQL = """
+SELECT coalesce(nullif(lower(regexp_replace(killer_weapon, '^\\s+|\\s+$', '', 'g')), ''), 'unspecified') AS weapon,
+       count(*) AS n, min(distance) AS least, max(distance) AS greatest
+FROM (SELECT DISTINCT * FROM kill_events) WHERE distance >= 0 GROUP BY 1
+"""
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document (or piece of one over 2,048 tokens) with its container and the container's fill."""
+    return pack(token_counts(table(spark, d, "documents")), CAPACITY)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by fill in steps of 64 tokens."""
+    one = p8_containers(spark, d).groupBy("container").agg(F.first("fill").alias("fill"), F.count(F.lit(1)).alias("pieces"))
+    return one.groupBy((F.floor(F.col("fill") / 64) * 64).alias("fill_from")).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("fill").alias("tokens")
+    )
+
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "exam_items")).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p9_found,)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(*(table(spark, d, n) for n in ("documents", "subject_areas", "subject_labels")))
+
+
+def p10_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject area: the composition of the corpus."""
+    return p10_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p2_percentiles, p2_merged_blocks, p2_ranges, p8_containers, p8_fill, p9_found, p10_found, p10_mix)
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_ranges": P2_RANGES_SQL}
