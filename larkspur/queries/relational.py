@@ -5,7 +5,6 @@ An entry is one text when both engines take it, or a pair (dialect text, DuckDB
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "from_less_select": "SELECT 1 + 2 AS three, 'x' || 'y' AS xy",
     "values_source": "SELECT a, b FROM (VALUES (1, 'one'), (2, 'two'), (3, NULL)) AS v(a, b)",
     "derived_table": "SELECT d.seg, d.n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) d WHERE d.n > 10",
-    "project_expr": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM lineitem",
+    "project_expr": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem",
     "star_and_expr": "SELECT *, n_nationkey * 2 AS twice FROM nation",
     "unary_not": "SELECT o_orderkey, -o_totalprice AS neg FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 5000)",
     "case_when": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS size, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f FROM orders",
@@ -54,7 +53,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "trim_substr": "SELECT p_partkey, trim(LEADING 's' FROM p_name) AS l, trim(TRAILING 'g' FROM p_name) AS t, trim(BOTH 'e' FROM p_name) AS b, substring(p_name FROM 2 FOR 3) AS s FROM part",
     "str_funcs": "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS lo, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '#', '-') AS r, CAST(instr(c_name, '#') AS BIGINT) AS i, substr(c_name, 3, 4) AS s, c_name || '/' || c_mktsegment AS j FROM customer",
     "octet_length": ("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(text) AS BIGINT) AS bytes FROM documents", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents"),
-    "math_funcs": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(l_discount - l_tax) AS a, round(sqrt(l_quantity), 6) AS q, round(power(l_discount, 2), 6) AS p, CAST(ceil(l_extendedprice) AS DOUBLE) AS c, CAST(floor(l_extendedprice) AS DOUBLE) AS f, CAST(sign(l_discount - l_tax) AS INT) AS s FROM lineitem",
+    "math_funcs": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(l_discount - l_tax) AS a, round(sqrt(l_quantity), 6) AS q, l_discount * l_discount AS p, round(power(l_quantity, 2), 2) AS sq, CAST(ceil(l_extendedprice) AS DOUBLE) AS c, CAST(floor(l_extendedprice) AS DOUBLE) AS f, CAST(sign(l_discount - l_tax) AS INT) AS s FROM lineitem",
     "integer_division": ("SELECT o_orderkey, o_custkey DIV 7 AS q, o_custkey % 7 AS r, o_custkey / 7 AS x FROM orders", "SELECT o_orderkey, o_custkey // 7 AS q, o_custkey % 7 AS r, o_custkey / 7 AS x FROM orders"),
     "date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d FROM orders",
     "date_format": ("SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd HH:mm') AS f FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS f FROM orders"),
@@ -132,7 +131,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "groups_sum": "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM part",
     "window_total": "SELECT n_nationkey, CAST(sum(n_nationkey) OVER () AS BIGINT) AS total, min(n_name) OVER (PARTITION BY n_regionkey) AS first_name FROM nation",
     "ntile_nth": "SELECT s_suppkey, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS q, round(percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 6) AS p, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 6) AS c FROM supplier",
-    "qualify_top": ("SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3", "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3"),
+    "qualify_top": "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3",
     # order, limit
     "order_multi_nulls": "SELECT id, killer_uid, distance FROM kill_events ORDER BY killer_uid ASC NULLS LAST, distance DESC NULLS FIRST, id",
     "order_expr_position": "SELECT p_partkey, p_size * 2 AS s FROM part ORDER BY 2 DESC, 1",
@@ -189,9 +188,5 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def _duck(text: str) -> str:
-    return re.sub(r"\s+", " ", text)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _run(t if isinstance(t, str) else t[0]) for n, t in TEXTS.items()}
-SQL: dict[str, str] = {n: _duck(t if isinstance(t, str) else t[1]) for n, t in TEXTS.items()}
+SQL: dict[str, str] = {n: t if isinstance(t, str) else t[1] for n, t in TEXTS.items()}
