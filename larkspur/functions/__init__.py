@@ -1 +1 @@
-"""larkspur.functions"""
+"""Scalar functions: expressions, parsing, the embedded language."""

@@ -89,8 +89,8 @@ def concat_null_text(*parts: Column) -> Column:
 def char_codes(*codes: Column) -> Column:
     """Text of Unicode code points (Spark's ``char`` stops at 255)."""
     def one(n: Column) -> Column:
-        high = F.concat(F.lpad(F.hex(n.cast("long")), 8, "0"))
-        return F.decode(F.unhex(high), F.lit("UTF-32"))
+        high = F.lpad(F.hex(n.cast("long")), 8, "0")
+        return F.decode(F.unhex(high), "UTF-32")
 
     return F.concat(*[F.when((c < 0) | (c > 0x10FFFF), F.lit("")).otherwise(one(c)) for c in codes])
 

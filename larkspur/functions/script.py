@@ -12,13 +12,17 @@ Trigonometry is in radians.
 from __future__ import annotations
 
 import math
+import random as _random
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.plans.ship import ship
+
 _LEX = re.compile(r"""\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|"((?:[^"]|"")*)"|'((?:[^']|'')*)'|([A-Za-z_]\w*)|(\|\||&&|==|!=|>=|<=|[-+*/%^<>!(),\[\]]))""")
 
 
@@ -273,8 +277,6 @@ def evaluate(expression: str | Node, variables: Mapping[str, object] | None = No
     """Python value of an expression; an error or an unknown variable gives None."""
     node = parse(expression) if isinstance(expression, str) else expression
     named = {k.lower(): v for k, v in (variables or {}).items()}
-    import random as _random
-
     half = lambda x: math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
     unary: dict[str, Callable] = {
         "sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "abs": abs, "exp": math.exp, "ln": math.log, "log": math.log10, "log10": math.log10,
@@ -328,7 +330,8 @@ def _number(x: object) -> float:
 
 def evaluate_column(expression: Column) -> Column:
     """Evaluate expressions that stand in a text column; results as text, null where they fail."""
-    import pandas as pd
+    if session := SparkSession.getActiveSession():
+        ship(session)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

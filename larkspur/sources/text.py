@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import gear
 from larkspur.plans.catalog import sql_type
+from larkspur.plans.ship import ship
 
 #: Array elements in a CSV field.
 LIST_SEP = ";"
@@ -94,10 +96,6 @@ def array_literal(text: str) -> object:
 
 def literal_to_json(df: DataFrame, column: str, out: str) -> DataFrame:
     """Append ``out``: a column of array-notation literals as JSON text; null where it cannot be read."""
-    import pandas as pd
-
-    from larkspur.plans.ship import ship
-
     ship(df.sparkSession)
 
     @F.pandas_udf("string")

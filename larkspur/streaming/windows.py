@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,8 +62,6 @@ def running_totals(stream: DataFrame, ts: str, key: str, value: str, late: str =
 
     State is two numbers per key, whatever the number of rows.
     """
-    import pandas as pd
-
     def step(k: tuple, frames, state):  # noqa: ANN001, ANN202
         n, total = state.get if state.exists else (0, 0.0)
         for f in frames:
