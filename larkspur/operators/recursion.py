@@ -12,17 +12,16 @@ from larkspur.plans.materialize import cut
 def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
     """Least fixpoint of ``seed`` under ``step`` as a set; ends on cycles too.
 
-    Semi-naive: a round expands only the rows that the last one added.  Every
-    round is written to shared storage, so the plan does not grow and a lost
-    executor does not lose the state.  More than ``max_rounds`` is an error.
+    Semi-naive: a round expands only the rows that the last one added, and only
+    those are written to shared storage (once each), so a lost executor does not
+    lose the state; what is known is the union of the written rounds.  More than
+    ``max_rounds`` is an error.
     """
     front = cut(seed.distinct())
     seen = front
     for _ in range(max_rounds):
-        grown = step(front).toDF(*seed.columns).distinct()
-        new = grown.exceptAll(grown.intersect(seen))
-        front = cut(new)
+        front = cut(step(front).toDF(*seed.columns).subtract(seen))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionAll(front))
+        seen = seen.unionAll(front)
     raise RecursionError(f"the recursion did not end within {max_rounds} rounds")

@@ -14,6 +14,7 @@ rows; there are fewer than 700 IANA zones and 200 years, whatever the data size.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from larkspur.functions import timeparse
 from larkspur.plans.ship import ship
 
+#: Most zone names that a server table may hold (there are fewer than 700).
+MAX_ZONES = 1000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _INTERVAL = T.ArrayType(
     T.StructType(
@@ -125,8 +128,9 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     """
     ship(df.sparkSession)
     spark = df.sparkSession
-    real = sorted(available_timezones())
-    zones = [r.zone for r in servers.select("zone").distinct().filter(F.col("zone").isin(real)).collect()]
+    zones = [r.zone for r in servers.select("zone").distinct().limit(MAX_ZONES + 1).collect() if r.zone]
+    if len(zones) > MAX_ZONES:
+        raise ValueError(f"more than {MAX_ZONES} different zones")
     place = servers.groupBy(F.col("server_id").alias("_ts_server")).agg(
         F.first("zone", True).alias("_ts_zone"), F.first("date_order", True).alias("_ts_order")
     )
@@ -157,11 +161,20 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     return x.select(*[c(f"`{k}`") for k in df.columns], (c("_base") - offset * 1_000_000).alias(out))
 
 
-def instants(df: DataFrame, source_table: str, key: str, text: str, servers: DataFrame, server_id: str = "server_id") -> DataFrame:
-    """``source_table, row_key, utc_us`` of every row whose ``text`` names exactly one instant.
+def instants(fields: Iterable[tuple[str, DataFrame, str, str]], servers: DataFrame, server_id: str = "server_id") -> DataFrame:
+    """``source_table, row_key, utc_us`` of every value that names exactly one instant.
 
-    Repeated rows give one row; rows with a null key are kept with a null ``row_key``.
+    ``fields`` gives ``(name, table, key column, text column)``; all are parsed
+    and resolved in one pass.  Repeated rows give one row; rows with a null key
+    are kept with a null ``row_key``.
     """
-    slim = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("_text"), F.col(server_id).alias("server_id"))
+    slim: DataFrame | None = None
+    for name, table, key, text in fields:
+        one = table.select(
+            F.lit(name).alias("source_table"), F.col(key).cast("string").alias("row_key"), F.col(text).alias("_text"), F.col(server_id).alias("server_id")
+        )
+        slim = one if slim is None else slim.unionByName(one)
+    if slim is None:
+        raise ValueError("no fields given")
     out = with_utc_micros(slim, "_text", "utc_us", servers).filter(F.col("utc_us").isNotNull())
-    return out.select("row_key", "utc_us").distinct().select(F.lit(source_table).alias("source_table"), "row_key", "utc_us")
+    return out.select("source_table", "row_key", "utc_us").distinct()

@@ -97,12 +97,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    servers = table(spark, d, "game_servers")
-    out = None
-    for name, key, field in STAMPED:
-        part = instants(table(spark, d, name), name, key, field, servers)
-        out = part if out is None else out.unionByName(part)
-    return out
+    fields = [(name, table(spark, d, name), key, field) for name, key, field in STAMPED]
+    return instants(fields, table(spark, d, "game_servers"))
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_clashing_columns_and_repeats(spark):
     data, servers = frames(spark)
     odd = data.withColumn("zone", F.lit("x")).withColumn("spans", F.lit(1)).withColumn("base_us", F.lit(0))
     assert with_utc_micros(odd, "ts", "u", servers).columns == [*odd.columns, "u"]
-    twice = instants(data.unionAll(data), "t", "id", "ts", servers)
+    twice = instants([("t", data.unionAll(data), "id", "ts")], servers)
     assert twice.count() == sum(w is not None for _, _, w in CASES)
 
 
