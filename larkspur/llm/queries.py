@@ -28,7 +28,8 @@ def _distances(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     weapon = F.lower(F.regexp_replace("killer_weapon", r"^\s+|\s+$", ""))
     kills = kills.withColumn("weapon", F.when(F.coalesce(weapon, F.lit("")) == "", F.lit("unspecified")).otherwise(weapon))
     kills = kills.withColumn("block", F.floor(F.coalesce("id", F.lit(0)) / F.lit(float(ARRIVAL_BLOCK))))
-    return kills.groupBy("weapon", "distance", *extra).agg(F.count(F.lit(1)).alias("n"))
+    # Written once: both the clustering and the counting pass read the combined counts.
+    return cut(kills.groupBy("weapon", "distance", *extra).agg(F.count(F.lit(1)).alias("n")))
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -39,11 +40,12 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The same from one stored digest per weapon class and arrival block, merged afterwards."""
-    parts = _distances(spark, d, "block").withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
+    counted = _distances(spark, d, "block")
+    parts = counted.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
     stored = digest_rows(merge_digests(centroids(parts, "key", "distance", weight="n")))
     again = centroid_rows(stored).withColumn("grp", F.expr("substr(grp, instr(grp, '|') + 1)"))
     ests = cut(estimates(digest_rows(merge_digests(again)), QS))
-    return certified(_distances(spark, d), "weapon", "distance", ests, QS, "n").withColumnRenamed("grp", "weapon")
+    return certified(counted, "weapon", "distance", ests, QS, "n").withColumnRenamed("grp", "weapon")
 
 
 def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
