@@ -94,7 +94,8 @@ def orphans(
     found: DataFrame | None = None
     for ref in refs:
         rows = _refs(tables[ref.child], ref, row_keys[ref.child], periods.get(ref.child))
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(parents[ref.parent], "key", "left_anti")
+        # The missing keys with their counts, written once: the hot keys, their split and the join all read them.
+        counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(parents[ref.parent], "key", "left_anti"))
         hit = _label(semi_join_split(rows, "key", counts.select("key"), hot_keys(counts, "key", "n")).distinct(), ref, "direct")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
@@ -110,7 +111,8 @@ def orphans(
         for ref in down:
             gone = front.filter(F.col("source_table") == ref.parent).select(F.col("row_key").alias("key")).distinct()
             rows = _refs(tables[ref.child], ref, row_keys[ref.child], periods.get(ref.child))
-            counts = rows.join(gone, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            # Counts first, so that the lookup of the gone parents meets each key once.
+            counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(gone, "key", "left_semi"))
             hit = _label(semi_join_split(rows, "key", counts.select("key"), hot_keys(counts, "key", "n")).distinct(), ref, "inherited")
             new = hit if new is None else new.unionByName(hit)
         known = found.select("source_table", "ref_field", "row_key", "missing_key")
