@@ -131,34 +131,34 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     zones = [r.zone for r in servers.select("zone").distinct().limit(MAX_ZONES + 1).collect() if r.zone]
     if len(zones) > MAX_ZONES:
         raise ValueError(f"more than {MAX_ZONES} different zones")
-    place = servers.groupBy(F.col("server_id").alias("_ts_server")).agg(
-        F.first("zone", True).alias("_ts_zone"), F.first("date_order", True).alias("_ts_order")
+    place = servers.groupBy(F.col("server_id").alias("_ls_ts_server")).agg(
+        F.first("zone", True).alias("_ls_ts_zone"), F.first("date_order", True).alias("_ls_ts_order")
     )
     c = F.col
-    x = df.join(F.broadcast(place), c(f"`{server_id}`") == c("_ts_server"), "left")
-    x = x.withColumn("_p", _parsed(c(f"`{text}`"), c("_ts_order") == "mdy"))
-    bracket = F.startswith(c("_p.place"), F.lit("["))
-    year = F.year(F.timestamp_micros(c("_p.base_us")))
+    x = df.join(F.broadcast(place), c(f"`{server_id}`") == c("_ls_ts_server"), "left")
+    x = x.withColumn("_ls_p", _parsed(c(f"`{text}`"), c("_ls_ts_order") == "mdy"))
+    bracket = F.startswith(c("_ls_p.place"), F.lit("["))
+    year = F.year(F.timestamp_micros(c("_ls_p.base_us")))
     x = x.select(
         *[c(f"`{k}`") for k in df.columns],
-        c("_p.base_us").alias("_base"),
-        c("_p.off_s").alias("_off"),
-        F.when(bracket, F.lit("")).otherwise(c("_p.place")).alias("_abbr"),
-        F.when(bracket, F.btrim(c("_p.place"), F.lit("[]"))).otherwise(c("_ts_zone")).alias("_zone"),
+        c("_ls_p.base_us").alias("_ls_base"),
+        c("_ls_p.off_s").alias("_ls_off"),
+        F.when(bracket, F.lit("")).otherwise(c("_ls_p.place")).alias("_ls_abbr"),
+        F.when(bracket, F.btrim(c("_ls_p.place"), F.lit("[]"))).otherwise(c("_ls_ts_zone")).alias("_ls_zone"),
         # Only values that the text leaves open take part in the as-of join.
-        F.when(c("_p.off_s").isNull(), year).alias("_year"),
+        F.when(c("_ls_p.off_s").isNull(), year).alias("_ls_year"),
     )
-    spans = zone_intervals(spark, zones).withColumnsRenamed({"zone": "_z", "local_year": "_y", "spans": "_spans"})
-    x = x.join(F.broadcast(spans), (c("_zone") == c("_z")) & (c("_year") == c("_y")), "left")
-    second = F.floor(c("_base") / F.lit(1_000_000.0)).cast("long")
-    hit = F.when(c("_abbr") == "", F.filter("_spans", lambda i: (i.lo <= second) & (second < i.hi))).otherwise(
-        F.filter("_spans", lambda i: i.abbr == c("_abbr"))
+    spans = zone_intervals(spark, zones).withColumnsRenamed({"zone": "_ls_z", "local_year": "_ls_y", "spans": "_ls_spans"})
+    x = x.join(F.broadcast(spans), (c("_ls_zone") == c("_ls_z")) & (c("_ls_year") == c("_ls_y")), "left")
+    second = F.floor(c("_ls_base") / F.lit(1_000_000.0)).cast("long")
+    hit = F.when(c("_ls_abbr") == "", F.filter("_ls_spans", lambda i: (i.lo <= second) & (second < i.hi))).otherwise(
+        F.filter("_ls_spans", lambda i: i.abbr == c("_ls_abbr"))
     )
-    x = x.withColumn("_hit", F.when(c("_off").isNull(), F.transform(hit, lambda i: i.off)))
-    only = F.when(F.array_min("_hit") == F.array_max("_hit"), F.array_min("_hit"))
-    only = F.when((c("_abbr") != "") | (F.size("_hit") == 1), only)
-    offset = F.coalesce(c("_off").cast("long"), only)
-    return x.select(*[c(f"`{k}`") for k in df.columns], (c("_base") - offset * 1_000_000).alias(out))
+    x = x.withColumn("_ls_hit", F.when(c("_ls_off").isNull(), F.transform(hit, lambda i: i.off)))
+    only = F.when(F.array_min("_ls_hit") == F.array_max("_ls_hit"), F.array_min("_ls_hit"))
+    only = F.when((c("_ls_abbr") != "") | (F.size("_ls_hit") == 1), only)
+    offset = F.coalesce(c("_ls_off").cast("long"), only)
+    return x.select(*[c(f"`{k}`") for k in df.columns], (c("_ls_base") - offset * 1_000_000).alias(out))
 
 
 def instants(fields: Iterable[tuple[str, DataFrame, str, str]], servers: DataFrame, server_id: str = "server_id") -> DataFrame:
