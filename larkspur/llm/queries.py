@@ -38,12 +38,34 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("grp", "weapon")
 
 
+def _block_digests(counted: DataFrame) -> DataFrame:
+    """Stored digests of every arrival block and weapon class, under the key ``block|weapon``."""
+    parts = counted.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
+    return digest_rows(merge_digests(centroids(parts, "key", "distance", weight="n")))
+
+
+def p2_digests(spark: SparkSession, d: str) -> DataFrame:
+    """One mergeable digest per arrival block and weapon class, with its percentiles and their certified rank errors.
+
+    ``points`` lists quantile, estimate and rank error; ``means`` and ``weights`` are
+    the centroids from which ``p2_merged_blocks`` merges any blocks.
+    """
+    counted = _distances(spark, d, "block")
+    stored = cut(_block_digests(counted))
+    keyed = counted.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
+    points = certified(keyed, "key", "distance", cut(estimates(stored, QS)), QS, "n")
+    points = points.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("q", "estimate", "rank_error"))).alias("points"))
+    x = stored.join(points, "grp").withColumn("bar", F.instr("grp", "|"))
+    return x.select(
+        F.expr("CAST(substr(grp, 1, bar - 1) AS bigint)").alias("block"), F.expr("substr(grp, bar + 1)").alias("weapon"),
+        "n", F.col("lo").alias("least"), F.col("hi").alias("greatest"), "points", "means", "weights",
+    )
+
+
 def p2_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The same from one stored digest per weapon class and arrival block, merged afterwards."""
+    """Percentiles per weapon class over all blocks, merged from the blocks' stored digests."""
     counted = _distances(spark, d, "block")
-    parts = counted.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
-    stored = digest_rows(merge_digests(centroids(parts, "key", "distance", weight="n")))
-    again = centroid_rows(stored).withColumn("grp", F.expr("substr(grp, instr(grp, '|') + 1)"))
+    again = centroid_rows(_block_digests(counted)).withColumn("grp", F.expr("substr(grp, instr(grp, '|') + 1)"))
     ests = cut(estimates(digest_rows(merge_digests(again)), QS))
     return certified(counted, "weapon", "distance", ests, QS, "n").withColumnRenamed("grp", "weapon")
 
@@ -88,7 +110,7 @@ def p10_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_percentiles, p2_merged_blocks, p2_ranges, p8_containers, p8_fill, p9_found, p10_found, p10_mix)
+    f.__name__: f for f in (p2_digests, p2_percentiles, p2_merged_blocks, p2_ranges, p8_containers, p8_fill, p9_found, p10_found, p10_mix)
 }
 
 SQL: dict[str, str] = {"p2_ranges": P2_RANGES_SQL}
