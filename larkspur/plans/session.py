@@ -180,7 +180,16 @@ class Session:
         return handler(sql, params)
 
     def _query(self, sql: str, params: dict | None = None) -> DataFrame:
-        return self.spark.sql(rewrite.to_spark(sql, self.profile), args=params or None)
+        text = rewrite.to_spark(sql, self.profile)
+        if self.profile == "ansi":
+            return self.spark.sql(text, args=params or None)
+        # Expressions take their overflow and error mode when they are analysed, which is now.
+        before = self.spark.conf.get("spark.sql.ansi.enabled")
+        self.spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            return self.spark.sql(text, args=params or None)
+        finally:
+            self.spark.conf.set("spark.sql.ansi.enabled", before)
 
     def _recursive(self, p: rewrite.RecursiveUnion) -> DataFrame:
         seed = self._query(p.seed)

@@ -155,6 +155,8 @@ def test_prepared_cursor_functions_hooks(s):
 def test_compat_glob(spark):
     c = Session(spark, "compat")
     assert rows(c.sql("SELECT 'abc' REGEXP 'a*' AS a, 'abc' REGEXP 'b*' AS b")) == [(True, False)]
+    assert rows(c.sql("SELECT 1 / 0 AS z, 9223372036854775807 + 1 AS w, CAST('x' AS INT) AS n")) == [(None, -(2**63), None)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 
 
 def test_copy(s):
