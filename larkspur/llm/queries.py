@@ -24,10 +24,16 @@ ARRIVAL_BLOCK = 100_000
 
 def _distances(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     """``weapon, distance, n`` (and ``extra``): measured distances of distinct events, equal ones counted together."""
-    kills = table(spark, d, "kill_events").distinct().filter("distance >= 0")
     weapon = F.lower(F.regexp_replace("killer_weapon", r"^\s+|\s+$", ""))
-    kills = kills.withColumn("weapon", F.when(F.coalesce(weapon, F.lit("")) == "", F.lit("unspecified")).otherwise(weapon))
-    kills = kills.withColumn("block", F.floor(F.coalesce("id", F.lit(0)) / F.lit(float(ARRIVAL_BLOCK))))
+    kills = table(spark, d, "kill_events").filter("distance >= 0")
+    # A repeated row agrees in its id and in the hash of all its columns; only what is needed travels.
+    kills = kills.select(
+        F.when(F.coalesce(weapon, F.lit("")) == "", F.lit("unspecified")).otherwise(weapon).alias("weapon"),
+        "distance",
+        F.floor(F.coalesce("id", F.lit(0)) / F.lit(float(ARRIVAL_BLOCK))).alias("block"),
+        "id",
+        F.xxhash64("*").alias("row_hash"),
+    ).distinct()
     # Written once: both the clustering and the counting pass read the combined counts.
     return cut(kills.groupBy("weapon", "distance", *extra).agg(F.count(F.lit(1)).alias("n")))
 
