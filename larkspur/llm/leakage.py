@@ -13,9 +13,11 @@ punctuation play no part.  For every document, in one pass over its whole text:
 3. *Banded alignment* of the retained regions, for all candidates of a batch at
    once, tells which words of the item really stand in the document.
 
-Words of an item that stand in a large share of the corpus are stock formulas;
-their document frequency is counted over all documents and they do not count
-towards a leak.
+Words of an item that stand in a large share of the corpus are stock formulas
+and do not count towards a leak.  Their frequency is counted over all documents,
+but in distinct surroundings, so that copies, reprints and versions of one text
+weigh once; and a stretch of ``PASSAGE`` words or more, a leak by itself, does
+not weigh at all, however many documents carry it.
 
 Broadcast bound: the item index (at most ``MAX_ITEM_CHARS`` characters, checked)
 goes to the workers, never anything that grows with the corpus.
@@ -45,6 +47,14 @@ JUMP = 24
 MARGIN = 48
 #: Regions of one document and item further apart than this are not one stretch.
 MAX_GAP = 400
+#: Item words of a connected stretch that is a leak by itself and never a formula.
+PASSAGE = 20
+#: Most item words in a row that may be missing (changed) inside such a stretch.
+CHANGED = 2
+#: Symbols on either side of a match that are its surroundings.
+AROUND = 1000
+#: Signatures of the surroundings (one shared is enough), and least hashes in each.
+SIGNATURES, HASHES = 10, 6
 #: Largest total length of all items that is sent to the workers.
 MAX_ITEM_CHARS = 50_000_000
 _SEP = 255
@@ -178,7 +188,7 @@ def _candidates(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, at: np.
 
 
 def _align(rows: np.ndarray, cols: np.ndarray, band: int) -> np.ndarray:
-    """Which symbols of every row text stand, in order, in its column text (banded edit distance).
+    """Where the symbols of every row text stand, in order, in its column text, or -1 (banded edit distance).
 
     ``rows`` is (n, L), ``cols`` is (n, L + band); cell (i, k) compares ``rows[i]``
     with ``cols[i + k]``.  Both ends of the column text are free; a run of foreign
@@ -203,13 +213,13 @@ def _align(rows: np.ndarray, cols: np.ndarray, band: int) -> np.ndarray:
         way[i] = np.where(best < down, np.where(walk <= best, 2, 3), np.where(over <= skip, 0, 1))
     k = best.argmin(axis=1)
     i = np.full(n, length - 1)
-    found = np.zeros((n, length), bool)
+    found = np.full((n, length), -1)
     live = np.arange(n)
     while len(live):
         step = way[i[live], live, k[live]]
         diagonal = live[step == 0]
         same = rows[diagonal, i[diagonal]] == cols[diagonal, i[diagonal] + k[diagonal]]
-        found[diagonal, i[diagonal]] = same
+        found[diagonal, i[diagonal]] = np.where(same, i[diagonal] + k[diagonal], -1)
         i[diagonal] -= 1
         up = live[step == 1]
         i[up] -= 1
@@ -221,8 +231,38 @@ def _align(rows: np.ndarray, cols: np.ndarray, band: int) -> np.ndarray:
     return found
 
 
+def _surroundings(codes: np.ndarray, begin: int, first: int, last: int, end: int) -> list[int]:
+    """Signatures of the text ``begin..end`` around the match ``first..last``; near copies share one of them."""
+    sides = [_grams(codes[max(begin, first - AROUND) : first]), _grams(codes[last + 1 : min(end, last + 1 + AROUND)])]
+    grams = np.concatenate(sides)
+    if not len(grams):
+        return [0] * SIGNATURES
+    with np.errstate(over="ignore"):
+        mixed = grams.astype(np.uint64) * np.uint64(11400714819323198485)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(13787848793156543929)
+        mixed ^= mixed >> np.uint64(32)
+        least = np.full(SIGNATURES * HASHES, np.iinfo(np.uint64).max)
+        np.minimum.at(least, (mixed >> np.uint64(32)) % np.uint64(len(least)), mixed)
+        odd = np.arange(1, 2 * HASHES, 2, dtype=np.uint64) * np.uint64(11400714819323198485)
+        return (least.reshape(SIGNATURES, HASHES) * odd).sum(axis=1).view(np.int64).tolist()
+
+
+def _formulaic(words: list[int]) -> list[int]:
+    """The words that do not belong to a stretch of ``PASSAGE`` item words with at most ``CHANGED`` in a row missing."""
+    w = np.asarray(words)
+    run = np.cumsum(np.diff(w, prepend=w[0]) > CHANGED + 1)
+    edge = np.flatnonzero(np.diff(run, prepend=-1))
+    span = np.maximum.reduceat(w, edge) - np.minimum.reduceat(w, edge) + 1
+    return w[span[run] < PASSAGE].tolist()
+
+
 def matches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) -> list[tuple[int, int, list[int]]]:
     """``(text number, item number, matched word numbers of the item)`` for a batch of whole texts."""
+    return [found[:3] for found in stretches(texts, index, bitmap)]
+
+
+def stretches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
+    """What ``matches`` gives, and the signatures of the text around each match."""
     raw = [_latin(t) if t else b"" for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     codes = CODES[np.frombuffer(b"".join(raw), np.uint8)]
@@ -266,32 +306,41 @@ def matches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) -> li
         c = (lo[group] + c_diag[group] - 8)[:, None] + np.arange(length + band)
         c_ok = (c >= edges[c_doc[group]][:, None]) & (c < edges[c_doc[group] + 1][:, None])
         cols = np.where(c_ok, codes[np.clip(c, 0, len(codes) - 1)], 253)
-        found = _align(rows, cols, band) & r_ok
-        for g, hit, span in zip(group.tolist(), found, r):
+        found = np.where(r_ok, _align(rows, cols, band), -1)
+        for g, place, span, c_at in zip(group.tolist(), found, r, c):
             word = index.word_of[span[: int(hi[g] - lo[g])]]
-            hit = hit[: len(word)]
+            place = place[: len(word)]
+            hit = place >= 0
             base = int(word[0])
             full = np.bincount(word - base)
             part = np.bincount(word[hit] - base, minlength=len(full))
             good = np.flatnonzero((part >= 0.7 * full) & (full > 0)) + base
             if len(good):
                 where = int(lo[g] + c_diag[g])
-                out.setdefault((int(c_doc[g]), int(c_item[g])), []).append((int(lo[g]), where, where + len(word), good))
+                of_good = c_at[place[hit & np.isin(word, good)]]
+                out.setdefault((int(c_doc[g]), int(c_item[g])), []).append((int(lo[g]), where, where + len(word), good, int(of_good[0]), int(of_good[-1])))
     result = []
     for (d, i), regions in out.items():
         regions.sort(key=lambda x: x[1])
-        chain, far = set(regions[0][3].tolist()), regions[0][2]
-        best = chain
-        for _, begin, end, good in regions[1:]:
-            chain = chain | set(good.tolist()) if begin - far <= MAX_GAP else set(good.tolist())
+        chain, far, first, last = set(regions[0][3].tolist()), *regions[0][2:3], *regions[0][4:]
+        best = chain, first, last
+        for _, begin, end, good, one, other in regions[1:]:
+            if begin - far <= MAX_GAP:
+                chain, first, last = chain | set(good.tolist()), min(first, one), max(last, other)
+            else:
+                chain, first, last = set(good.tolist()), one, other
             far = max(far, end)
-            best = max(best, chain, key=len)
-        result.append((d, i, sorted(best)))
+            best = max(best, (chain, first, last), key=lambda x: len(x[0]))
+        result.append((d, i, sorted(best[0]), _surroundings(codes, int(edges[d]), best[1], best[2], int(edges[d + 1]))))
     return result
 
 
 def item_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, words``: item words (numbers) that a document carries in one region chain."""
+    """``doc_id, item_id, words``: item words (numbers) that a document carries in one region chain.
+
+    ``formulaic`` are those of them that may belong to a formula, ``around`` the
+    signatures of the text next to the match.
+    """
     spark = docs.sparkSession
     ship(spark)
     total = items.agg(F.sum(F.length(item_text))).first()[0] or 0
@@ -305,18 +354,35 @@ def item_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         bitmap[_slot(index.grams)] = True
         for batch in batches:
             for ids, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = matches(texts, index, bitmap)
+                found = stretches(texts, index, bitmap)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[d] for d, _, _ in found], pa.int64()),
-                        pa.array([int(index.ids[i]) for _, i, _ in found], pa.int64()),
-                        pa.array([w for _, _, w in found], pa.list_(pa.int32())),
+                        pa.array([ids[d] for d, _, _, _ in found], pa.int64()),
+                        pa.array([int(index.ids[i]) for _, i, _, _ in found], pa.int64()),
+                        pa.array([w for _, _, w, _ in found], pa.list_(pa.int32())),
+                        pa.array([_formulaic(w) for _, _, w, _ in found], pa.list_(pa.int32())),
+                        pa.array([a for _, _, _, a in found], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "item_id", "words"],
+                    names=["doc_id", "item_id", "words", "formulaic", "around"],
                 )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return slim.mapInArrow(run, "doc_id long, item_id long, words array<int>")
+    return slim.mapInArrow(run, "doc_id long, item_id long, words array<int>, formulaic array<int>, around array<long>")
+
+
+def _contexts(pairs: DataFrame) -> DataFrame:
+    """``item_id, word, df``: in how many distinct surroundings a word stands in a formulaic stretch.
+
+    Matches of an item whose surroundings share a signature are copies of each
+    other; the least document among them stands for all.
+    """
+    alone = pairs.filter(F.size("formulaic") > 0)
+    one = alone.groupBy("item_id", "formulaic", "around").agg(F.min("doc_id").alias("doc_id"))
+    one = one.select("item_id", "formulaic", "doc_id", F.posexplode("around").alias("nth", "signature"))
+    leader = one.groupBy("item_id", "nth", "signature").agg(F.min("doc_id").alias("leader"))
+    led = one.join(leader, ["item_id", "nth", "signature"]).groupBy("item_id", "formulaic", "doc_id").agg(F.min("leader").alias("leader"))
+    words = led.select("item_id", "leader", F.explode("formulaic").alias("word")).distinct()
+    return words.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("df"))
 
 
 def leaked_items(
@@ -331,8 +397,10 @@ def leaked_items(
     """``doc_id, item_id, n_words`` of every document that carries at least ``min_words`` words of an item
     in order in one connected stretch, stock formulas not counted.
 
-    A word of an item is stock when it is matched in more than ``stock_share`` of
-    all documents (and in more than ``stock_floor``).  An item of which more than
+    A word of an item is stock when it is matched in more distinct surroundings
+    than ``stock_share`` of all documents (and than ``stock_floor``); copies of
+    one text weigh once, and a stretch of ``PASSAGE`` words or more (isolated
+    ones changed) weighs nothing, as it is a leak by itself.  An item of which more than
     ``stock_part`` would be stock is widely copied rather than formulaic, and all
     its words count.  A stretch ends where more
     than ``max_hole`` words of the item in a row are missing.  Null and empty
@@ -341,7 +409,7 @@ def leaked_items(
     """
     pairs = cut(item_matches(docs, items))
     limit = max(stock_floor, stock_share * docs.count())
-    common = pairs.select("item_id", F.explode("words").alias("word"), "doc_id").distinct().groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    common = _contexts(pairs)
     sizes = items.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.size(F.split(F.trim("text"), r"\s+"))).alias("size"))
     # One row per item at most, of at most MAX_ITEM_CHARS words in all.
     stock = common.filter(F.col("df") > limit).groupBy("item_id").agg(F.collect_set("word").alias("stock"))

@@ -97,3 +97,31 @@ def test_leak_far_inside_a_very_long_text(spark, words):
     docs = spark.createDataFrame([(1, "z9 " * 3_000_000 + item + " z9" * 200_000)], "doc_id long, text string")
     items = spark.createDataFrame([(5, item)], "item_id long, text string")
     assert [tuple(r) for r in leakage.leaked_items(docs, items).select("doc_id", "item_id").collect()] == [(1, 5)]
+
+
+def leaks(spark, docs, items):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, it).collect()}
+
+
+def test_a_passage_copied_into_a_third_of_the_documents_is_no_formula(spark, words):
+    stock = words(16)
+    items = [(1, words(91)), (2, f"{stock} {words(75)}"), (3, words(91))]
+    passage = " ".join(items[0][1].split()[40:70])
+    # Copies of one text, with some scanning errors: 20 words, of which the outer ones are changed.
+    torn = " ".join(items[2][1].split()[40:57])
+    copy = f"{words(150)} gone {torn} gone lost {words(150)}".split()
+    docs, want = [], set()
+    for d in range(300):
+        if d % 3 == 0:
+            docs.append((d, f"{words(90)} {passage} {words(90)}"))
+            want.add((d, 1))
+        elif d % 3 == 1:
+            docs.append((d, f"{words(90)} {stock} {words(90)}"))
+        else:
+            text = [*copy]
+            text[d % 140] = text[200 + d % 100] = "x"
+            docs.append((d, " ".join(text)))
+            want.add((d, 3))
+    assert leaks(spark, docs, items) == want
