@@ -5,8 +5,10 @@ look-alikes folded, everything else dropped), so layout, hyphenation, case and
 punctuation play no part.  For every document, in one pass over its whole text:
 
 1. *Q-gram filter.*  Shared q-grams of document and item are counted in
-   diagonal bands that overlap by half.  Seeds are the q-grams that stand once
-   in exactly one item, so phrases common to several items never seed.
+   diagonal bands that overlap by half.  Seeds are the q-grams that stand in one
+   place only, so phrases and formulas common to several items never seed.
+   Stretches of ``PASSAGE`` words or more that items share (equal items, near
+   copies) are one place, and their q-grams seed all of these items.
 2. *Edit budget.*  By the q-gram lemma a stretch of ``w`` symbols with ``e``
    changed words of length ``l`` keeps at least ``(w - q + 1) - e (l + q - 1)``
    q-grams; bands below the bound for the shortest reportable stretch drop out.
@@ -51,6 +53,8 @@ MAX_GAP = 400
 PASSAGE = 20
 #: Most item words in a row that may be missing (changed) inside such a stretch.
 CHANGED = 2
+#: Words in a row that two items must share to be compared.
+WINDOW = 5
 #: Symbols on either side of a match that are its surroundings.
 AROUND = 1000
 #: Signatures of the surroundings (one shared is enough), and least hashes in each.
@@ -113,6 +117,8 @@ class ItemIndex:
     starts: np.ndarray
     word_of: np.ndarray
     grams: np.ndarray
+    #: Where the places of every seed begin, and the places of all of them.
+    post: np.ndarray
     gram_at: np.ndarray
     bound: np.ndarray
 
@@ -122,6 +128,52 @@ def _slot(grams: np.ndarray) -> np.ndarray:
         return (grams * np.int64(-7046029254386353131)) >> np.int64(42) & np.int64((1 << 22) - 1)
 
 
+def _folded(text: str | None) -> list[np.ndarray]:
+    """The words of a text as symbols; words without any are left out."""
+    parts = (CODES[np.frombuffer(_latin(m[0]), np.uint8)] for m in re.finditer(r"\S+", text or ""))
+    return [p[p != _SEP] for p in parts if (p != _SEP).any()]
+
+
+def _places(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """For every word of all items the first word that it copies, itself if none.
+
+    Words are copies where two items share a stretch of ``PASSAGE`` words or more
+    with at most ``CHANGED`` in a row changed, found by their common windows of
+    ``WINDOW`` words.  All pairs of items that share a window are compared.
+    """
+    place = np.arange(len(words))
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return place
+    window = np.unique(np.lib.stride_tricks.sliding_window_view(words, WINDOW), axis=0, return_inverse=True)[1].reshape(-1)
+    inside = np.flatnonzero(item[:n] == item[WINDOW - 1 :])
+    order = inside[np.argsort(window[inside], kind="stable")]
+    pairs = []
+    for step in range(1, len(order)):
+        same = window[order[step:]] == window[order[:-step]]
+        if not same.any():
+            break
+        a, b = order[:-step][same], order[step:][same]
+        pairs.append(np.stack([a, b])[:, item[a] != item[b]])
+    if not pairs or not (both := np.concatenate(pairs, axis=1)).size:
+        return place
+    both = (both[:, :, None] + np.arange(WINDOW)).reshape(2, -1)
+    both = np.unique(both, axis=1)
+    a, b = both[:, np.lexsort((both[0], both[1] - both[0], item[both[1]], item[both[0]]))]
+    new = (np.diff(b - a, prepend=-1) != 0) | (np.diff(item[a], prepend=-1) != 0) | (np.diff(item[b], prepend=-1) != 0) | (np.diff(a, prepend=a[0]) > CHANGED + 1)
+    edge = np.flatnonzero(new)
+    last = np.concatenate([edge[1:], [len(a)]]) - 1
+    long = (a[last] - a[edge] + 1 >= PASSAGE)[np.cumsum(new) - 1]
+    a, b = a[long], b[long]
+    while True:
+        before = place.copy()
+        least = np.minimum(place[a], place[b])
+        np.minimum.at(place, a, least)
+        np.minimum.at(place, b, least)
+        if (place == before).all():
+            return place
+
+
 def build_index(items: list[tuple[int, str | None]], min_words: int = 9, changed: int = 1) -> ItemIndex:
     """Index ``(item_id, text)``; an item without letters or digits is kept but never matches.
 
@@ -130,34 +182,40 @@ def build_index(items: list[tuple[int, str | None]], min_words: int = 9, changed
     ``changed`` are changed, scaled by the item's share of seeds among its q-grams.
     """
     codes, word_of, starts = [np.zeros(0, np.uint8)], [np.zeros(0, np.int32)], [0]
-    lengths = []
+    lengths, counts, known = [], [], {}
+    names: list[int] = []
     for _, text in items:
-        word, size = 0, 0
-        for m in re.finditer(r"\S+", text or ""):
-            part = CODES[np.frombuffer(_latin(m[0]), np.uint8)]
-            part = part[part != _SEP]
-            if len(part):
-                codes.append(part)
-                word_of.append(np.full(len(part), word, np.int32))
-                word += 1
-                size += len(part)
+        parts = _folded(text)
+        codes += parts
+        word_of.append(np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]))
+        names += [known.setdefault(p.tobytes(), len(known)) for p in parts]
+        size = len(word_of[-1])
         starts.append(starts[-1] + size)
-        lengths.append(size / max(1, word))
+        counts.append(len(parts))
+        lengths.append(size / max(1, len(parts)))
     whole, edges = np.concatenate(codes), np.asarray(starts, np.int64)
     grams = _grams(whole)
     item = np.searchsorted(edges, np.arange(len(grams)), side="right") - 1
     inside = np.arange(len(grams)) + Q <= edges[item + 1]
     grams, at, item = grams[inside], np.flatnonzero(inside), item[inside]
+    place = _places(np.asarray(names, np.int64), np.repeat(np.arange(len(items)), counts))
+    begin = np.cumsum([0, *map(len, codes[1:])])
+    word = np.searchsorted(begin, at, side="right") - 1
+    canon = begin[place[word]] + at - begin[word] if len(at) else at
+    order = np.lexsort((at, grams))
+    grams, at, item, canon = grams[order], at[order], item[order], canon[order]
     value, first, times = np.unique(grams, return_index=True, return_counts=True)
-    once = first[times == 1]
+    one = np.minimum.reduceat(canon, first) == np.maximum.reduceat(canon, first) if len(first) else np.zeros(0, bool)
+    once = np.flatnonzero(np.repeat(one, times))
     per_item = np.bincount(item, minlength=len(items))
     seeds = np.bincount(item[once], minlength=len(items))
     mean = np.asarray(lengths) if items else np.zeros(0)
     lemma = (min_words * mean - Q + 1) - changed * (mean + Q - 1)
     bound = np.maximum(6, np.floor(lemma * seeds / np.maximum(1, per_item))).astype(np.int64)
     return ItemIndex(
-        np.asarray([i for i, _ in items], np.int64), whole, edges, np.concatenate(word_of), value[times == 1], at[once], bound
-    )
+        np.asarray([i for i, _ in items], np.int64), whole, edges, np.concatenate(word_of),
+        value[one], np.concatenate([[0], np.cumsum(times[one])]), at[once], bound,
+    )
 
 
 def _candidates(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, at: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, ...]:
@@ -281,7 +339,10 @@ def stretches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) ->
     at, k, doc = at[inside], k[inside], doc[inside]
     if not len(at):
         return []
-    place = index.gram_at[k]
+    times = index.post[k + 1] - index.post[k]
+    again = np.repeat(np.arange(len(k)), times)
+    place = index.gram_at[np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times) + index.post[k][again]]
+    at, doc = at[again], doc[again]
     item = np.searchsorted(index.starts, place, side="right") - 1
     c_doc, c_item, c_diag, c_lo, c_hi = _candidates(doc, item, at - place, place, index)
     if not len(c_doc):
@@ -347,18 +408,26 @@ def item_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     if total > MAX_ITEM_CHARS:
         raise ValueError(f"the items hold {total} characters; at most {MAX_ITEM_CHARS} can be indexed at once")
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL").distinct()
-    index = build_index(sorted((r.i, r.t or "") for r in rows.collect()))
+    # Items of one text are looked for once and all reported.
+    ids_of: dict[tuple[bytes, ...], list[int]] = {}
+    kept = []
+    for i, t in sorted((r.i, r.t or "") for r in rows.collect()):
+        ids_of.setdefault(key := tuple(p.tobytes() for p in _folded(t)), []).append(i)
+        if len(ids_of[key]) == 1:
+            kept.append((i, t))
+    index = build_index(kept)
+    equal = [list(dict.fromkeys(x)) for x in ids_of.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << 22, bool)
         bitmap[_slot(index.grams)] = True
         for batch in batches:
             for ids, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = stretches(texts, index, bitmap)
+                found = [(d, i, w, a) for d, n, w, a in stretches(texts, index, bitmap) for i in equal[n]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[d] for d, _, _, _ in found], pa.int64()),
-                        pa.array([int(index.ids[i]) for _, i, _, _ in found], pa.int64()),
+                        pa.array([i for _, i, _, _ in found], pa.int64()),
                         pa.array([w for _, _, w, _ in found], pa.list_(pa.int32())),
                         pa.array([_formulaic(w) for _, _, w, _ in found], pa.list_(pa.int32())),
                         pa.array([a for _, _, _, a in found], pa.list_(pa.int64())),

@@ -125,3 +125,16 @@ def test_a_passage_copied_into_a_third_of_the_documents_is_no_formula(spark, wor
             docs.append((d, " ".join(text)))
             want.add((d, 3))
     assert leaks(spark, docs, items) == want
+
+
+def test_items_that_share_their_text_are_all_found(spark, words):
+    stock, half = words(16), words(40)
+    near = words(70).split()
+    items = [(i, f"{stock} {words(60)}") for i in range(4)]
+    items += [(10, words(70)), (20, f"{half} {words(40)}"), (21, f"{words(40)} {half}"), (30, " ".join(near))]
+    near[15] = near[35] = near[55] = "changed"
+    items += [(31, " ".join(near)), (11, items[4][1].upper()), (12, items[4][1])]
+    text = dict(items)
+    docs = [(d, f"{words(60)} {piece} {words(60)}") for d, piece in enumerate((text[10], " ".join(text[10].split()[20:46]), half, text[30], text[21], stock, text[2]))]
+    want = {(d, i) for d in (0, 1) for i in (10, 11, 12)} | {(d, i) for d in (2, 4) for i in (20, 21)} | {(3, 30), (3, 31), (6, 2)}
+    assert leaks(spark, docs, items) == want
