@@ -315,7 +315,7 @@ def _formulaic(words: list[int]) -> list[int]:
 
 
 def matches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) -> list[tuple[int, int, list[int]]]:
-    """``(text number, item number, matched word numbers of the item)`` for a batch of whole texts."""
+    """``(text number, item number, matched word numbers of the item)`` of every region chain in a batch of whole texts."""
     return [found[:3] for found in stretches(texts, index, bitmap)]
 
 
@@ -384,20 +384,21 @@ def stretches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) ->
     for (d, i), regions in out.items():
         regions.sort(key=lambda x: x[1])
         chain, far, first, last = set(regions[0][3].tolist()), *regions[0][2:3], *regions[0][4:]
-        best = chain, first, last
+        chains = []
         for _, begin, end, good, one, other in regions[1:]:
             if begin - far <= MAX_GAP:
                 chain, first, last = chain | set(good.tolist()), min(first, one), max(last, other)
             else:
+                chains.append((chain, first, last))
                 chain, first, last = set(good.tolist()), one, other
             far = max(far, end)
-            best = max(best, (chain, first, last), key=lambda x: len(x[0]))
-        result.append((d, i, sorted(best[0]), _surroundings(codes, int(edges[d]), best[1], best[2], int(edges[d + 1]))))
+        for chain, first, last in [*chains, (chain, first, last)]:
+            result.append((d, i, sorted(chain), _surroundings(codes, int(edges[d]), first, last, int(edges[d + 1]))))
     return result
 
 
 def item_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, words``: item words (numbers) that a document carries in one region chain.
+    """``doc_id, item_id, words``: item words (numbers) that a document carries in one region chain, a row for every chain.
 
     ``formulaic`` are those of them that may belong to a formula, ``around`` the
     signatures of the text next to the match.

@@ -138,3 +138,12 @@ def test_items_that_share_their_text_are_all_found(spark, words):
     docs = [(d, f"{words(60)} {piece} {words(60)}") for d, piece in enumerate((text[10], " ".join(text[10].split()[20:46]), half, text[30], text[21], stock, text[2]))]
     want = {(d, i) for d in (0, 1) for i in (10, 11, 12)} | {(d, i) for d in (2, 4) for i in (20, 21)} | {(3, 30), (3, 31), (6, 2)}
     assert leaks(spark, docs, items) == want
+
+
+def test_a_longer_formula_elsewhere_does_not_hide_a_passage(spark, words):
+    stock = words(19)
+    item = f"{stock} {words(60)}"
+    passage = " ".join(item.split()[40:57])
+    docs = [(d, f"{words(60)} {stock} {words(200)}") for d in range(100)]
+    docs.append((100, f"{words(60)} {stock} {words(200)} {passage} {words(60)}"))
+    assert leaks(spark, docs, [(1, item), (2, words(80))]) == {(100, 1)}
