@@ -12,6 +12,7 @@ punctuation play no part.  For every document, in one pass over its whole text:
 2. *Edit budget.*  By the q-gram lemma a stretch of ``w`` symbols with ``e``
    changed words of length ``l`` keeps at least ``(w - q + 1) - e (l + q - 1)``
    q-grams; bands below the bound for the shortest reportable stretch drop out.
+   Neighbouring bands between which other matter may stand count together.
 3. *Banded alignment* of the retained regions, for all candidates of a batch at
    once, tells which words of the item really stand in the document.
 
@@ -218,6 +219,39 @@ def build_index(items: list[tuple[int, str | None]], min_words: int = 9, changed
     )
 
 
+def _chained(which: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Seeds of the fullest chain that a band pair is part of.
+
+    A pair of the same document and item (``which``) follows another if it comes
+    later in the document (``begin``), at most ``MAX_GAP`` symbols on, on another
+    diagonal, and goes on in the item at most ``MARGIN`` after the other.  They
+    may overlap there, as a chance seed of the band can widen them, but seeds of
+    one place that stand twice in the document do not count twice.
+    """
+    order = np.lexsort((begin, which))
+    w, b, lo, hi, t = which[order], begin[order], lo[order], hi[order], total[order]
+    end = b + hi - lo
+    reach = np.flatnonzero(np.concatenate([[False], (w[1:] == w[:-1])]) | np.concatenate([w[1:] == w[:-1], [False]]))
+    fore, back = t.copy(), t.copy()
+    links = []
+    for step in range(1, len(reach)):
+        i, j = reach[:-step], reach[step:]
+        same = w[i] == w[j]
+        if not same.any():
+            break
+        ok = same & (b[j] - end[i] <= MAX_GAP) & (b[j] - lo[j] - b[i] + lo[i] > 2 * HALF) & (lo[j] - hi[i] <= MARGIN) & (lo[j] - lo[i] > 2 * Q)
+        links.append(np.stack([i[ok], j[ok]]))
+    if links:
+        i, j = np.concatenate(links, axis=1)
+        for k in np.lexsort((i, j)).tolist():
+            fore[j[k]] = max(fore[j[k]], t[j[k]] + fore[i[k]])
+        for k in np.lexsort((j, i))[::-1].tolist():
+            back[i[k]] = max(back[i[k]], t[i[k]] + back[j[k]])
+    out = np.empty_like(total)
+    out[order] = fore + back - t
+    return out
+
+
 def _candidates(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, at: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, ...]:
     """Retained regions: ``doc, item, least diagonal of the band pair, first and last item position``."""
     band = diagonal // HALF
@@ -240,7 +274,7 @@ def _candidates(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray, at: np.
     lo = np.minimum(of(pair, first, 2**40), of(pair + 1, first, 2**40))
     hi = np.maximum(of(pair, last, -1), of(pair + 1, last, -1))
     which = pair // width
-    keep = total >= index.bound[which % len(index.ids)]
+    keep = _chained(which, lo + (pair % width + low) * HALF, lo, hi, total) >= index.bound[which % len(index.ids)]
     pair, which = pair[keep], which[keep]
     return which // len(index.ids), which % len(index.ids), (pair % width + low) * HALF, lo[keep], hi[keep] + Q
 

@@ -147,3 +147,19 @@ def test_a_longer_formula_elsewhere_does_not_hide_a_passage(spark, words):
     docs = [(d, f"{words(60)} {stock} {words(200)}") for d in range(100)]
     docs.append((100, f"{words(60)} {stock} {words(200)} {passage} {words(60)}"))
     assert leaks(spark, docs, [(1, item), (2, words(80))]) == {(100, 1)}
+
+
+def test_a_passage_interrupted_by_much_other_matter(spark, words):
+    items = [(1, words(91)), (2, words(91))]
+    w = [t.split() for _, t in items]
+    one = f"{' '.join(w[0][40:54])} {words(50)} {' '.join(w[0][54:60])}"
+    weak = [*w[1][30:40], *words(40).split(), *w[1][40:50]]
+    for k in (2, 6, 52, 56):
+        weak[k] = "changed"
+    docs = [(0, f"{words(90)} {one} {words(90)}"), (1, f"{words(90)} {' '.join(weak)} {words(90)}")]
+    index = leakage.build_index(items)
+    bitmap = np.zeros(1 << 22, bool)
+    bitmap[leakage._slot(index.grams)] = True
+    got = {(d, i): m for d, i, m in leakage.matches([t for _, t in docs], index, bitmap)}
+    assert set(range(42, 58)) <= set(got[0, 0])
+    assert leaks(spark, docs, items) == {(0, 1), (1, 2)}
