@@ -198,9 +198,8 @@ class Scorer:
         cells = [sent[rows] * self.n_classes + cols]
         loss = [np.log1p(-np.minimum(self.single[word][rows, cols], 0.99))]
         if len(self.pair_key):
-            for step in range(1, 12):
-                if step >= len(sent):
-                    break
+            # Until no two rule words of one sentence stand so far apart in its list.
+            for step in range(1, len(sent)):
                 near = np.flatnonzero(sent[step:] == sent[:-step])
                 if not len(near):
                     break

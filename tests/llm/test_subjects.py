@@ -57,3 +57,11 @@ def test_word_reading_agrees(words):
         assert [subjects.word_hash(w) for w in flat] == read.value[read.doc == d].tolist()
     assert "wordsbroken" in subjects.sentences(texts[0])[-2]
     assert len(np.unique(read.sentence[read.doc == 0])) == len(subjects.sentences(texts[0]))
+
+
+def test_pairs_of_a_long_sentence_all_count(words):
+    long = [f"{a}{b}{c}" for a in "bdfgk" for b in ("al", "er", "on") for c in ("ta", "mi")]
+    for i, x in enumerate(long):
+        for y in long[i + 1 :]:
+            scorer = subjects.Scorer(subjects.RuleSet(["s"], [((x, y), 0, 0.9)] + [((w,), 0, 0.0) for w in long]))
+            assert scorer.score([" ".join(long) + "."])[2].max() > 0.8
