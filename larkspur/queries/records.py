@@ -46,18 +46,18 @@ def _named_killer() -> Column:
 
 
 def p1_features(spark: SparkSession, d: str) -> DataFrame:
-    """One wide row per killer: per weapon class and over all, kills, headshots, summed distance, latest time."""
+    """One wide row per killer (0, the machine, included): per weapon class and over all, kills, headshots, summed distance, latest time."""
     raw = table(spark, d, "kill_events")
     types = [t for t in type_vocabulary(raw.select(_weapon().alias("w")).distinct(), "w") if t]
-    kills = _kills(spark, d).filter(_named_killer())
+    kills = _kills(spark, d).filter("killer_uid IS NOT NULL")
     kills = with_utc_micros(kills, "ts", "utc_us", table(spark, d, "game_servers"))
     kills = kills.withColumns({"killer_weapon": _weapon(), "distance": F.when(F.col("distance") >= 0, F.col("distance"))})
     return entity_features(kills, "killer_uid", "killer_weapon", types, "headshot", "distance", "utc_us")
 
 
 def p1_type_totals(spark: SparkSession, d: str) -> DataFrame:
-    """The features of p1 that need no clock, back in long form (one row per killer and class with kills)."""
-    wide = p1_features(spark, d)
+    """The features of p1 that need no clock, back in long form (one row per killer but 0 and class with kills)."""
+    wide = p1_features(spark, d).filter(_named_killer())
     types = [c[3:] for c in wide.columns if c.startswith("n__")]
     cells = F.array(
         *[
