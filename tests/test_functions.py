@@ -2,7 +2,7 @@ import json
 import math
 
 import pytest
-from conftest import rows
+from table_rows import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

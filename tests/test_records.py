@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from larkspur.operators.entity_features import entity_features, type_vocabulary

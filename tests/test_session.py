@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from table_rows import rows
 
 from larkspur.plans.catalog import CatalogError, ConstraintError
 from larkspur.plans.rewrite import SqlError, bind, split_statements, to_spark

@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-from conftest import rows
+from table_rows import rows
 
 from larkspur.functions import gear
 from larkspur.operators.shredding import gear_items

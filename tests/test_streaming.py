@@ -1,4 +1,4 @@
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from larkspur.streaming import windows
