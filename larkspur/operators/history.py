@@ -1,92 +1,138 @@
 """Versions of changing attributes with their period of validity.
 
-Gaps and islands: a row starts an island when its attributes differ from those
-of the row before (``lag`` on their hash); the running sum of the starts
-numbers the islands; the least time of an island opens its period and the start
-of the next one closes it.
-
-A key may hold a large share of all rows, so windows run per (key, time
-bucket).  What a bucket has to tell the others -- its last state and its first
-island start -- is one row per (key, bucket), and only those rows meet in a
-window over the whole key; their number is bounded by the calendar.
+Gaps and islands: ``lag`` on the attributes' hash (and, behind it, on the
+attributes themselves) marks the rows that change something, the running sum of
+the marks numbers the islands, an island's least time opens its period and the
+start of the next one closes it.
+
+A key may hold a large share of all rows, so rows lie together per (key, time
+bucket) and all of this runs there.  What a bucket has to tell the others is one
+row: its last state.  Only those rows meet in a window over the whole key (their
+number is bounded by the calendar), and one join brings back what holds at a
+bucket's begin.  All attributes travel together, so a history takes one such
+pass, whatever the number of attributes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def _settled(log: DataFrame, attrs: Sequence[str]) -> DataFrame:
+    """One row per (key, time): of the greatest ``_newest``, and in each column the greatest value among its ties.
 
-def _bucketed_last(x: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
-    """``out``: the last non-null ``value`` (a struct or scalar) strictly before each row of its key."""
+    Both steps combine by hashing: ties and repeated rows on the map side, then
+    the newest where the rows of a (key, bucket) lie anyway.
+    """
+    greatest = [F.max("_gone").alias("_gone"), *[F.max(F.col(f"`{a}`")).alias(a) for a in attrs]]
+    ties = log.groupBy("_k", "_bucket", "_at", "_newest").agg(*greatest)
+    newest = [F.max_by(F.col(f"`{c}`"), "_newest").alias(c) for c in ("_gone", *attrs)]
+    return ties.repartition("_k", "_bucket").groupBy("_k", "_bucket", "_at").agg(*newest)
+
+
+def version_starts(
+    log: DataFrame,
+    key: str,
+    at: str,
+    attrs: Sequence[str],
+    bucket: Column,
+    newest: Column,
+    ends_at: Column | None = None,
+    fill: bool = False,
+    skip_empty: bool = False,
+) -> DataFrame:
+    """Rows at which a version begins or the entity ends: ``_k, _bucket, _at, attrs, _gone``.
+
+    ``log`` may come in any order, late, corrected and repeated.  Of the rows of
+    one (key, ``at``) the one with the greatest ``newest`` counts (not null);
+    where several tie, the greatest value of each column.  ``ends_at`` marks rows
+    that end the entity (a delete); an end after an end, or before anything,
+    changes nothing.  With ``fill`` a null attribute was not recorded and keeps
+    its last value (none survives an end); without, null is a value like others.
+    The key's first row begins a version even if all its attributes are null,
+    but with ``skip_empty`` rows that have only nulls take no part.  Rows with a
+    null key, time or ``newest`` take no part.
+    """
     c = F.col
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    x = x.withColumn("_own", F.last(value, True).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = x.groupBy(*keys, "_bucket").agg(F.max_by(value, F.when(c(value).isNotNull(), c(order))).alias("_end"))
-    outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_carry", F.last("_end", True).over(outer)).drop("_end")
-    return x.join(ends, [*keys, "_bucket"]).withColumn(out, F.coalesce("_own", "_carry")).drop("_own", "_carry")
+    ended = F.coalesce(ends_at, F.lit(False)) if ends_at is not None else F.lit(False)
+    x = log.select(
+        c(f"`{key}`").alias("_k"), c(f"`{at}`").alias("_at"), bucket.alias("_bucket"), newest.alias("_newest"), ended.alias("_gone"), *[c(f"`{a}`") for a in attrs]
+    )
+    x = _settled(x.filter("_k IS NOT NULL AND _at IS NOT NULL AND _newest IS NOT NULL"), attrs)
+    recorded = {a: ~c("_gone") & c(f"`{a}`").isNotNull() if fill else ~c("_gone") for a in attrs}
+    if skip_empty:
+        x = x.filter(" OR ".join(["_gone", *[f"`{a}` IS NOT NULL" for a in attrs]]))
+
+    # What a bucket leaves behind: the last value of each attribute with its time, the last end, the last row.
+    left = [F.max("_at").alias("_last"), F.max(F.when(c("_gone"), c("_at"))).alias("_end")]
+    for i, a in enumerate(attrs):
+        when = F.when(recorded[a], c("_at"))
+        left += [F.max(when).alias(f"_t{i}"), F.max_by(c(f"`{a}`"), when).alias(f"_v{i}")]
+    ends = x.groupBy("_k", "_bucket").agg(*left)
+    past = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(*_BEFORE)
+
+    def value(i: int) -> Column:
+        # A struct, so that a settled null differs from a value of an earlier bucket that still holds.
+        alive = c(f"_t{i}").isNotNull() & (c("_end").isNull() | (c(f"_t{i}") > c("_end")))
+        return F.when(alive, F.struct(c(f"_v{i}").alias("v"))).when(c("_end").isNotNull(), F.struct(F.when(F.lit(False), c(f"_v{i}")).alias("v")))
+
+    carried = [F.last(value(i), True).over(past).alias(f"_c{i}") for i in range(len(attrs))]
+    ends = ends.select("_k", "_bucket", F.last(F.coalesce(c("_end") == c("_last"), F.lit(False))).over(past).alias("_was"), *carried)
+
+    x = x.join(ends.hint("shuffle_hash"), ["_k", "_bucket"])
+    local = Window.partitionBy("_k", "_bucket").orderBy("_at")
+    upto, before = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(*_BEFORE)
+    own, prior = [], []
+    for i, a in enumerate(attrs):
+        cell = F.when(c("_gone") | recorded[a], F.struct(F.when(~c("_gone"), c(f"`{a}`")).alias("v")))
+        own.append(F.coalesce(F.last(cell, True).over(upto), c(f"_c{i}"))["v"].alias(a))
+        prior.append(F.coalesce(F.last(cell, True).over(before), c(f"_c{i}"))["v"].alias(f"_p{i}"))
+    x = x.select("_k", "_bucket", "_at", "_gone", F.coalesce(F.lag("_gone").over(local), c("_was")).alias("_was"), *own, *prior)
+    now, then = F.struct(*[c(f"`{a}`").alias(f"_p{i}") for i, a in enumerate(attrs)]), F.struct(*[f"_p{i}" for i in range(len(attrs))])
+    differs = (F.xxhash64(now) != F.xxhash64(then)) | ~now.eqNullSafe(then)
+    changed = F.when(c("_was").isNull(), ~c("_gone")).when(c("_was") != c("_gone"), True).otherwise(~c("_gone") & differs)
+    x = x.withColumn("_no", F.sum(F.when(changed, 1).otherwise(0)).over(upto)).filter("_no > 0")
+    # The rows of an island share their state, so it may be part of the grouping; island 0 began in an earlier bucket.
+    return x.groupBy("_k", "_bucket", "_no", "_gone", *[c(f"`{a}`") for a in attrs]).agg(F.min("_at").alias("_at")).drop("_no")
 
 
 def versions(
     log: DataFrame,
     key: str,
     at: str,
-    attrs: list[str],
+    attrs: Sequence[str],
     bucket: Column,
+    newest: Column,
     ends_at: Column | None = None,
+    fill: bool = False,
+    skip_empty: bool = False,
 ) -> DataFrame:
-    """Versions ``key, version_no (per key and bucket chain), attrs, valid_from, valid_to, is_current``.
-
-    ``log`` has one row per (key, ``at``): settle corrections and repeats first
-    (``latest_per``).  ``ends_at`` marks rows that end the entity (a delete): no
-    version covers the time from there to the next version.  ``valid_to`` is the
-    start of the next version or of the ending row, null for the current one.
-    Attributes compare null-safe through their hash and their values.  Rows with
-    a null key or time take no part.
+    """Versions ``key, version_no (from 1 per key), attrs, valid_from, valid_to, is_current``.
+
+    See ``version_starts`` for the arguments and what begins a version.
+    ``valid_to`` is the start of the next version or the row that ends the
+    entity, null for the current version; no version covers the time from an end
+    to the next version.
     """
     c = F.col
-    ended = F.coalesce(ends_at, F.lit(False)) if ends_at is not None else F.lit(False)
-    x = log.select(c(f"`{key}`").alias("_k"), c(f"`{at}`").alias("_at"), *[c(f"`{a}`") for a in attrs], ended.alias("_ended"), bucket.alias("_bucket"))
-    x = x.filter("_k IS NOT NULL AND _at IS NOT NULL")
-    mark = F.when(c("_ended"), F.lit(None).cast("long")).otherwise(F.xxhash64(F.to_json(F.struct(*attrs), {"ignoreNullFields": "false"})))
-    x = x.withColumn("_state", F.struct(c("_ended").alias("gone"), mark.alias("mark"), *[F.when(~c("_ended"), c(a)).alias(a) for a in attrs]))
-    x = _bucketed_last(x, ["_k"], "_at", "_state", "_before")
-    x = x.filter(c("_before").isNull() | ~c("_state").eqNullSafe(c("_before")))
-    # Only island starts remain; the next start of the key closes the period.
+    x = version_starts(log, key, at, attrs, bucket, newest, ends_at, fill, skip_empty)
     inner = Window.partitionBy("_k", "_bucket").orderBy("_at")
-    x = x.withColumn("_own", F.lead("_at").over(inner))
-    firsts = x.groupBy("_k", "_bucket").agg(F.min("_at").alias("_first"), F.count_if(~c("_state.gone")).alias("_n"))
+    firsts = x.groupBy("_k", "_bucket").agg(F.min("_at").alias("_first"), F.count_if(~c("_gone")).alias("_n"))
     after = Window.partitionBy("_k").orderBy("_bucket")
-    firsts = firsts.withColumn("_next", F.lead("_first").over(after)).withColumn(
-        "_base", F.coalesce(F.sum("_n").over(after.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    no = F.sum(F.when(c("_state.gone"), 0).otherwise(1)).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_no", no).join(firsts.drop("_first", "_n"), ["_k", "_bucket"])
-    x = x.filter(~c("_state.gone")).withColumn("_to", F.coalesce("_own", "_next"))
+    firsts = firsts.select("_k", "_bucket", F.lead("_first").over(after).alias("_next"), F.coalesce(F.sum("_n").over(after.rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"))
+    no = F.sum(F.when(c("_gone"), 0).otherwise(1)).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_no", no).withColumn("_own", F.lead("_at").over(inner)).filter(~c("_gone")).join(firsts, ["_k", "_bucket"])
+    to = F.coalesce("_own", "_next")
     return x.select(
         c("_k").alias(key),
         (c("_base") + c("_no")).cast("long").alias("version_no"),
-        *[c(f"_state.{a}").alias(a) for a in attrs],
+        *[c(f"`{a}`") for a in attrs],
         c("_at").alias("valid_from"),
-        c("_to").alias("valid_to"),
-        c("_to").isNull().alias("is_current"),
+        to.alias("valid_to"),
+        to.isNull().alias("is_current"),
     )
-
-
-def latest_per(df: DataFrame, keys: list[str], newest: str, columns: list[str]) -> DataFrame:
-    """One row per ``keys``: ``columns`` of the row with the greatest ``newest`` (ties: greatest values).
-
-    A map-side combined aggregate; repeated rows count once.
-    """
-    rank = F.struct(F.col(newest), *[F.col(c) for c in columns])
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in columns])
-
-
-def fill_forward(df: DataFrame, key: str, at: str, attrs: list[str], bucket: Column) -> DataFrame:
-    """Replace null ``attrs`` by the key's last recorded value before that row."""
-    x = df.withColumn("_bucket", bucket)
-    for a in attrs:
-        x = _bucketed_last(x, [key], at, a, "_prior").withColumn(a, F.coalesce(a, "_prior")).drop("_prior")
-    return x.drop("_bucket")

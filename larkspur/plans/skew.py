@@ -1,8 +1,8 @@
-"""Joining many rows to a set of keys when one key may hold a large share of the rows."""
+"""Joining many rows to a set of keys when one key may hold a large share of the rows; telling repeated rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
@@ -34,3 +34,10 @@ def semi_join_split(rows: DataFrame, key: str, keys: DataFrame, hot: list) -> Da
     few = rows.filter(is_hot).join(F.broadcast(keys.filter(is_hot)), key, "left_semi")
     rest = rows.filter(~F.coalesce(is_hot, F.lit(False))).join(keys.filter(~is_hot), key, "left_semi")
     return few.unionByName(rest)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row, in which a null differs from a value that is not there."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return F.xxhash64(*columns, nulls)

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.entity_features import entity_features, type_vocabulary
-from larkspur.operators.history import fill_forward, latest_per, versions
+from larkspur.operators.history import version_starts, versions
 from larkspur.operators.references import Reference, live_keys, orphan_report, orphans, plain_keys
 from larkspur.operators.sessions import sessions
 from larkspur.operators.shredding import gear_items
 from larkspur.operators.timestamps import instants, with_utc_micros
+from larkspur.plans.skew import row_hash
 from larkspur.sources.tables import table
 
 #: Inactivity that ends a sitting.
@@ -141,7 +142,8 @@ WHERE template_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM loadout_templates t
 """
 
 
-def _rank_versions(spark: SparkSession, d: str) -> DataFrame:
+def _rank_log(spark: SparkSession, d: str, rank: str = "rank") -> dict:
+    """Arguments of ``versions`` for players.rank; ``rank`` is what to compare, given the plain rank."""
     players = table(spark, d, "players").withColumns(
         {
             "rank": F.nullif(F.lower(F.regexp_replace("rank", r"^\s+|\s+$", "")), F.lit("")),
@@ -150,27 +152,28 @@ def _rank_versions(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     # Of rows of one instant only the highest rev counts, recorded or not.
-    log = latest_per(players.filter("uid IS NOT NULL AND at_us IS NOT NULL"), ["uid", "at_us"], "rev", ["rank", "gone"])
-    log = log.filter("gone OR rank IS NOT NULL")
-    return versions(log, "uid", "at_us", ["rank"], F.floor(F.col("at_us") / 86_400_000_000.0), F.col("gone"))
+    return {
+        "log": players.withColumn("rank", F.expr(rank)), "key": "uid", "at": "at_us", "attrs": ["rank"], "bucket": day, "newest": F.col("rev"),
+        "ends_at": F.col("gone"), "skip_empty": True,
+    }
 
 
-def _progress_versions(spark: SparkSession, d: str) -> DataFrame:
-    snaps = table(spark, d, "progression").filter("uid IS NOT NULL AND snap_date IS NOT NULL")
-    log = latest_per(snaps, ["uid", "snap_date"], "loaded_at", ["level", "xp"])
-    # At most one row per uid and day is left, so a year is a bucket of bounded size.
-    log = fill_forward(log, "uid", "snap_date", ["level", "xp"], F.year("snap_date"))
-    log = log.withColumn("at_us", F.unix_date("snap_date").cast("long") * 86_400_000_000)
-    return versions(log, "uid", "at_us", ["level", "xp"], F.year("snap_date"))
+def _progress_log(spark: SparkSession, d: str) -> dict:
+    """Arguments of ``versions`` for progression.(level, xp)."""
+    snaps = table(spark, d, "progression").withColumn("at_us", F.unix_date("snap_date").cast("long") * 86_400_000_000)
+    # One row per uid and day counts, so a year is a bucket of bounded size.
+    return {
+        "log": snaps, "key": "uid", "at": "at_us", "attrs": ["level", "xp"], "bucket": F.year("snap_date"), "newest": F.unix_micros("loaded_at"), "fill": True,
+    }
 
 
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
     """Rank versions of players and (level, xp) versions of progression with their validity."""
-    ranks = _rank_versions(spark, d).select(
+    ranks = versions(**_rank_log(spark, d)).select(
         F.lit("players").alias("source_table"), "uid", "version_no", "rank", F.lit(None).cast("long").alias("level"),
         F.lit(None).cast("long").alias("xp"), "valid_from", "valid_to", "is_current",
     )
-    steps = _progress_versions(spark, d).select(
+    steps = versions(**_progress_log(spark, d)).select(
         F.lit("progression").alias("source_table"), "uid", "version_no", F.lit(None).cast("string").alias("rank"), "level", "xp",
         "valid_from", "valid_to", "is_current",
     )
@@ -178,7 +181,13 @@ def p6_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    out = p6_versions(spark, d).select("source_table", "uid", F.expr("CAST(floor(valid_from_us / 1000000.0D) AS bigint)").alias("valid_from_s"))
+    """Start of every version in whole seconds; versions that begin within one second give one row."""
+    out = None
+    # Only starts are asked for, so the hash of the rank stands for it.
+    for name, log in (("players", _rank_log(spark, d, "if(rank IS NULL, NULL, xxhash64(rank))")), ("progression", _progress_log(spark, d))):
+        starts = version_starts(**log).filter("NOT _gone")
+        part = starts.select(F.lit(name).alias("source_table"), F.col("_k").alias("uid"), F.expr("CAST(floor(_at / 1000000.0D) AS bigint)").alias("valid_from_s"))
+        out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 

@@ -4,7 +4,7 @@ from table_rows import rows
 from pyspark.sql import functions as F
 
 from larkspur.operators.entity_features import entity_features, type_vocabulary
-from larkspur.operators.history import fill_forward, latest_per, versions
+from larkspur.operators.history import versions
 from larkspur.operators.references import Reference, live_keys, orphan_report, orphans, plain_keys
 from larkspur.operators.sessions import sessions
 
@@ -100,22 +100,25 @@ def test_orphans_cascade_and_cycle(spark):
     assert got == {("a", "a2"): "direct", ("b", "b2"): "inherited", ("c", "c2"): "inherited", ("c", "c3"): "direct", ("c", "c4"): "direct"}
 
 
-def brute_versions(log):
+def brute_versions(log, fill=False):
+    """``key, attrs, valid_from, valid_to`` of plain loops; a log row is key, time, attrs (a tuple), gone."""
     out, by = [], {}
     for k, t, v, gone in log:
         by.setdefault(k, []).append((t, v, gone))
     for k, xs in by.items():
-        xs.sort()
-        last = None
-        starts = []
+        xs.sort(key=lambda x: x[0])
+        last, starts, known = None, [], None
         for t, v, gone in xs:
-            state = ("gone",) if gone else ("is", v)
-            if state != last:
+            if fill and not gone:
+                known = v if known is None else tuple(a if b is None else b for a, b in zip(known, v))
+            state = ("gone",) if gone else ("is", known if fill else v)
+            known = None if gone else known
+            if state != last and not (gone and last is None):
                 starts.append((t, state))
-            last = state
+            last = None if gone and last is None else state
         for i, (t, state) in enumerate(starts):
             if state[0] == "is":
-                out.append((k, state[1], t, starts[i + 1][0] if i + 1 < len(starts) else None))
+                out.append((k, *state[1], t, starts[i + 1][0] if i + 1 < len(starts) else None))
     return sorted(out, key=repr)
 
 
@@ -124,17 +127,23 @@ def test_versions_against_brute_force(spark):
     log = {}
     for _ in range(2000):
         k, t = rng.choice("aaaabc"), rng.randrange(5000)
-        log[k, t] = (k, t, rng.choice(["x", "y", None]), rng.random() < 0.1)
-    df = spark.createDataFrame(list(log.values()), "uid string, at long, rank string, gone boolean")
-    for width in (7, 100, 10_000):
-        out = versions(df, "uid", "at", ["rank"], F.floor(F.col("at") / width), F.col("gone"))
-        assert rows(out.select("uid", "rank", "valid_from", "valid_to")) == brute_versions(log.values())
-        assert out.groupBy("uid").agg((F.max("version_no") == F.count("*")).alias("ok"), F.countDistinct("version_no").alias("n"), F.count("*").alias("m")).filter("NOT ok OR n <> m").count() == 0
-
-
-def test_history_helpers(spark):
-    df = spark.createDataFrame([("u", 1, 5, None), ("u", 1, 7, 3), ("u", 1, 7, 3), ("u", 2, 1, None), ("u", 9, 1, 4), (None, 1, 1, 1)], "uid string, day long, loaded long, xp long")
-    last = latest_per(df.filter("uid IS NOT NULL"), ["uid", "day"], "loaded", ["xp"])
-    assert rows(last) == [("u", 1, 3), ("u", 2, None), ("u", 9, 4)]
-    assert rows(fill_forward(last, "uid", "day", ["xp"], F.col("day"))) == [("u", 1, 3), ("u", 2, 3), ("u", 9, 4)]
-    assert versions(df.limit(0), "uid", "day", ["xp"], F.lit(0)).count() == 0
+        log[k, t] = (k, t, rng.choice(["x", "y", None]), rng.choice([1, 1, 1, None]), rng.random() < 0.1)
+    df = spark.createDataFrame(list(log.values()), "uid string, at long, rank string, level long, gone boolean")
+    rows_of = [(k, t, (r, n), g) for k, t, r, n, g in log.values()]
+    for fill in (False, True):
+        want = brute_versions(rows_of, fill)
+        for width in (7, 100, 10_000):
+            out = versions(df, "uid", "at", ["rank", "level"], F.floor(F.col("at") / width), F.lit(1), F.col("gone"), fill)
+            assert rows(out.select("uid", "rank", "level", "valid_from", "valid_to")) == want
+            assert out.groupBy("uid").agg((F.max("version_no") == F.count("*")).alias("ok"), F.countDistinct("version_no").alias("n"), F.count("*").alias("m")).filter("NOT ok OR n <> m").count() == 0
+
+
+def test_versions_of_late_corrected_and_tied_rows(spark):
+    df = spark.createDataFrame([("u", 1, 5, None), ("u", 1, 7, 3), ("u", 1, 7, 3), ("u", 2, 1, None), ("u", 9, 1, 4), ("u", 9, 1, 6), (None, 1, 1, 1), ("u", None, 1, 1), ("u", 3, None, 8)], "uid string, day long, loaded long, xp long")
+    df = df.withColumn("_k", F.lit("clash")).withColumn("_at", F.lit(0))
+    filled = versions(df, "uid", "day", ["xp"], F.col("day"), F.col("loaded"), fill=True)
+    assert rows(filled.select("uid", "xp", "valid_from", "valid_to")) == [("u", 3, 1, 9), ("u", 6, 9, None)]
+    empty = df.filter("day = 2")
+    assert rows(versions(empty, "uid", "day", ["xp"], F.lit(0), F.col("loaded"), fill=True).select("xp", "is_current")) == [(None, True)]
+    assert versions(empty, "uid", "day", ["xp"], F.lit(0), F.col("loaded"), skip_empty=True).count() == 0
+    assert versions(df.limit(0), "uid", "day", ["xp"], F.lit(0), F.col("loaded")).count() == 0
