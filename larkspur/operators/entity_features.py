@@ -2,10 +2,12 @@
 
 Map side: every partition encodes entity-type pairs as integers and folds its
 rows with ``numpy.bincount`` (counts, sums) and a maximum scatter (latest time),
-so a hot entity leaves a partition as at most one row per type.  Reduce side:
-partial rows are hash-partitioned by entity and sorted; a partition streams
-them into dense blocks of ``BLOCK`` entities x types and emits Arrow columns.
-Neither side ever holds more than a batch or a block.
+so a hot entity leaves a fold as at most one row per type.  These rows meet in
+two steps: first per (entity, type), which spreads a hot entity over its types
+and leaves at most one row for each of them, then per entity, sorted, where a
+partition adds every batch at once to a dense block of ``BLOCK`` entities x
+types and emits Arrow columns.  A map task holds ``FOLD_ROWS`` rows and a batch,
+a reduce task a batch and a block, whatever an entity's share of the rows.
 """
 
 from __future__ import annotations
@@ -65,6 +67,48 @@ def _ints(column: pa.Array, missing: int) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), missing).to_numpy(zero_copy_only=False)
 
 
+class _Block:
+    """Dense cells of up to ``BLOCK`` entities, filled from rows sorted by entity."""
+
+    def __init__(self, n_types: int) -> None:
+        self.n_types = n_types
+        self.ids: list[int] = []
+        self.sums = [np.zeros(BLOCK * n_types, np.int64) for _ in range(3)]
+        self.latest = np.full(BLOCK * n_types, _NEVER)
+
+    def room_for(self, ids: np.ndarray, at: int) -> int:
+        """End of the rows from ``at`` on that this block still takes."""
+        going_on = bool(self.ids) and self.ids[-1] == ids[at]
+        starts = at + 1 + np.flatnonzero(np.diff(ids[at:]))
+        room = BLOCK - len(self.ids) + going_on
+        return at if room == 0 else len(ids) if len(starts) < room else int(starts[room - 1])
+
+    def add(self, ids: np.ndarray, kind: np.ndarray, values: list[np.ndarray], latest: np.ndarray) -> None:
+        new = np.diff(ids, prepend=ids[0]) != 0
+        new[0] = not self.ids or self.ids[-1] != ids[0]
+        cell = (len(self.ids) - 1 + np.cumsum(new)) * self.n_types + kind
+        self.ids += ids[new].tolist()
+        lo, hi = int(cell.min()), int(cell.max()) + 1
+        for grid, v in zip(self.sums, values):
+            if float(np.abs(v).max()) * len(v) < 2**53:
+                grid[lo:hi] += np.bincount(cell - lo, weights=v, minlength=hi - lo).astype(np.int64)
+            else:
+                np.add.at(grid, cell, v)
+        np.maximum.at(self.latest, cell, latest)
+
+    def columns(self, names: list[str]) -> pa.RecordBatch:
+        shape, rows = (BLOCK, self.n_types), len(self.ids)
+        sums, latest = [g.reshape(shape)[:rows] for g in self.sums], self.latest.reshape(shape)[:rows]
+        arrays = [pa.array(self.ids, pa.int64())]
+        for k in range(self.n_types):
+            arrays += [pa.array(np.ascontiguousarray(g[:, k])) for g in sums]
+            top = np.ascontiguousarray(latest[:, k])
+            arrays.append(pa.array(top, mask=top == _NEVER))
+        top = latest.max(axis=1)
+        arrays += [*[pa.array(g.sum(axis=1)) for g in sums], pa.array(top, mask=top == _NEVER)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def entity_features(
     events: DataFrame,
     entity: str,
@@ -120,55 +164,26 @@ def entity_features(
     columns = ["entity"] + [f"{f}__{t}" for t in [*names, "all"] for f in features]
     schema = T.StructType([T.StructField(x, T.LongType()) for x in columns])
 
-    def block(parts: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(parts).combine_chunks()
-        ids, who = np.unique(_ints(t["entity"], 0), return_inverse=True)
-        cell = who.astype(np.int64) * n_types + _ints(t["type"], 0)
-        dense = {}
-        for f in features[:3]:
-            v = _ints(t[f], 0)
-            grid = np.zeros(len(ids) * n_types, np.int64)
-            if len(v) and float(np.abs(v).max()) * len(v) < 2**53:
-                grid += np.bincount(cell, weights=v, minlength=len(grid)).astype(np.int64)
-            else:
-                np.add.at(grid, cell, v)
-            dense[f] = grid.reshape(len(ids), n_types)
-        top = np.full(len(ids) * n_types, _NEVER)
-        np.maximum.at(top, cell, _ints(t["latest"], _NEVER))
-        dense["latest"] = top.reshape(len(ids), n_types)
-        arrays = [pa.array(ids)]
-        for k in range(n_types):
-            for f in features:
-                v = np.ascontiguousarray(dense[f][:, k])
-                arrays.append(pa.array(v, mask=v == _NEVER) if f == "latest" else pa.array(v))
-        for f in features:
-            v = dense[f].max(axis=1) if f == "latest" else dense[f].sum(axis=1)
-            arrays.append(pa.array(v, mask=v == _NEVER) if f == "latest" else pa.array(v))
-        return pa.RecordBatch.from_arrays(arrays, names=columns)
-
     def reduce_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        seen = 0
+        block = _Block(n_types)
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            while len(t):
-                ids = _ints(t["entity"], 0)
-                starts = np.flatnonzero(np.diff(ids)) + 1
-                # Rows of the entity that the last batch ended with go on with the block.
-                new = 0 if held and int(held[-1]["entity"][-1].as_py()) == int(ids[0]) else 1
-                if seen + new > BLOCK:
-                    yield block(held)
-                    held, seen = [], 0
+            ids = _ints(batch.column(0), 0)
+            kind, values = _ints(batch.column(1), 0), [_ints(batch.column(k), 0) for k in (2, 3, 4)]
+            latest = _ints(batch.column(5), _NEVER)
+            at = 0
+            while at < len(ids):
+                end = block.room_for(ids, at)
+                if end == at:
+                    yield block.columns(columns)
+                    block = _Block(n_types)
                     continue
-                room = BLOCK - seen - new
-                end = len(t) if len(starts) <= room else int(starts[room])
-                held.append(t.slice(0, end))
-                seen += new + int(np.searchsorted(starts, end))
-                t = t.slice(end)
-        if held:
-            yield block(held)
-
-    partial = slim.mapInArrow(map_side, _PARTIAL)
+                block.add(ids[at:end], kind[at:end], [v[at:end] for v in values], latest[at:end])
+                at = end
+        if len(block.ids):
+            yield block.columns(columns)
+
+    sums = [F.sum(f).alias(f) for f in features[:3]]
+    partial = slim.mapInArrow(map_side, _PARTIAL).groupBy("entity", "type").agg(*sums, F.max("latest").alias("latest"))
     grouped = partial.repartition("entity").sortWithinPartitions("entity")
     out = grouped.mapInArrow(reduce_side, schema)
     return out.withColumnRenamed("entity", entity)

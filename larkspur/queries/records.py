@@ -50,9 +50,11 @@ def p1_features(spark: SparkSession, d: str) -> DataFrame:
     """One wide row per killer (0, the machine, included): per weapon class and over all, kills, headshots, summed distance, latest time."""
     raw = table(spark, d, "kill_events")
     types = [t for t in type_vocabulary(raw.select(_weapon().alias("w")).distinct(), "w") if t]
-    kills = _kills(spark, d).filter("killer_uid IS NOT NULL")
+    # Repeated rows drop out by what is needed of them and a hash of the whole row, so only seven narrow columns travel.
+    kills = raw.withColumn("row_hash", row_hash(raw)).filter("killer_uid IS NOT NULL")
     kills = with_utc_micros(kills, "ts", "utc_us", table(spark, d, "game_servers"))
-    kills = kills.withColumns({"killer_weapon": _weapon(), "distance": F.when(F.col("distance") >= 0, F.col("distance"))})
+    metres = F.when(F.col("distance") >= 0, F.col("distance")).alias("distance")
+    kills = kills.select("id", "row_hash", "killer_uid", _weapon().alias("killer_weapon"), "headshot", metres, "utc_us").distinct()
     return entity_features(kills, "killer_uid", "killer_weapon", types, "headshot", "distance", "utc_us")
 
 
@@ -82,8 +84,8 @@ FROM w GROUP BY GROUPING SETS ((killer_uid, weapon), (killer_uid))
 
 
 def _timed_kills(spark: SparkSession, d: str) -> DataFrame:
-    kills = table(spark, d, "kill_events").select("id", "ts", "killer_uid", "server_id", F.xxhash64("*").alias("row_hash"))
-    kills = kills.filter(_named_killer())
+    raw = table(spark, d, "kill_events")
+    kills = raw.select("id", "ts", "killer_uid", "server_id", row_hash(raw).alias("row_hash")).filter(_named_killer())
     timed = with_utc_micros(kills, "ts", "utc_us", table(spark, d, "game_servers")).filter("utc_us IS NOT NULL")
     return timed.select("killer_uid", "utc_us", "id", "row_hash").distinct()
 
