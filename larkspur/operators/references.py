@@ -84,42 +84,48 @@ def orphans(
     ``parents`` gives each parent's live keys (column ``key``, text), ``periods``
     names a column to report by.  ``kind`` is ``direct`` or ``inherited``.
 
+    One fixpoint: the records that are referred to but missing or deleted are
+    the first orphaned records; a round semi-joins the children of the last
+    round's orphaned records down the foreign-key graph and makes them orphaned
+    records in turn, until a round brings nothing new.
+
     A null or ``nobody`` value refers to nothing and is never an orphan; repeated
     rows give one row; it does not matter whether the target came before or
-    after the reference.  Empty tables give no rows.  Only tables that other
-    tables refer to take part in the cascade; a cycle ends when a round brings
-    no new orphan, and ``max_rounds`` guards against endless chains.
+    after the reference.  Empty tables give no rows.  A row that refers to a
+    missing record in one field and to an orphan in another is reported for both.
+    A cycle ends when a round brings no new orphan; a chain longer than
+    ``max_rounds`` is an error, not a cut.
     """
     refs, periods = list(refs), dict(periods or {})
-    found: DataFrame | None = None
-    for ref in refs:
-        rows = _refs(tables[ref.child], ref, row_keys[ref.child], periods.get(ref.child))
-        # The missing keys with their counts, written once: the hot keys, their split and the join all read them.
-        counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(parents[ref.parent], "key", "left_anti"))
-        hit = _label(semi_join_split(rows, "key", counts.select("key"), hot_keys(counts, "key", "n")).distinct(), ref, "direct")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
+    if not refs:
         raise ValueError("no references given")
-    # The cascade: only children of tables that hold orphans themselves can inherit.
+    # Only children of tables that can hold orphans themselves take part in later rounds.
     down = [r for r in refs if r.parent in row_keys and any(o.child == r.parent for o in refs)]
-    if not down:
-        return found
-    found = cut(found)
-    front = found
-    for _ in range(max_rounds):
+    found: DataFrame | None = None
+    front: DataFrame | None = None
+    same = ["source_table", "ref_field", "row_key", "missing_key"]
+    for no in range(max_rounds + 1):
         new: DataFrame | None = None
-        for ref in down:
-            gone = front.filter(F.col("source_table") == ref.parent).select(F.col("row_key").alias("key")).distinct()
+        for ref in refs if front is None else down:
             rows = _refs(tables[ref.child], ref, row_keys[ref.child], periods.get(ref.child))
-            # Counts first, so that the lookup of the gone parents meets each key once.
-            counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(gone, "key", "left_semi"))
-            hit = _label(semi_join_split(rows, "key", counts.select("key"), hot_keys(counts, "key", "n")).distinct(), ref, "inherited")
+            # Keys with their counts first, so that the lookup of the records meets each key once.
+            counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            if front is None:
+                counts = counts.join(parents[ref.parent], "key", "left_anti")
+            else:
+                gone = front.filter(F.col("source_table") == ref.parent).select(F.col("row_key").alias("key")).distinct()
+                counts = counts.join(gone, "key", "left_semi")
+            # The orphaned records' keys, written once: the hot keys, their split and the semi-join all read them.
+            counts = cut(counts)
+            hit = semi_join_split(rows, "key", counts.select("key"), hot_keys(counts, "key", "n"))
+            hit = _label(hit.distinct(), ref, "direct" if front is None else "inherited")
             new = hit if new is None else new.unionByName(hit)
-        known = found.select("source_table", "ref_field", "row_key", "missing_key")
-        front = cut(new.join(known, ["source_table", "ref_field", "row_key", "missing_key"], "left_anti"))
-        if front.isEmpty():
+        if found is None and not down:
+            return new
+        front = cut(new if found is None else new.join(found.select(*same), same, "left_anti"))
+        if found is not None and front.isEmpty():
             return found
-        found = found.unionByName(front)
+        found = front if found is None else found.unionByName(front)
     raise RuntimeError(f"the cascade did not end within {max_rounds} rounds")
 
 

@@ -33,11 +33,6 @@ GEAR = [
 ]
 
 
-def _kills(spark: SparkSession, d: str) -> DataFrame:
-    """Kill events, exact repeats dropped by a hash of the whole row."""
-    return table(spark, d, "kill_events").distinct()
-
-
 def _weapon() -> Column:
     return F.lower(F.regexp_replace("killer_weapon", r"^\s+|\s+$", ""))
 
@@ -104,33 +99,56 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return instants(fields, table(spark, d, "game_servers"))
 
 
-def _references(spark: SparkSession, d: str) -> DataFrame:
-    kills, loadouts, players = (table(spark, d, n) for n in ("kill_events", "player_loadouts", "players"))
-    kills = kills.withColumn("period", F.floor(F.col("id") / 100_000))
-    loadouts = loadouts.withColumn("period", F.substring("saved_at", 1, 7))
-    alive = live_keys(players, "uid", ["updated_at", "rev"], "op")
-    return orphans(
-        {"player_loadouts": loadouts, "kill_events": kills},
-        {"player_loadouts": "uid", "kill_events": "id"},
-        {"loadout_templates": plain_keys(table(spark, d, "loadout_templates"), "id"), "players": alive},
-        [
-            Reference("player_loadouts", "template_id", "loadout_templates"),
-            Reference("kill_events", "killer_uid", "players", (0,)),
-            Reference("kill_events", "victim_uid", "players", (0,)),
-        ],
-        {"player_loadouts": "period", "kill_events": "period"},
-    )
+#: References of problem 5.
+REFERENCES = [
+    Reference("player_loadouts", "template_id", "loadout_templates"),
+    Reference("kill_events", "killer_uid", "players", (0,)),
+    Reference("kill_events", "victim_uid", "players", (0,)),
+]
+#: References further down: a stored blob goes with its player's loadout, a player's statistics with the player.
+CHAINED = [Reference("player_blobs", "player_uid", "player_loadouts"), Reference("session_stats", "uid", "players", (0,))]
+
+
+def _references(spark: SparkSession, d: str, refs: list[Reference]) -> DataFrame:
+    t = {n: table(spark, d, n) for n in {"players", "loadout_templates", *(r.child for r in refs)}}
+    t["kill_events"] = t["kill_events"].withColumn("period", F.floor(F.col("id") / 100_000))
+    t["player_loadouts"] = t["player_loadouts"].withColumn("period", F.substring("saved_at", 1, 7))
+    keys = {"player_loadouts": "uid", "kill_events": "id", "player_blobs": "player_uid", "session_stats": "uid"}
+    live = {
+        "loadout_templates": plain_keys(t["loadout_templates"], "id"),
+        "players": live_keys(t["players"], "uid", ["updated_at", "rev"], "op"),
+        "player_loadouts": plain_keys(t["player_loadouts"], "uid"),
+    }
+    children = {r.child for r in refs}
+    return orphans({n: t[n] for n in children}, {n: keys[n] for n in children}, live, refs, {n: "period" for n in ("player_loadouts", "kill_events")})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _references(spark, d).select("source_table", "ref_field", "row_key")
+    return _references(spark, d, REFERENCES).select("source_table", "ref_field", "row_key")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    """Dangling references per table, field and period (month of saving; arrival block of 100,000 events)."""
-    return orphan_report(_references(spark, d))
+    """Dangling references per table, field, period (month of saving; arrival block of 100,000 events) and kind, over the whole chain."""
+    return orphan_report(_references(spark, d, REFERENCES + CHAINED))
 
 
+P5_REPORT_SQL = """
+WITH RECURSIVE last AS (SELECT uid, arg_max(lower(trim(op)), (updated_at, rev)) AS op FROM players WHERE uid IS NOT NULL GROUP BY uid),
+live AS (
+  SELECT 'players' AS parent, uid AS k FROM last WHERE op IS DISTINCT FROM 'delete'
+  UNION ALL SELECT DISTINCT 'loadout_templates', CAST(id AS VARCHAR) FROM loadout_templates
+  UNION ALL SELECT DISTINCT 'player_loadouts', uid FROM player_loadouts WHERE uid IS NOT NULL),
+refs AS (
+  SELECT 'kill_events' AS source_table, 'killer_uid' AS ref_field, 'players' AS parent, CAST(id AS VARCHAR) AS row_key, CAST(killer_uid AS VARCHAR) AS k, CAST(id // 100000 AS VARCHAR) AS period FROM kill_events WHERE killer_uid <> 0
+  UNION SELECT 'kill_events', 'victim_uid', 'players', CAST(id AS VARCHAR), CAST(victim_uid AS VARCHAR), CAST(id // 100000 AS VARCHAR) FROM kill_events WHERE victim_uid <> 0
+  UNION SELECT 'player_loadouts', 'template_id', 'loadout_templates', uid, CAST(template_id AS VARCHAR), substr(saved_at, 1, 7) FROM player_loadouts WHERE template_id IS NOT NULL
+  UNION SELECT 'player_blobs', 'player_uid', 'player_loadouts', player_uid, player_uid, NULL FROM player_blobs WHERE player_uid IS NOT NULL
+  UNION SELECT 'session_stats', 'uid', 'players', CAST(uid AS VARCHAR), CAST(uid AS VARCHAR), NULL FROM session_stats WHERE uid <> 0),
+orphan AS (
+  SELECT r.*, 'direct' AS kind FROM refs r ANTI JOIN live l ON r.parent = l.parent AND r.k = l.k
+  UNION SELECT r.*, 'inherited' FROM refs r JOIN orphan o ON r.parent = o.source_table AND r.k = o.row_key)
+SELECT source_table, ref_field, period, kind, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM orphan GROUP BY ALL
+"""
 P5_FOUND_SQL = """
 WITH last AS (SELECT uid, arg_max(lower(trim(op)), (updated_at, rev)) AS op FROM players WHERE uid IS NOT NULL GROUP BY uid),
 alive AS (SELECT uid FROM last WHERE op IS DISTINCT FROM 'delete'),
@@ -153,6 +171,7 @@ def _rank_log(spark: SparkSession, d: str, rank: str = "rank") -> dict:
             "at_us": F.unix_micros("updated_at"),
         }
     )
+    day = F.floor(F.col("at_us") / 86_400_000_000.0)
     # Of rows of one instant only the highest rev counts, recorded or not.
     return {
         "log": players.withColumn("rank", F.expr(rank)), "key": "uid", "at": "at_us", "attrs": ["rank"], "bucket": day, "newest": F.col("rev"),
@@ -227,4 +246,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_features, p1_type_totals, p3_found, p3_sessions, p4_found, p5_found, p5_report, p6_found, p6_versions, p7_found, p7_items)
 }
 
-SQL = {"p1_type_totals": P1_TYPE_TOTALS_SQL, "p5_found": P5_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+SQL = {"p1_type_totals": P1_TYPE_TOTALS_SQL, "p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL}
