@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import re
 
-#: Nesting beyond this is refused (the text then counts as unreadable).
-MAX_DEPTH = 400
 _TOKEN = re.compile(r"""\s*(?:([\[\]{},:])|"((?:[^"]|"")*)"|'((?:[^']|'')*)'|([^\s\[\]{},:"']+))""")
 
 
@@ -30,7 +28,7 @@ def read_sqf(text: str):
         at = m.end()
         mark, double, single, bare = m.groups()
         if mark == "[":
-            if not expect_value or len(stack) >= MAX_DEPTH:
+            if not expect_value:
                 raise Unreadable
             stack.append([])
             continue
@@ -73,22 +71,83 @@ def read_sqf(text: str):
     return result
 
 
-def read(text: str):
-    """Value of a text in either notation; raises ``Unreadable``."""
+_JSON_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|([^\s\[\]{},:"]+))', re.S)
+
+
+def read_json(text: str):
+    """Value of a JSON text of any depth (the decoder of the standard library recurses); raises ``Unreadable``."""
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        raise Unreadable from None
+    at, end = 0, len(text.rstrip())
+    stack: list = []
+    keys: list[str | None] = []
+    # What may come next: "value", "first" (value or end of list), "key", "first key", ":" or ",".
+    expect, result = "value", None
+    while at < end:
+        m = _JSON_TOKEN.match(text, at)
+        if not m or expect == "nothing":
+            raise Unreadable
+        at = m.end()
+        mark, quoted, bare = m.groups()
+        if mark in ("[", "{") and expect in ("value", "first"):
+            stack.append([] if mark == "[" else {})
+            keys.append(None)
+            expect = "first" if mark == "[" else "first key"
+            continue
+        if quoted and expect in ("key", "first key"):
+            keys[-1] = json.loads(quoted)
+            expect = ":"
+            continue
+        if mark == ":" and expect == ":":
+            expect = "value"
+            continue
+        if mark == "," and expect == "," and stack:
+            expect = "value" if isinstance(stack[-1], list) else "key"
+            continue
+        if mark in ("]", "}"):
+            fine = expect in (",", "first") if mark == "]" else expect in (",", "first key")
+            if not stack or not fine or isinstance(stack[-1], list) != (mark == "]"):
+                raise Unreadable
+            value = stack.pop()
+            keys.pop()
+        elif not mark and expect in ("value", "first"):
+            try:
+                value = json.loads(quoted or bare)
+            except ValueError:
+                raise Unreadable from None
+        else:
+            raise Unreadable
+        if not stack:
+            result, expect = value, "nothing"
+        elif isinstance(stack[-1], list):
+            stack[-1].append(value)
+            expect = ","
+        else:
+            stack[-1][keys[-1]] = value
+            expect = ","
+    if expect != "nothing":
+        raise Unreadable
+    return result
+
+
+def read(text: str):
+    """Value of a text in either notation, however deep; raises ``Unreadable``."""
+    try:
+        return read_json(text)
+    except Unreadable:
         return read_sqf(text)
 
 
 def read_list(value) -> list:
-    """The entries of a list field: a list, a lone item, or either as text; raises ``Unreadable``.
+    """The entries of a list field: a list, a lone item, or either as text (wrapped any number of times); raises ``Unreadable``.
 
     A list whose second entry is a number is one item in array notation.
     """
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):
         text = value.strip()
         if text[:1] not in ("[", "{", '"', "'"):
             return [text] if text else []
@@ -105,9 +164,7 @@ def read_list(value) -> list:
 def gear_list(text: str) -> list:
     """The item list of a whole text: named ``gear`` in an object, wrapped deeper, or standing alone."""
     value = text.strip()
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):
         value = value.strip()
         if not value:
             return []
@@ -117,7 +174,7 @@ def gear_list(text: str) -> list:
     if not isinstance(value, dict):
         return read_list(value)
     level = [value]
-    for _ in range(MAX_DEPTH):
+    while level:
         below = []
         for node in level:
             if "gear" in node:
@@ -130,8 +187,6 @@ def gear_list(text: str) -> list:
                         continue
                 if isinstance(v, dict):
                     below.append(v)
-        if not below:
-            break
         level = below
     return [value] if item_class(value) is not None else []
 

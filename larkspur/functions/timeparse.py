@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A text longer than this names no instant (no known format comes near it).
-MAX_CHARS = 80
+#: A text longer than this, runs of blanks counted as one, names no instant: the longest form, with the longest zone
+#: name and a fraction of 300 digits, stays below.
+MAX_CHARS = 400
 _BLANKS = " \t\r\n\f\v "
 #: English month names in calendar order.
 _MONTHS = "january february march april may june july august september october november december".split()
@@ -66,23 +67,26 @@ def _days(y: np.ndarray, mo: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.
     return first + d - 1, fine & (d <= length)
 
 
-def parse(texts: pa.Array, month_first: pa.Array) -> pa.StructArray:
+def parse(texts: pa.Array, month_first: pa.Array, dotted_too: pa.Array | None = None) -> pa.StructArray:
     """``base_us`` (microseconds on the text's own clock), ``off_s`` (its offset, null if not
     settled by the text) and ``place`` (abbreviation, or ``[zone]``) of every text; ``base_us`` is
-    null where the text names no date-time.  Digits finer than a microsecond are cut.
+    null where the text names no date-time.  Digits finer than a microsecond are cut.  Dates in
+    figures with ``/`` are month-first where ``month_first`` says so, with ``.`` only if ``dotted_too``
+    does as well.
     """
     n = len(texts)
     base, off = np.zeros(n, np.int64), np.zeros(n, np.int32)
     ok, settled = np.zeros(n, bool), np.zeros(n, bool)
     places: list[str] = [""]
     place = np.zeros(n, np.int32)
-    t = pc.utf8_trim(texts.cast(pa.string()), characters=_BLANKS)
+    t = pc.replace_substring_regex(pc.utf8_trim(texts.cast(pa.string()), characters=_BLANKS), r"[\s\v]{2,}", " ")
     t = pc.if_else(pc.fill_null(pc.less_equal(pc.binary_length(t), MAX_CHARS), False), t, "")
     if isinstance(t, pa.ChunkedArray):
         t = t.combine_chunks()
     shapes = pc.replace_substring_regex(t, "[0-9]", "9").dictionary_encode()
     codes = shapes.indices.to_numpy(zero_copy_only=False)
     mdy = pc.fill_null(month_first, False).to_numpy(zero_copy_only=False).astype(bool)
+    dots = np.zeros(n, bool) if dotted_too is None else pc.fill_null(dotted_too, False).to_numpy(zero_copy_only=False).astype(bool)
     offsets = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     data = np.frombuffer(t.buffers()[2], np.uint8) if n and t.buffers()[2] is not None else np.zeros(0, np.uint8)
     by_code = np.argsort(codes, kind="stable")
@@ -102,8 +106,7 @@ def parse(texts: pa.Array, month_first: pa.Array) -> pa.StructArray:
         y = _number(cells, m, "y")
         if g.get("p1"):
             one, two = _number(cells, m, "p1"), _number(cells, m, "p2")
-            # Dotted figures are day-first everywhere; the server's order rules for "/".
-            flip = mdy[rows] & (g["sep"] == "/")
+            flip = mdy[rows] & (dots[rows] | (g["sep"] == "/"))
             mo, d = np.where(flip, one, two), np.where(flip, two, one)
         elif g.get("name"):
             d = _number(cells, m, "d")
@@ -139,10 +142,14 @@ def parse(texts: pa.Array, month_first: pa.Array) -> pa.StructArray:
                 places.append(g["abbr"].upper())
                 place[rows] = len(places) - 1
         elif g["zone"]:
-            if "9" in g["zone"]:  # a zone name with figures: its letters alone do not tell it
-                fine[:] = False
-            places.append(f"[{g['zone']}]")
-            place[rows] = len(places) - 1
+            if "9" in g["zone"]:  # a zone name with figures: the shape does not tell it
+                lo, hi = m.span("zone")
+                names, inverse = np.unique(cells[:, lo:hi], axis=0, return_inverse=True)
+                place[rows] = len(places) + inverse.reshape(-1)
+                places += [f"[{x.tobytes().decode()}]" for x in names]
+            else:
+                places.append(f"[{g['zone']}]")
+                place[rows] = len(places) - 1
         ok[rows] = fine
     names = pa.DictionaryArray.from_arrays(pa.array(place), pa.array(places)).cast(pa.string())
     return pa.StructArray.from_arrays(

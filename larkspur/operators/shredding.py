@@ -56,43 +56,57 @@ def shred(texts: list[str | None], name: str = "gear") -> dict[tuple[str, ...],
     """
     paths: dict[tuple[str, ...], _Path] = {(name,): _Path()}
 
-    def stripe(path: tuple[str, ...], entries: list, parent_ordinal: int, rep: int) -> None:
-        depth = len(path)
+    def opened(path: tuple[str, ...], entries: list, parent_ordinal: int, rep: int) -> list:
         column = paths.get(path)
         if column is None:
             column = paths[path] = _Path()
-        column.skip_to(parent_ordinal, depth)
-        for item in entries:
-            cls = gear.item_class(item)
-            column.rep.append(rep)
-            column.run.append(1)
-            ordinal = column.size
-            column.size += 1
-            if cls is None:
-                column.deff.append(2 * depth - 1)
-            else:
+        column.skip_to(parent_ordinal, len(path))
+        return [path, column, iter(entries), rep]
+
+    def stripe(path: tuple[str, ...], entries: list, parent_ordinal: int) -> None:
+        # Lists that are under way, the innermost last: no recursion, so no limit of depth.
+        stack = [opened(path, entries, parent_ordinal, 0)]
+        while stack:
+            path, column, rest, rep = now = stack[-1]
+            depth = len(path)
+            for item in rest:
+                now[3] = depth
+                cls = gear.item_class(item)
+                column.rep.append(rep)
+                column.run.append(1)
+                ordinal = column.size
+                column.size += 1
+                if cls is None:
+                    column.deff.append(2 * depth - 1)
+                    rep = depth
+                    continue
                 column.deff.append(2 * depth)
                 column.cls.append(cls)
                 column.cnt.append(gear.item_count(item))
-                if depth < gear.MAX_DEPTH:
-                    for field, raw in gear.item_children(item):
-                        try:
-                            below = gear.read_list(raw)
-                        except (gear.Unreadable, RecursionError):
-                            continue
-                        if below:
-                            stripe((*path, field), below, ordinal, rep)
-            rep = depth
+                below = []
+                for field, raw in gear.item_children(item):
+                    try:
+                        entries = gear.read_list(raw)
+                    except gear.Unreadable:
+                        continue
+                    if entries:
+                        below.append(opened((*path, field), entries, ordinal, rep))
+                if below:
+                    stack += below
+                    break
+                rep = depth
+            else:
+                stack.pop()
 
     for row, text in enumerate(texts):
         if not text or not text.strip():
             continue
         try:
             entries = gear.gear_list(text)
-        except (gear.Unreadable, RecursionError):
+        except gear.Unreadable:
             continue
         if entries:
-            stripe((name,), entries, row, 0)
+            stripe((name,), entries, row)
     return paths
 
 
@@ -155,7 +169,7 @@ def gear_items(table: DataFrame, source_table: str, key: str, text: str) -> Data
     ``item_path`` of its parent under the same ``row_key``.  Null, empty and
     cut-off texts give no rows; null entries take a position but give no row;
     a child list that cannot be read is left out with everything below it.
-    Repeated rows count once.
+    Nesting may be of any depth.  Repeated rows count once.
     """
     ship(table.sparkSession)
     slim = table.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("text")).filter("text IS NOT NULL").distinct()

@@ -8,12 +8,17 @@ year): the number of intervals that contain the local time is the verdict --
 one gives the offset, two mean the clock showed that time twice, none means it
 never showed it.
 
-Broadcast bound: the interval table has (zones of the server table) x (years)
-rows; there are fewer than 700 IANA zones and 200 years, whatever the data size.
+Broadcast bound: the interval table has (zones of the server table and zones
+named in texts) x (``FIRST_YEAR`` to ``LAST_YEAR``) rows; there are fewer than
+700 IANA zones, whatever the data size.  Years before and after need no rows:
+clocks before 1800 keep their first offset, and from ``RULED_YEAR`` on, where
+only yearly rules are left, a year is like every other that begins on the same
+weekday and is as long.
 """
 
 from __future__ import annotations
 
+from calendar import isleap
 from collections.abc import Iterable
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
@@ -29,6 +34,9 @@ from larkspur.plans.ship import ship
 
 #: Most zone names that a server table may hold (there are fewer than 700).
 MAX_ZONES = 1000
+#: Years of the interval table: from before the first zone change to one of each kind of year under yearly rules alone.
+FIRST_YEAR, RULED_YEAR, LAST_YEAR = 1800, 2101, 2128
+_ALWAYS = 2**62
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _INTERVAL = T.ArrayType(
     T.StructType(
@@ -44,11 +52,12 @@ _INTERVAL = T.ArrayType(
 
 
 @lru_cache(maxsize=1024)
-def zone_periods(zone: str, first_year: int = 1970, last_year: int = 2100) -> tuple[tuple[int, int, int, str], ...]:
-    """Periods ``(utc_start, utc_end, offset, abbreviation)`` of constant offset, in seconds.
+def zone_periods(zone: str) -> tuple[tuple[int, int, int, str], ...]:
+    """Periods ``(utc_start, utc_end, offset, abbreviation)`` of constant offset, in seconds; the first has no begin.
 
     Found by stepping through the zone's rules and bisecting every step over
-    which the offset or the abbreviation changes.
+    which the offset or the abbreviation changes, to quarters of an hour first,
+    where nearly all changes lie.
     """
     tz = ZoneInfo(zone)
 
@@ -56,60 +65,96 @@ def zone_periods(zone: str, first_year: int = 1970, last_year: int = 2100) -> tu
         moment = (_EPOCH + timedelta(seconds=second)).astimezone(tz)
         return int(moment.utcoffset().total_seconds()), moment.tzname() or ""
 
-    step = 9 * 86400
-    begin = int((datetime(first_year, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) - 2 * 86400
-    stop = int((datetime(last_year + 1, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) + 2 * 86400
-    out, start, now, second = [], begin, at(begin), begin
+    begin, stop = _new_year(FIRST_YEAR) - 2 * 86400, _new_year(LAST_YEAR + 1) + 2 * 86400
+    out, start, now, second = [], -_ALWAYS, at(begin), begin
     while second < stop:
-        ahead = min(second + step, stop)
-        then = at(ahead)
-        if then != now:
+        ahead = min(second + 9 * 86400, stop)
+        if at(ahead) != now:
             lo, hi = second, ahead
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                if at(mid) == now:
-                    lo = mid
-                else:
-                    hi = mid
+            for grain in (900, 1):
+                while hi - lo > grain:
+                    mid = (lo + hi) // (2 * grain) * grain
+                    if at(mid) == now:
+                        lo = mid
+                    else:
+                        hi = mid
+                if at(hi - 1) == now:
+                    break
             out.append((start, hi, *now))
-            start, now, second = hi, at(hi), hi
+            start, now, second = hi, at(hi), hi - hi % 900
         else:
             second = ahead
     out.append((start, stop, *now))
     return tuple(out)
 
 
-def zone_intervals(spark: SparkSession, zones: list[str], first_year: int = 1970, last_year: int = 2100) -> DataFrame:
+def _new_year(year: int) -> int:
+    return int((datetime(year, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+
+
+@lru_cache(maxsize=1)
+def _like_years() -> list[int]:
+    """For every year modulo 400 a year from ``RULED_YEAR`` to ``LAST_YEAR`` with the same calendar."""
+    def kind(y: int) -> tuple[int, bool]:
+        return datetime(y, 1, 1).weekday(), isleap(y)
+
+    first = {}
+    for y in range(RULED_YEAR, LAST_YEAR + 1):
+        first.setdefault(kind(y), y)
+    return [first[kind(2400 + r)] for r in range(400)]
+
+
+@lru_cache(maxsize=1)
+def _zone_names() -> dict[str, str]:
+    """IANA names by their lower-case spelling."""
+    return {z.lower(): z for z in available_timezones()}
+
+
+def zone_intervals(spark: SparkSession, zones: list[str]) -> DataFrame:
     """One row per (zone, local year) with the offset intervals that touch that local year.
 
-    Columns ``zone``, ``local_year``, ``spans`` (array of ``lo``, ``hi`` in local
+    Columns ``zone`` (lower case), ``local_year``, ``spans`` (array of ``lo``, ``hi`` in local
     seconds, ``off`` in seconds, ``abbr``).  Names that are no IANA zone are left out.
     """
-    known = available_timezones()
+    known = _zone_names()
     rows = []
-    years = range(first_year, last_year + 1)
-    edges = [int((datetime(y, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for y in [*years, last_year + 1]]
-    for zone in sorted({z for z in zones if z in known}):
-        periods = [(lo + off, hi + off, off, abbr) for lo, hi, off, abbr in zone_periods(zone, first_year, last_year)]
+    years = range(FIRST_YEAR, LAST_YEAR + 1)
+    edges = [_new_year(y) for y in [*years, LAST_YEAR + 1]]
+    for zone in sorted({z.lower() for z in zones if z.lower() in known}):
+        periods = [(lo + off, hi + off, off, abbr) for lo, hi, off, abbr in zone_periods(known[zone])]
+        first = 0
         for k, year in enumerate(years):
-            rows.append((zone, year, [p for p in periods if p[0] < edges[k + 1] and p[1] > edges[k]]))
+            while periods[first][1] <= edges[k] and first + 1 < len(periods):
+                first += 1
+            end = first
+            # Local spans overlap by hours at most, so one more tells where a year's spans end.
+            while end < len(periods) and periods[end][0] < edges[k + 1]:
+                end += 1
+            rows.append((zone, year, [p for p in periods[max(0, first - 1) : end] if p[0] < edges[k + 1] and p[1] > edges[k]]))
     schema = T.StructType(
         [T.StructField("zone", T.StringType()), T.StructField("local_year", T.IntegerType()), T.StructField("spans", _INTERVAL)]
     )
     return spark.createDataFrame(rows, schema)
 
 
+def named_zones(df: DataFrame, text: str) -> list[str]:
+    """IANA zones (lower case) that texts name in brackets: at most all there are, whatever the number of rows."""
+    name = F.lower(F.regexp_extract(text, r"\[([A-Za-z0-9_+/-]+)\]\s*$", 1))
+    found = df.filter(F.contains(F.col(f"`{text}`"), F.lit("["))).select(name.alias("z")).filter(F.col("z").isin(sorted(_zone_names())))
+    return [r.z for r in found.distinct().collect()]
+
+
 _PARSED = T.StructType(
     [T.StructField("base_us", T.LongType()), T.StructField("off_s", T.IntegerType()), T.StructField("place", T.StringType())]
 )
 
 
 @F.arrow_udf(_PARSED)
-def _parsed(texts: pa.Array, month_first: pa.Array) -> pa.Array:
-    return timeparse.parse(texts, month_first)
+def _parsed(texts: pa.Array, month_first: pa.Array, dotted_too: pa.Array) -> pa.Array:
+    return timeparse.parse(texts, month_first, dotted_too)
 
 
-def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, server_id: str = "server_id") -> DataFrame:
+def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, server_id: str = "server_id", dotted: str = "dmy") -> DataFrame:
     """Append ``out``: microseconds since 1970 UTC of the instant that ``text`` names, else NULL.
 
     ``servers`` has ``server_id``, ``zone`` (IANA) and ``date_order`` (``dmy`` or
@@ -122,10 +167,14 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     local time shown twice or never, and a local time of an unknown server or
     zone give NULL.  Digits finer than a microsecond are cut.  Figures separated
     by ``/`` follow the server's date order (day-first if unknown); dotted
-    figures are day-first on every server (see the README for the evidence).  A
-    numeric offset wins over a bracketed zone name beside it.  An abbreviation
-    is looked up in the server's zone.
+    figures are day-first on every server (``dotted="dmy"``, see the README for
+    the evidence) or follow it too (``dotted="server"``).  A numeric offset wins
+    over a bracketed zone name beside it; a bracketed name alone may be any IANA
+    zone, in any case.  An abbreviation is looked up in the server's zone.  Any
+    year from 1 to 9999 is resolved.
     """
+    if dotted not in ("dmy", "server"):
+        raise ValueError("dotted must be 'dmy' or 'server'")
     ship(df.sparkSession)
     spark = df.sparkSession
     zones = [r.zone for r in servers.select("zone").distinct().limit(MAX_ZONES + 1).collect() if r.zone]
@@ -136,21 +185,24 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     )
     c = F.col
     x = df.join(F.broadcast(place), c(f"`{server_id}`") == c("_ls_ts_server"), "left")
-    x = x.withColumn("_ls_p", _parsed(c(f"`{text}`"), c("_ls_ts_order") == "mdy"))
+    x = x.withColumn("_ls_p", _parsed(c(f"`{text}`"), c("_ls_ts_order") == "mdy", F.lit(dotted == "server")))
     bracket = F.startswith(c("_ls_p.place"), F.lit("["))
-    year = F.year(F.timestamp_micros(c("_ls_p.base_us")))
+    year = F.year(F.date_from_unix_date(F.floor(c("_ls_p.base_us") / F.lit(86_400_000_000.0)).cast("int")))
+    like = F.when(year > LAST_YEAR, F.element_at(F.array(*[F.lit(y) for y in _like_years()]), F.pmod(year, F.lit(400)) + 1)).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
+    moved = F.when(year > LAST_YEAR, F.unix_date(F.make_date(year, F.lit(1), F.lit(1))) - F.unix_date(F.make_date(like, F.lit(1), F.lit(1)))).otherwise(F.lit(0))
     x = x.select(
         *[c(f"`{k}`") for k in df.columns],
         c("_ls_p.base_us").alias("_ls_base"),
         c("_ls_p.off_s").alias("_ls_off"),
         F.when(bracket, F.lit("")).otherwise(c("_ls_p.place")).alias("_ls_abbr"),
-        F.when(bracket, F.btrim(c("_ls_p.place"), F.lit("[]"))).otherwise(c("_ls_ts_zone")).alias("_ls_zone"),
+        F.lower(F.when(bracket, F.btrim(c("_ls_p.place"), F.lit("[]"))).otherwise(c("_ls_ts_zone"))).alias("_ls_zone"),
         # Only values that the text leaves open take part in the as-of join.
-        F.when(c("_ls_p.off_s").isNull(), year).alias("_ls_year"),
+        F.when(c("_ls_p.off_s").isNull(), like).alias("_ls_year"),
+        (moved.cast("long") * 86_400).alias("_ls_moved"),
     )
-    spans = zone_intervals(spark, zones).withColumnsRenamed({"zone": "_ls_z", "local_year": "_ls_y", "spans": "_ls_spans"})
+    spans = zone_intervals(spark, [*zones, *named_zones(df, text)]).withColumnsRenamed({"zone": "_ls_z", "local_year": "_ls_y", "spans": "_ls_spans"})
     x = x.join(F.broadcast(spans), (c("_ls_zone") == c("_ls_z")) & (c("_ls_year") == c("_ls_y")), "left")
-    second = F.floor(c("_ls_base") / F.lit(1_000_000.0)).cast("long")
+    second = F.floor(c("_ls_base") / F.lit(1_000_000.0)).cast("long") - c("_ls_moved")
     hit = F.when(c("_ls_abbr") == "", F.filter("_ls_spans", lambda i: (i.lo <= second) & (second < i.hi))).otherwise(
         F.filter("_ls_spans", lambda i: i.abbr == c("_ls_abbr"))
     )

@@ -2,11 +2,16 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from table_rows import rows
 
 from larkspur.functions import gear
 from larkspur.operators.shredding import gear_items
 
+#: Deeper than the standard reader goes.
+DEEP = 20_000
+
 
 def brute(text):
     """Paths by plain recursion."""
@@ -96,7 +101,37 @@ def test_array_notation():
             gear.read_sqf(bad)
 
 
-def test_deep_nesting_does_not_crash(spark):
-    deep = "[" * 5000 + "]" * 5000
-    df = spark.createDataFrame([(1, deep), (2, '["a"]')], "id long, t string")
-    assert rows(gear_items(df, "x", "id", "t").select("row_key")) == [("2",)]
+def test_nesting_of_any_depth(spark):
+    deep = 700
+    array = '["c",1,[' * deep + '"x"' + "]]" * deep
+    objects = '{"class":"c","mags":[' * deep + '"x"' + "]}" * deep
+    wrapped = json.dumps(["a", {"class": "b", "contents": "[\"x\"]"}])
+    for _ in range(10):
+        wrapped = json.dumps(wrapped)
+    texts = ["[" * 50_000 + "]" * 50_000, array, objects, wrapped, "[" * 50_000, objects[:-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {}
+    for r in gear_items(df, "x", "id", "t").select("row_key", "item_path", "depth").collect():
+        got.setdefault(r.row_key, {})[r.depth] = r.item_path
+    assert set(got) == {"1", "2", "3"}
+    assert len(got["1"]) == len(got["2"]) == deep + 1
+    assert got["1"][deep + 1] == "gear.0" + ".contents.0" * deep and got["2"][deep + 1] == "gear.0" + ".mags.0" * deep
+    assert got["3"] == {1: "gear.1", 2: "gear.1.contents.0"}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=12))
+@settings(max_examples=30, deadline=None)
+def test_deep_reader_agrees_with_the_standard_one(value):
+    text = json.dumps(value)
+    with pytest.raises(RecursionError):
+        json.loads("[" * DEEP + "]" * DEEP)
+    inner = gear.read_json("[" * DEEP + text + "]" * DEEP)
+    for _ in range(DEEP):
+        inner = inner[0]
+    assert inner == value
+
+
+@pytest.mark.parametrize("bad", ["1]", "[1,]", "[,1]", '{"a" 1}', '{"a":1,}', "[1 2]", "{1:2}", "{]", '{"a"}', "x"])
+def test_deep_reader_refuses_what_is_no_json(bad):
+    with pytest.raises(gear.Unreadable):
+        gear.read_json("[" * DEEP + bad + "]" * DEEP)

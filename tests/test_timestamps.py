@@ -35,6 +35,24 @@ CASES = [
     (1, "Tue, 20 Aug 2024 12:00:00 -0500", us(2024, 8, 20, 12, offset=-5)),
     (1, "2024-08-20 12:00:00,250 +0530", us(2024, 8, 20, 12, offset=5.5, micro=250000)),
     (1, "2024-08-20T12:00:00+02:00[Europe/Berlin]", us(2024, 8, 20, 12, offset=2)),
+    (1, "2024-08-20 12:00:00 [Asia/Tokyo]", us(2024, 8, 20, 12, offset=9)),
+    (9, "2024-08-20 12:00:00[america/new_york]", us(2024, 8, 20, 12, offset=-4)),
+    (1, "2024-08-20 12:00:00 [Etc/GMT+5]", us(2024, 8, 20, 12, offset=-5)),
+    (1, "2024-08-20 12:00:00 [Etc/GMT-5]", us(2024, 8, 20, 12, offset=5)),
+    (1, "2024-08-20 12:00:00 [Mars/Base]", None),
+    (1, "2024-08-20" + " " * 500 + "12:00:00", us(2024, 8, 20, 12, offset=2)),
+    (1, "2024-08-20T12:00:00.5" + "0" * 200 + "Z", us(2024, 8, 20, 12, micro=500_000)),
+    (3, "0001-01-01 00:00:00", us(1, 1, 1)),
+    (3, "9999-12-31 23:59:59", us(9999, 12, 31, 23, 59, 59)),
+    (2, "1969-07-20 16:17:40", us(1969, 7, 20, 16, 17, 40, offset=-4)),
+    (2, "2101-07-01 12:00:00", us(2101, 7, 1, 12, offset=-4)),
+    (2, "2555-07-01 12:00:00", us(2555, 7, 1, 12, offset=-4)),
+    (2, "9999-01-01 12:00:00", us(9999, 1, 1, 12, offset=-5)),
+    (2, "2555-03-08 02:30:00", us(2555, 3, 8, 2, 30, offset=-5)),
+    (2, "2555-03-09 02:30:00", None),
+    (2, "2555-03-10 02:30:00", us(2555, 3, 10, 2, 30, offset=-4)),
+    (2, "2555-11-02 01:30:00", None),
+    (5, "2129-01-01 00:30:00", us(2129, 1, 1, 0, 30, offset=11)),
     (2, "2024-11-03 01:30:00", None),
     (2, "2024-11-03 01:30:00 EST", us(2024, 11, 3, 1, 30, offset=-5)),
     (2, "2024-11-03 01:30:00 EDT", us(2024, 11, 3, 1, 30, offset=-4)),
