@@ -10,7 +10,8 @@ and so certifies the true rank error, whatever the clustering did.
 
 Skew: every partition folds its own rows first, so a group that holds a third
 of all rows leaves a partition as at most ``delta + 1`` centroids; these merge
-in two levels, salted by the partition they come from.
+in two levels, salted by the partition they come from.  All groups of a
+partition are clustered at once, as they stream by in sorted order.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from larkspur.plans.ship import ship
 
 #: Up to so many groups, the estimates are broadcast to the counting pass; beyond, they join by shuffle.
 BROADCAST_GROUPS = 50_000
-#: Rows held by the map side before they are clustered.
+#: Rows held by a task before they are clustered.
 FOLD_ROWS = 500_000
 _SALTS = 64
 _CENTROIDS = "mean double, weight long, lo double, hi double"
@@ -55,11 +57,17 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, lo: np.ndar
     return group[at], np.clip(m, low, high), w, low, high
 
 
-def _emit(names: list, group: np.ndarray, mean: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([names[g] for g in group.tolist()], pa.string()), pa.array(mean), pa.array(weight), pa.array(lo), pa.array(hi)],
-        names=["grp", "mean", "weight", "lo", "hi"],
-    )
+def _emit(keys: list[pa.Array], group: np.ndarray, mean: np.ndarray, weight: np.ndarray, lo: np.ndarray, hi: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    at = pa.array(group)
+    return pa.RecordBatch.from_arrays([*[k.take(at) for k in keys], *map(pa.array, (mean, weight, lo, hi))], names=[*names, "mean", "weight", "lo", "hi"])
+
+
+def stated_bound(q: float, n: int, delta: int = 400, levels: int = 4) -> float:
+    """Rank error that an estimate should stay under: a cluster spans ``pi / delta * sqrt(q (1 - q))`` of the ranks at
+    ``q`` (and at the ends no more than ``(pi / delta) ** 2``), every level of merging adds as much, and a rank is a whole number.
+    """
+    unit = np.pi / delta
+    return float(levels * (unit * np.sqrt(q * (1 - q)) + unit**2) + 1 / max(1, n))
 
 
 def centroids(df: DataFrame, group: str, value: str, delta: int = 400, weight: str | None = None) -> DataFrame:
@@ -94,20 +102,48 @@ def centroids(df: DataFrame, group: str, value: str, delta: int = 400, weight: s
                 held = [cluster(*(np.concatenate(x) for x in zip(*held)), delta)]
                 rows = len(held[0][0])
         if held:
-            yield _emit(names, *cluster(*(np.concatenate(x) for x in zip(*held)), delta))
+            yield _emit([pa.array(names, pa.string())], *cluster(*(np.concatenate(x) for x in zip(*held)), delta), ["grp"])
 
     return slim.mapInArrow(run, "grp string, " + _CENTROIDS)
 
 
 def _recluster(df: DataFrame, keys: list[str], delta: int) -> DataFrame:
-    def merge(t: pa.Table) -> pa.Table:
-        x = [t[n].combine_chunks().to_numpy(zero_copy_only=False) for n in ("mean", "weight", "lo", "hi")]
-        _, *out = cluster(np.zeros(len(t), np.int64), *x, delta)
-        n = len(out[0])
-        return pa.table([*[pa.array([t[k][0].as_py()] * n, t[k].type) for k in keys], *[pa.array(o) for o in out]], names=[*keys, "mean", "weight", "lo", "hi"])
-
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.groupBy(*keys).applyInArrow(merge, f"{schema}, {_CENTROIDS}")
+    """Cluster the centroids of each group; a task holds ``FOLD_ROWS`` rows, a batch and what is left of one group."""
+    names = ["mean", "weight", "lo", "hi"]
+
+    def fold(held: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.concat_tables(held).combine_chunks()
+        # Groups lie together, so a new one begins where a key changes.
+        new = np.zeros(len(t), bool)
+        new[0] = True
+        for k in keys:
+            c = t[k].combine_chunks()
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        x = [t[n].combine_chunks().to_numpy(zero_copy_only=False) for n in names]
+        group, *out = cluster(np.cumsum(new) - 1, *x, delta)
+        heads = [t[k].combine_chunks().take(pa.array(np.flatnonzero(new))) for k in keys]
+        return pa.Table.from_batches([_emit(heads, group, *out, keys)]), group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+                rows += batch.num_rows
+            if rows > FOLD_ROWS:
+                out, group = fold(held)
+                # The last group may go on.
+                end = int(np.searchsorted(group, group[-1]))
+                yield from out.slice(0, end).to_batches()
+                held = [out.slice(end)]
+                rows = len(held[0])
+        if held:
+            yield from fold(held)[0].to_batches()
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return df.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{schema}, {_CENTROIDS}")
 
 
 def merge_digests(parts: DataFrame, delta: int = 400) -> DataFrame:

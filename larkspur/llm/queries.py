@@ -12,6 +12,7 @@ from larkspur.llm.leakage import leaked_items
 from larkspur.llm.packing import pack, token_counts
 from larkspur.llm.subjects import subject_areas
 from larkspur.plans.materialize import cut
+from larkspur.plans.skew import row_hash
 from larkspur.sources.tables import table
 
 #: Percentiles reported per weapon class.
@@ -24,12 +25,15 @@ ARRIVAL_BLOCK = 100_000
 
 def _distances(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     """``weapon, distance, n`` (and ``extra``): measured distances of distinct events, equal ones counted together."""
-    kills = table(spark, d, "kill_events").distinct().filter("distance >= 0")
+    raw = table(spark, d, "kill_events")
     weapon = F.lower(F.regexp_replace("killer_weapon", r"^\s+|\s+$", ""))
-    kills = kills.withColumn("weapon", F.when(F.coalesce(weapon, F.lit("")) == "", F.lit("unspecified")).otherwise(weapon))
-    kills = kills.withColumn("block", F.floor(F.coalesce("id", F.lit(0)) / F.lit(float(ARRIVAL_BLOCK))))
+    block = F.floor(F.coalesce("id", F.lit(0)) / F.lit(float(ARRIVAL_BLOCK)))
+    # Repeated rows drop out by what is needed of them and a hash of the whole row, so only five narrow columns travel.
+    kills = raw.withColumn("row_hash", row_hash(raw)).filter("distance >= 0").select(
+        "id", "row_hash", block.alias("block"), F.when(F.coalesce(weapon, F.lit("")) == "", F.lit("unspecified")).otherwise(weapon).alias("weapon"), "distance"
+    )
     # Written once: both the clustering and the counting pass read the combined counts.
-    return cut(kills.groupBy("weapon", "distance", *extra).agg(F.count(F.lit(1)).alias("n")))
+    return cut(kills.distinct().groupBy("weapon", "distance", *extra).agg(F.count(F.lit(1)).alias("n")))
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -44,29 +48,39 @@ def _block_digests(counted: DataFrame) -> DataFrame:
     return digest_rows(merge_digests(centroids(parts, "key", "distance", weight="n")))
 
 
+def _merged(stored: DataFrame) -> DataFrame:
+    """One digest per weapon class, merged from the blocks' stored ones."""
+    again = centroid_rows(stored).withColumn("grp", F.expr("substr(grp, instr(grp, '|') + 1)"))
+    return digest_rows(merge_digests(again))
+
+
+def _with_points(stored: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    points = certified(counted, key, "distance", cut(estimates(stored, QS)), QS, "n")
+    points = points.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("q", "estimate", "rank_error"))).alias("points"))
+    return stored.join(points, "grp")
+
+
 def p2_digests(spark: SparkSession, d: str) -> DataFrame:
-    """One mergeable digest per arrival block and weapon class, with its percentiles and their certified rank errors.
+    """One mergeable digest per arrival block and weapon class and, with a null block, the merged one of each class over
+    all blocks, with percentiles and their certified rank errors.
 
     ``points`` lists quantile, estimate and rank error; ``means`` and ``weights`` are
-    the centroids from which ``p2_merged_blocks`` merges any blocks.
+    the centroids, from which any blocks can be merged.
     """
     counted = _distances(spark, d, "block")
     stored = cut(_block_digests(counted))
     keyed = counted.withColumn("key", F.concat_ws("|", F.col("block").cast("string"), "weapon"))
-    points = certified(keyed, "key", "distance", cut(estimates(stored, QS)), QS, "n")
-    points = points.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("q", "estimate", "rank_error"))).alias("points"))
-    x = stored.join(points, "grp").withColumn("bar", F.instr("grp", "|"))
-    return x.select(
-        F.expr("CAST(substr(grp, 1, bar - 1) AS bigint)").alias("block"), F.expr("substr(grp, bar + 1)").alias("weapon"),
-        "n", F.col("lo").alias("least"), F.col("hi").alias("greatest"), "points", "means", "weights",
-    )
+    blocks = _with_points(stored, keyed, "key").withColumn("bar", F.instr("grp", "|"))
+    blocks = blocks.withColumns({"block": F.expr("CAST(substr(grp, 1, bar - 1) AS bigint)"), "weapon": F.expr("substr(grp, bar + 1)")})
+    whole = _with_points(cut(_merged(stored)), counted, "weapon").withColumns({"block": F.lit(None).cast("bigint"), "weapon": F.col("grp")})
+    columns = ["block", "weapon", "n", F.col("lo").alias("least"), F.col("hi").alias("greatest"), "points", "means", "weights"]
+    return blocks.select(*columns).unionByName(whole.select(*columns))
 
 
 def p2_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per weapon class over all blocks, merged from the blocks' stored digests."""
     counted = _distances(spark, d, "block")
-    again = centroid_rows(_block_digests(counted)).withColumn("grp", F.expr("substr(grp, instr(grp, '|') + 1)"))
-    ests = cut(estimates(digest_rows(merge_digests(again)), QS))
+    ests = cut(estimates(_merged(_block_digests(counted)), QS))
     return certified(counted, "weapon", "distance", ests, QS, "n").withColumnRenamed("grp", "weapon")
 
 

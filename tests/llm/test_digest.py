@@ -51,3 +51,16 @@ def test_weights_and_empty(spark):
     a = {(r.grp, r.q): r.n for r in digest.percentiles(counted, "g", "v", (0.5,), weight="n").collect()}
     assert a["ties", 0.5] == 3000
     assert digest.percentiles(df.limit(0), "g", "v", (0.5,)).count() == 0
+
+
+def test_estimates_stay_under_the_stated_bound(spark):
+    df, data = frame(spark)
+    for r in digest.percentiles(df.filter("g = 'hot'"), "g", "v", QS).collect():
+        assert r.rank_error <= digest.stated_bound(r.q, r.n)
+
+
+def test_many_groups_merge_as_they_stream_by(spark, monkeypatch):
+    monkeypatch.setattr(digest, "FOLD_ROWS", 300)
+    df = spark.range(60_000).select(F.concat(F.lit("g"), F.col("id") % 37).alias("g"), (F.col("id") / 37).alias("v")).repartition(11)
+    out = digest.percentiles(df, "g", "v", (0.25, 0.5), delta=50).collect()
+    assert len(out) == 74 and all(r.n in (1621, 1622) and r.rank_error <= digest.stated_bound(r.q, r.n, 50, 8) for r in out)
