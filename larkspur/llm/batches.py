@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 #: Characters handled at once.
 PORTION = 4_000_000
-#: Longer texts are read in pieces that share so many characters, far more than any stretch or window spans.
+#: Longer texts are read in pieces that share so many characters at least, far more than any window spans.
 OVERLAP = 50_000
 
 

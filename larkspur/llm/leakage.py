@@ -1,8 +1,9 @@
 """Evaluation passages inside a training corpus.
 
 Text is reduced to a string over 32 symbols (letters and digits, accents and
-look-alikes folded, everything else dropped), so layout, hyphenation, case and
-punctuation play no part.  For every document, in one pass over its whole text:
+look-alikes folded, letters of other scripts spread over the same symbols,
+everything else dropped), so layout, hyphenation, case and punctuation play no
+part.  For every document, in one pass over its whole text:
 
 1. *Q-gram filter.*  Shared q-grams of document and item are counted in
    diagonal bands that overlap by half.  Seeds are the q-grams that stand in one
@@ -37,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.batches import portions
+from larkspur.llm.batches import OVERLAP, PORTION, portions
+from larkspur.llm.letters import OTHER, UNSPACED, latin
 from larkspur.plans.materialize import cut
 from larkspur.plans.ship import ship
 
@@ -50,6 +52,8 @@ JUMP = 24
 MARGIN = 48
 #: Regions of one document and item further apart than this are not one stretch.
 MAX_GAP = 400
+#: Symbols aligned at once; longer regions are aligned in pieces that overlap by the margins.
+PIECE = 16_384
 #: Item words of a connected stretch that is a leak by itself and never a formula.
 PASSAGE = 20
 #: Most item words in a row that may be missing (changed) inside such a stretch.
@@ -81,22 +85,13 @@ def _code_table() -> np.ndarray:
             table[ord(ch)] = table[ord(base)]
             if ch.upper() != ch and len(ch.upper()) == 1 and ord(ch.upper()) < 256:
                 table[ord(ch.upper())] = table[ord(base)]
+    table[OTHER : OTHER + 32] = np.arange(32)
     return table
 
 
 CODES = _code_table()
-#: Typographic ligatures and what they stand for.
-_LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
-
-
-def _latin(text: str) -> bytes:
-    raw = text.encode("latin-1", "replace")
-    if b"?" in raw and not text.isascii():
-        for k, v in _LIGATURES.items():
-            if k in text:
-                text = text.replace(k, v)
-        raw = text.encode("latin-1", "replace")
-    return raw
+#: A word of an item: a run without blanks, or one character of a script that sets none between words.
+_WORD = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 
 
 def _grams(codes: np.ndarray) -> np.ndarray:
@@ -131,7 +126,7 @@ def _slot(grams: np.ndarray) -> np.ndarray:
 
 def _folded(text: str | None) -> list[np.ndarray]:
     """The words of a text as symbols; words without any are left out."""
-    parts = (CODES[np.frombuffer(_latin(m[0]), np.uint8)] for m in re.finditer(r"\S+", text or ""))
+    parts = (CODES[np.frombuffer(latin(m[0]), np.uint8)] for m in _WORD.finditer(text or ""))
     return [p[p != _SEP] for p in parts if (p != _SEP).any()]
 
 
@@ -303,6 +298,8 @@ def _align(rows: np.ndarray, cols: np.ndarray, band: int) -> np.ndarray:
         source[i] = np.maximum.accumulate(np.where(down == least, index, 0), axis=1)
         best = np.minimum(walk, least + JUMP)
         way[i] = np.where(best < down, np.where(walk <= best, 2, 3), np.where(over <= skip, 0, 1))
+        # Only differences count, so the sums stay small in a text of any length.
+        best -= best.min(axis=1, keepdims=True)
     k = best.argmin(axis=1)
     i = np.full(n, length - 1)
     found = np.full((n, length), -1)
@@ -355,7 +352,7 @@ def matches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) -> li
 
 def stretches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
     """What ``matches`` gives, and the signatures of the text around each match."""
-    raw = [_latin(t) if t else b"" for t in texts]
+    raw = [latin(t) if t else b"" for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     codes = CODES[np.frombuffer(b"".join(raw), np.uint8)]
     kept = np.flatnonzero(codes != _SEP)
@@ -381,6 +378,10 @@ def stretches(texts: list[str | None], index: ItemIndex, bitmap: np.ndarray) ->
     c_doc, c_item, c_diag, c_lo, c_hi = _candidates(doc, item, at - place, place, index)
     if not len(c_doc):
         return []
+    pieces = np.maximum(1, -(-(c_hi - c_lo) // PIECE))
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    c_doc, c_item, c_diag, c_lo, c_hi = (np.repeat(x, pieces) for x in (c_doc, c_item, c_diag, c_lo, c_hi))
+    c_lo, c_hi = c_lo + nth * PIECE, np.minimum(c_hi, c_lo + (nth + 1) * PIECE)
     lo = np.maximum(c_lo - MARGIN, index.starts[c_item])
     hi = np.minimum(c_hi + MARGIN, index.starts[c_item + 1])
     band = 2 * HALF + 16
@@ -452,12 +453,14 @@ def item_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
             kept.append((i, t))
     index = build_index(kept)
     equal = [list(dict.fromkeys(x)) for x in ids_of.values()]
+    # Pieces of a very long text share more than the longest item with as much other matter in between.
+    overlap = OVERLAP + 8 * max((len(t) for _, t in kept), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << 22, bool)
         bitmap[_slot(index.grams)] = True
         for batch in batches:
-            for ids, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in portions(batch.column(0).to_pylist(), batch.column(1).to_pylist(), PORTION + overlap, overlap):
                 found = [(d, i, w, a) for d, n, w, a in stretches(texts, index, bitmap) for i in equal[n]]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -514,7 +517,8 @@ def leaked_items(
     pairs = cut(item_matches(docs, items))
     limit = max(stock_floor, stock_share * docs.count())
     common = _contexts(pairs)
-    sizes = items.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.size(F.split(F.trim("text"), r"\s+"))).alias("size"))
+    blanks = F.regexp_replace("text", f"([{UNSPACED}])", " $1 ")
+    sizes = items.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.size(F.split(F.trim(blanks), r"\s+"))).alias("size"))
     # One row per item at most, of at most MAX_ITEM_CHARS words in all.
     stock = common.filter(F.col("df") > limit).groupBy("item_id").agg(F.collect_set("word").alias("stock"))
     stock = stock.join(F.broadcast(sizes), "item_id").filter(F.size("stock") <= stock_part * F.col("size")).drop("size")

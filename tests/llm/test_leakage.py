@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from larkspur.llm import leakage
+from larkspur.llm.letters import latin
 
 
 def brute_words(item, doc):
@@ -76,8 +77,10 @@ def test_alignment_never_claims_more_than_the_text_holds(words):
 
 def test_codes_fold_typography():
     table = leakage.CODES
-    code = lambda s: [int(c) for c in table[np.frombuffer(leakage._latin(s), np.uint8)] if c != 255]
-    assert code("É, “ﬁne” 10") == code("e fine lo") and code("[…]█—") == []
+    code = lambda s: [int(c) for c in table[np.frombuffer(latin(s), np.uint8)] if c != 255]
+    assert code("É, “ﬁne” 10") == code("e fine lo") and code("[…]█—\x93") == []
+    assert code("œuvre Šariс “сοde”") == code("oeuvre saric code")
+    assert len(set(code("бвгджзклмнптф"))) == 13 and latin("Ж", True) != latin("Ц", True)
 
 
 def test_portions_hold_every_text_whole(spark, words):
@@ -163,3 +166,26 @@ def test_a_passage_interrupted_by_much_other_matter(spark, words):
     got = {(d, i): m for d, i, m in leakage.matches([t for _, t in docs], index, bitmap)}
     assert set(range(42, 58)) <= set(got[0, 0])
     assert leaks(spark, docs, items) == {(0, 1), (1, 2)}
+
+
+def test_other_scripts(spark):
+    rng = random.Random(8)
+    cyrillic = lambda n: " ".join("".join(rng.choice("абвгдежзиклмнопрстуфхцчшщэюя") for _ in range(rng.randrange(4, 9))) for _ in range(n))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [(1, cyrillic(70)), (2, han(120)), (3, cyrillic(70)), (4, han(120))]
+    piece = " ".join(items[0][1].split()[20:50])
+    docs = [(0, f"{cyrillic(90)} {piece.upper()} {cyrillic(90)}"), (1, han(300) + items[1][1][30:80] + han(300)), (2, cyrillic(200) + han(200))]
+    assert leaks(spark, docs, items) == {(0, 1), (1, 2)}
+
+
+def test_an_item_longer_than_a_piece(spark, words):
+    item = words(9000)
+    w = item.split()
+    for k in range(50, 9000, 97):
+        w[k] = "changed"
+    docs = [(0, f"{words(90)} {' '.join(w)} {words(90)}"), (1, words(500))]
+    assert leaks(spark, docs, [(1, item), (2, words(80))]) == {(0, 1)}
+    index = leakage.build_index([(1, item)])
+    bitmap = np.zeros(1 << 22, bool)
+    bitmap[leakage._slot(index.grams)] = True
+    assert len(leakage.matches([docs[0][1]], index, bitmap)[0][2]) > 8800
