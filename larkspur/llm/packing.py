@@ -4,9 +4,10 @@ Documents are measured in tokens once; from then on only sizes travel.  They
 are dealt into blocks by a hash.  Every block is evolved on several islands (a
 task each) by a grouping genetic algorithm: a crossover injects well-filled
 containers of one parent into the other, drops the containers that hold a
-document twice, and best-fits the displaced documents.  The islands' best
-solutions then migrate to one place per block and evolve on together.
-Containers filled beyond ``SETTLED`` stand; the documents of the others are
+document twice, and best-fits the displaced documents.  After every epoch but
+the last each island sends its best solution to the next one, which evolves on
+with it; at the end the islands' elites meet and evolve together.  Containers
+filled beyond ``SETTLED`` stand; the documents of the others are
 dealt into new blocks and packed again, so poor rests of different blocks meet.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ TOKENIZERS = "/opt/tokenizers"
 #: Documents per block.
 BLOCK = 1500
 ISLANDS = 3
+#: Times that the islands evolve, with a migration after each.
+EPOCHS = 2
 #: A container filled to this share is not opened again.
 SETTLED = 0.985
 _ROUNDS = 3
@@ -45,7 +49,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
 
         import tiktoken
 
-        with open(f"{folder}/{vocabulary}", "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         encode = encoding._core_bpe.encode_ordinary if hasattr(encoding, "_core_bpe") else encoding.encode_ordinary
@@ -54,6 +58,8 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
     pattern = pattern_of(folder)
+    # Executors get the vocabulary from the driver, also those that start later.
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     return slim.mapInArrow(run, "doc_id long, n_tokens long").distinct()
 
@@ -153,31 +159,39 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Solution] = (
     return pool[0]
 
 
-def _island(capacity: int):
+def _solutions(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[Solution]]:
+    """The block's items and the solutions that came with them, one per ``island`` value; all list the items alike."""
+    frame, found = None, []
+    for _, one in pdf.sort_values(["island", "doc_id", "piece"]).groupby("island", sort=True):
+        one = one.reset_index(drop=True)
+        frame = one if frame is None else frame
+        n = int(one["slot"].max()) + 1
+        if not n:
+            continue
+        bins: list[list[int]] = [[] for _ in range(n)]
+        for i, b in enumerate(one["slot"].tolist()):
+            bins[b].append(i)
+        found.append(Solution(bins, np.bincount(one["slot"], weights=one["size"], minlength=n).astype(int).tolist()))
+    return frame, found
+
+
+def _island(capacity: int, epoch: int):
+    """One island's epoch; it starts from its own best solution and the migrant's (``slot`` is -1 where there is none yet)."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"]).reset_index(drop=True)
-        best = evolve(pdf["size"].tolist(), capacity, 1_000_003 * int(key[0]) + int(key[1]))
-        slot = np.empty(len(pdf), np.int64)
+        block, at = int(key[0]), int(key[1])
+        frame, start = _solutions(pdf.assign(island=np.where(pdf["island"] == at, -1, pdf["island"])))
+        best = evolve(frame["size"].tolist(), capacity, 1_000_003 * block + 31 * at + epoch, start, generations=12 // EPOCHS)
+        slot = np.empty(len(frame), np.int64)
         for b, items in enumerate(best.bins):
             slot[items] = b
-        return pdf.assign(slot=slot)[["block", "island", "doc_id", "piece", "size", "slot"]]
+        return frame.assign(slot=slot, island=at)[["block", "island", "doc_id", "piece", "size", "slot"]]
 
     return run
 
 
-def _migrate(capacity: int):
+def _meet(capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["island", "doc_id", "piece"])
-        elite, frame = [], None
-        for _, one in pdf.groupby("island", sort=True):
-            one = one.reset_index(drop=True)
-            frame = one if frame is None else frame
-            n = int(one["slot"].max()) + 1
-            bins: list[list[int]] = [[] for _ in range(n)]
-            for i, b in enumerate(one["slot"].tolist()):
-                bins[b].append(i)
-            loads = np.bincount(one["slot"], weights=one["size"], minlength=n).astype(int).tolist()
-            elite.append(Solution(bins, loads))
+        frame, elite = _solutions(pdf)
         best = evolve(frame["size"].tolist(), capacity, 7919 * int(key[0]), elite, population=6, generations=10)
         slot, load = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
         for b, items in enumerate(best.bins):
@@ -200,7 +214,8 @@ def pack(sizes: DataFrame, capacity: int, rounds: int = _ROUNDS) -> DataFrame:
         raise ValueError("capacity must be positive")
     ship(sizes.sparkSession)
     c = F.col
-    whole = sizes.withColumn("full", F.floor(c("n_tokens") / F.lit(capacity)).cast("int"))
+    # Written once: measuring the documents is most of the work.
+    whole = cut(sizes).withColumn("full", F.floor(c("n_tokens") / F.lit(capacity)).cast("int"))
     alone = whole.filter("full > 0").select(
         "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), c("full").cast("long") - 1)).alias("piece"), F.lit(capacity).cast("long").alias("n_tokens")
     )
@@ -217,8 +232,14 @@ def pack(sizes: DataFrame, capacity: int, rounds: int = _ROUNDS) -> DataFrame:
         dealt = left.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(blocks)))
         islands = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
         schema = "block long, island int, doc_id long, piece long, size long, slot long"
-        evolved = islands.groupBy("block", "island").applyInPandas(_island(capacity), schema)
-        merged = evolved.groupBy("block").applyInPandas(_migrate(capacity), "block long, doc_id long, piece long, size long, slot long, load long")
+        evolved = islands.withColumns({"place": c("island"), "slot": F.lit(-1).cast("long")})
+        for epoch in range(EPOCHS):
+            evolved = evolved.groupBy("block", "place").applyInPandas(_island(capacity, epoch), schema)
+            if epoch < EPOCHS - 1:
+                # Every solution stays and goes on to the next island as well.
+                places = F.array(c("island"), F.pmod(c("island") + 1, F.lit(ISLANDS)))
+                evolved = evolved.withColumn("place", F.explode(places))
+        merged = evolved.groupBy("block").applyInPandas(_meet(capacity), "block long, doc_id long, piece long, size long, slot long, load long")
         merged = cut(merged)
         last = r == rounds - 1 or blocks == 1
         closed = merged if last else merged.filter(c("load") >= SETTLED * capacity)
