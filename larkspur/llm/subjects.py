@@ -1,18 +1,25 @@
 """Subject areas of documents by mined class-association rules.
 
 1. *Mining.*  A bounded sample of the labelled documents is cut into sentences.
-   Parallel frequent-pattern growth finds the word sets (up to two words) that
-   occur with a class; a set whose confidence is high enough becomes a rule.  A
-   rule is redundant, and dropped, when a more general rule of the same class is
-   about as confident.
+   Parallel frequent-pattern growth, bounded to sets of two words, finds the
+   sets that occur with a class: a sentence's words are put in the order of the
+   frequency list, every word takes its prefix as conditional pattern base, and
+   the bases are counted per (word, prefix word) and class with combining on the
+   map side, never gathered.  A set whose confidence is high enough becomes a
+   rule.  A rule is redundant, and dropped, when a more general rule of the same
+   class is about as confident.
 2. *Scoring.*  Every document is read whole.  A sentence's evidence for a class
    combines the rules that match in it; the document's score is the best sum
    over ``WINDOW`` consecutive sentences, so that a passing mention in a single
    sentence stays low however often rules match elsewhere.
-3. *Calibration.*  The score above which a class is given is fitted on the
-   labelled sample; scores map to probabilities by monotone regression.
-
-Broadcast bound: rules, at most ``MAX_RULES``; nothing that grows with the corpus.
+3. *Calibration.*  Counts are kept per fold of the sample, so that the same pass
+   gives the rules mined without each fold.  Every labelled document is scored by
+   the rules that have not seen it; monotone regression of its labels on these
+   scores maps evidence to probability, and the least score of best F1 decides.
+
+Broadcast bound: the rules, which come from the bounded sample and are counted
+before they leave it (more than ``MAX_RULES`` is an error); nothing that grows
+with the corpus.
 """
 
 from __future__ import annotations
@@ -23,23 +30,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.batches import portions
+from larkspur.llm.letters import OTHER, latin
 from larkspur.plans.materialize import cut
 from larkspur.plans.ship import ship
 
 #: Sentences over which evidence adds up.
 WINDOW = 3
-MAX_RULES = 20_000
-_CLASS = "§"
-_BREAK, _SPACE = 1, 0
+#: Parts of the labelled sample that are scored by the rules of the others.
+FOLDS = 5
+#: More rules than this are an error, not a cut: raise the support or the confidence.
+MAX_RULES = 200_000
+_BREAK = 1
 
 
 def _letter_table() -> bytes:
-    """Latin-1 byte to a folded lower-case letter, 1 for a sentence mark, 2 for a newline, 3 for a digit, else 0."""
+    """Latin-1 byte to a folded letter, 1 for a sentence mark, 2 for a newline, 3 for a digit, else 0."""
     table = bytearray(256)
     for ch in "abcdefghijklmnopqrstuvwxyz":
         table[ord(ch)] = table[ord(ch.upper())] = ord(ch)
@@ -48,6 +57,8 @@ def _letter_table() -> bytes:
             table[ord(ch)] = ord(base)
             if ch.upper() != ch and len(ch.upper()) == 1 and ord(ch.upper()) < 256:
                 table[ord(ch.upper())] = ord(base)
+    for byte in range(OTHER, OTHER + 32):
+        table[byte] = byte
     for ch in ".!?":
         table[ord(ch)] = _BREAK
     table[ord("\n")] = 2
@@ -61,7 +72,7 @@ _HYPHEN = re.compile(rb"-\n(?=[a-z])")
 
 
 def _folded(text: str) -> bytes:
-    raw = text.encode("latin-1", "replace")
+    raw = latin(text, exact=True)
     if b"-\n" in raw:
         raw = _HYPHEN.sub(b"", raw)
     return raw.translate(_TABLE) + b"\x02\x02"
@@ -76,17 +87,16 @@ class Words:
     sentence: np.ndarray
 
 
-_POWERS = np.ones(64, np.int64)
-with np.errstate(over="ignore"):
-    for _k in range(1, 64):
-        _POWERS[_k] = _POWERS[_k - 1] * np.int64(1099511628211)
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([[1], np.full(max(0, n - 1), 1099511628211)]).astype(np.int64))
 
 
 def word_hash(word: str) -> int:
     """Hash of a folded word, as in ``read_words``."""
-    codes = np.frombuffer(word.encode("ascii"), np.uint8).astype(np.int64)[:64]
+    codes = np.frombuffer(word.encode("latin-1"), np.uint8).astype(np.int64)
     with np.errstate(over="ignore"):
-        return int((codes * _POWERS[: len(codes)]).sum())
+        return int((codes * _powers(len(codes))).sum())
 
 
 def _layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,10 +122,9 @@ def read_words(texts: list[str | None]) -> Words:
         return Words(none, none, none)
     chars = b[letter].astype(np.int64)
     offset = np.cumsum(size) - size
-    place = np.minimum(np.arange(len(chars)) - np.repeat(offset, size), 63)
-    keep = np.arange(len(chars)) - np.repeat(offset, size) < 64
+    place = np.arange(len(chars)) - np.repeat(offset, size)
     with np.errstate(over="ignore"):
-        value = np.add.reduceat(np.where(keep, chars * _POWERS[place], 0), offset)
+        value = np.add.reduceat(chars * _powers(int(size.max()))[place], offset)
     real = size > 1
     start, value = start[real], value[real]
     return Words(value, np.searchsorted(edges, start, side="right") - 1, sentence[start])
@@ -131,19 +140,26 @@ def sentences(text: str) -> list[list[str]]:
         if k != last:
             out.append([])
             last = k
-        out[-1].append(whole[s : s + min(n, 64)].decode("ascii"))
+        out[-1].append(whole[s : s + n].decode("latin-1"))
     return out
 
 
 @dataclass
 class RuleSet:
-    """Rules ``words -> subject`` with confidences, and the fitted threshold."""
+    """Rules ``words -> subject`` with confidences, the fitted threshold and the map from score to probability.
+
+    ``steps`` are ``(least score, probability)``, rising in both; below the first the probability is 0.
+    """
 
     subjects: list[str]
     rules: list[tuple[tuple[str, ...], int, float]]
     threshold: float = 1.2
     steps: tuple[tuple[float, float], ...] = ((0.0, 0.0), (1.2, 1.0))
 
+    def probability(self, score: np.ndarray) -> np.ndarray:
+        at = np.searchsorted([x for x, _ in self.steps], score, side="right")
+        return np.concatenate([[0.0], [p for _, p in self.steps]])[at]
+
 
 class Scorer:
     """Lookup tables of a rule set, built once per task."""
@@ -239,70 +255,95 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_documents: int) -> D
     return x.dropDuplicates(["doc_id"])
 
 
-def mine(sample: DataFrame, subjects: list[str], min_confidence: float = 0.5, support_share: float = 0.0015) -> RuleSet:
-    """Class-association rules of a (settled) labelled sample.
+def _training(counts: str, without: int | None) -> Column:
+    """Sum of the fold counts of ``counts``, but those of one fold."""
+    parts = [F.col(f"{counts}{f}") for f in range(FOLDS) if f != without]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
+
+
+def _per_fold(name: str) -> list[Column]:
+    return [F.count_if(F.col("fold") == f).alias(f"{name}{f}") for f in range(FOLDS)]
 
-    A word must stand in ``support_share`` of the sample's documents of its class, and in at least 4.
+
+def mine(sample: DataFrame, subjects: list[str], min_confidence: float = 0.5, support_share: float = 0.0015) -> list[RuleSet]:
+    """Class-association rules of a (settled) labelled sample with ``fold``: of the whole, then without each fold.
+
+    A word must stand in ``support_share`` of the training documents of its class, and in at least 4, and stand out
+    there; a set of words in as many sentences.
     """
-    n_docs = sample.count()
-    min_support = max(4, round(support_share * n_docs))
-    if not n_docs:
-        return RuleSet(subjects, [])
+    per_fold = {r.fold: r.n for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    trainings: list[int | None] = [None, *range(FOLDS)]
+    n_docs = {w: sum(n for f, n in per_fold.items() if f != w) for w in trainings}
+    if not n_docs[None]:
+        return [RuleSet(subjects, []) for _ in trainings]
+    least = {w: max(4, round(support_share * n)) for w, n in n_docs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, labels, words = [], [], []
-            for i, t, s in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                for sentence in sentences(t):
+            ids, folds, labels, words = [], [], [], []
+            for i, t, s, f in zip(*[b.column(k).to_pylist() for k in range(4)]):
+                for sentence in {tuple(sorted(set(x))) for x in sentences(t)}:
                     ids.append(i)
-                    labels.append([_CLASS + x for x in s])
-                    words.append(sorted(set(sentence)))
+                    folds.append(f)
+                    labels.append(s)
+                    words.append(sentence)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(labels, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "labels", "words"]
+                [pa.array(ids, pa.int64()), pa.array(folds, pa.int32()), pa.array(labels, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))],
+                names=["doc_id", "fold", "labels", "words"],
             )
 
-    rows = cut(sample.select("doc_id", "text", "subjects").mapInArrow(run, "doc_id long, labels array<string>, words array<string>"))
-    # Only words that stand out for some class take part; all others could form no rule.
-    by_doc = rows.select("doc_id", "labels", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.first("labels").alias("labels"))
-    n_class = {r.label: r.n for r in sample.select(F.explode("subjects").alias("s")).groupBy(F.concat(F.lit(_CLASS), "s").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    totals = by_doc.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
-    joint = by_doc.select("word", F.explode("labels").alias("label")).groupBy("word", "label").agg(F.count(F.lit(1)).alias("k"))
-    prior = F.create_map(*[F.lit(x) for kv in n_class.items() for x in (kv[0], kv[1] / n_docs)])
-    share, base = F.col("k") / F.col("n"), F.element_at(prior, F.col("label"))
-    stands_out = (share / base >= 2.0) | (share - base >= 0.25 * (1 - base))
-    telling = joint.join(totals, "word").withColumn("lift", share / base).filter(stands_out & (F.col("k") >= min_support))
-    vocabulary = [r.word for r in telling.groupBy("word").agg(F.max("lift").alias("l")).orderBy(F.desc("l"), "word").limit(MAX_RULES).select("word").collect()]
-    if not vocabulary:
-        return RuleSet(subjects, [])
-    allowed = sample.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
-    keyed = rows.withColumn("row", F.xxhash64("doc_id", "words")).dropDuplicates(["row"])
-    kept = keyed.select("row", "labels", F.explode("words").alias("word")).join(F.broadcast(allowed), "word")
-    baskets = kept.groupBy("row").agg(F.first("labels").alias("labels"), F.collect_set("word").alias("words"))
-    baskets = cut(baskets.select(F.concat("labels", "words").alias("items")))
-    n_rows = baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min_support / n_rows, minConfidence=0.0).fit(baskets)
-    plain = F.filter("items", lambda x: ~F.startswith(x, F.lit(_CLASS)))
-    sets = model.freqItemsets.withColumn("w", F.array_sort(plain)).withColumn("c", F.filter("items", lambda x: F.startswith(x, F.lit(_CLASS))))
-    sets = sets.filter((F.size("w").between(1, 2)) & (F.size("c") <= 1)).select("w", F.get("c", F.lit(0)).alias("c"), "freq")
-    found = sets.orderBy(F.desc("freq"), "w", "c").limit(50 * MAX_RULES).collect()
-    alone = {tuple(r.w): r.freq for r in found if r.c is None}
+    # One row per distinct sentence of a document.
+    rows = cut(sample.select("doc_id", "text", "subjects", "fold").mapInArrow(run, "doc_id long, fold int, labels array<string>, words array<string>"))
+    rows = rows.withColumn("sentence", F.monotonically_increasing_id())
+    # Only words that stand out for some class in a training set take part there; all others could form no rule.
+    by_doc = rows.select("doc_id", "fold", "labels", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.first("fold").alias("fold"), F.first("labels").alias("labels"))
+    totals = by_doc.groupBy("word").agg(*_per_fold("n"))
+    joint = by_doc.select("word", "fold", F.explode("labels").alias("label")).groupBy("word", "label").agg(*_per_fold("k"))
+    prior = sample.select("fold", F.explode("subjects").alias("label")).groupBy("label").agg(*_per_fold("p"))
+    told = joint.join(totals, "word").join(F.broadcast(prior), "label")
+    bits = F.lit(0)
+    for b, w in enumerate(trainings):
+        k, n, base = _training("k", w), _training("n", w), _training("p", w) / max(1, n_docs[w])
+        share = F.try_divide(k, n)
+        stands_out = ((F.try_divide(share, base) >= 2.0) | (share - base >= 0.25 * (1 - base))) & (k >= least[w])
+        bits = bits.bitwiseOR(F.when(stands_out, 1 << b).otherwise(0))
+    vocabulary = told.groupBy("word").agg(F.bit_or(bits).alias("in_sets"), F.max(_training("n", None)).alias("f")).filter("in_sets > 0")
+    # The frequency list: frequent words first, so prefixes are short lists of frequent words.
+    vocabulary = vocabulary.select("word", "in_sets", F.struct((-F.col("f")).alias("f"), "word", "in_sets").alias("entry"))
+    kept = rows.select("sentence", "fold", "labels", F.explode("words").alias("word")).join(vocabulary, "word")
+    baskets = kept.groupBy("sentence").agg(F.first("fold").alias("fold"), F.first("labels").alias("labels"), F.array_sort(F.collect_list("entry")).alias("items"))
+    # Every word with itself (sets of one) and with its prefix (sets of two); the class "" counts the sentences of any.
+    base_of = F.posexplode("items").alias("at", "item")
+    grown = baskets.select("fold", F.concat(F.array(F.lit("")), "labels").alias("labels"), "items", base_of)
+    grown = grown.select("fold", "labels", "item", F.explode(F.slice("items", F.lit(1), F.col("at") + 1)).alias("other"))
+    sets = grown.select("fold", F.explode("labels").alias("label"), F.col("other.word").alias("a"), F.col("item.word").alias("b"), F.col("other.in_sets").bitwiseAND(F.col("item.in_sets")).alias("in_sets"))
+    counts = cut(sets.filter("in_sets > 0").groupBy("a", "b", "label", "in_sets").agg(*_per_fold("c")))
+    anyone = counts.filter("label = ''").select("a", "b", *[F.col(f"c{f}").alias(f"t{f}") for f in range(FOLDS)])
+    classes = cut(counts.filter(F.col("label").isin(subjects)).join(anyone, ["a", "b"]))
+    cells = []
+    for b, w in enumerate(trainings):
+        fine = (F.col("in_sets").bitwiseAND(F.lit(1 << b)) != 0) & (_training("c", w) >= least[w])
+        # A Laplace estimate keeps rare sets from looking certain.
+        cells.append(F.struct(F.lit(b).alias("no"), F.when(fine, (_training("c", w) + 0.5) / (_training("t", w) + 1.5)).alias("p")))
+    own = classes.select("a", "b", "label", F.inline(F.array(*cells))).filter(F.col("p") >= min_confidence)
+    single = own.filter("a = b")
+    pair = own.filter("a <> b")
+    for side in ("a", "b"):
+        general = single.select(F.col("a").alias(side), "label", "no", F.col("p").alias(f"p_{side}"))
+        pair = pair.join(general, [side, "label", "no"], "left")
+    pair = pair.filter(F.col("p") >= F.greatest(F.coalesce("p_a", F.lit(0.0)), F.coalesce("p_b", F.lit(0.0))) + 0.1)
+    rules = single.select("a", "b", "label", "no", "p").unionByName(pair.select("a", "b", "label", "no", "p"))
+    found = rules.limit(MAX_RULES * len(trainings) + 1).collect()
+    if len(found) > MAX_RULES * len(trainings):
+        raise ValueError(f"more than {MAX_RULES} rules; raise min_confidence or support_share")
     number = {s: i for i, s in enumerate(subjects)}
-    candidates = []
+    out: list[list] = [[] for _ in trainings]
     for r in found:
-        if r.c is None or r.c[1:] not in number or tuple(r.w) not in alone:
-            continue
-        n = alone[tuple(r.w)]
-        # A Laplace estimate keeps rare sets from looking certain.
-        candidates.append((tuple(r.w), number[r.c[1:]], (r.freq + 0.5) / (n + 1.5), n))
-    candidates = [x for x in candidates if x[2] >= min_confidence]
-    best = {(w, c): p for w, c, p, _ in candidates if len(w) == 1}
-    rules = []
-    for w, c, p, n in candidates:
-        general = max((best.get(((x,), c), 0.0) for x in w), default=0.0) if len(w) > 1 else 0.0
-        if len(w) == 1 or p >= general + 0.1:
-            rules.append((w, c, p))
-    rules.sort(key=lambda x: (-x[2], x[0], x[1]))
-    return RuleSet(subjects, rules[:MAX_RULES])
+        out[r.no].append(((r.a,) if r.a == r.b else (r.a, r.b), number[r.label], r.p))
+    return [RuleSet(subjects, sorted(x, key=lambda r: (-r[2], r[0], r[1]))) for x in out]
 
 
 def score_documents(docs: DataFrame, rules: RuleSet, least: float = 0.0) -> DataFrame:
@@ -328,25 +369,29 @@ def score_documents(docs: DataFrame, rules: RuleSet, least: float = 0.0) -> Data
     return slim.mapInArrow(run, "doc_id long, subject string, score double")
 
 
-def calibrate(rules: RuleSet, sample: DataFrame) -> RuleSet:
-    """The threshold of best F1 on the sample's labels, and a monotone map from score to probability."""
-    if not rules.rules:
-        return rules
+def calibrate(rules: RuleSet, without: list[RuleSet], sample: DataFrame) -> RuleSet:
+    """``rules`` with the threshold of best F1 and the map from score to probability, both fitted on the sample's
+    documents as scored by the rules ``without`` their fold.  Where these give no score, ``rules`` stay as they are.
+    """
     # Ids, labels and scores of the bounded sample come to the driver; its texts do not.
     labels = {r.doc_id: set(r.subjects) for r in sample.select("doc_id", "subjects").collect()}
     wanted = sum(len(v & set(rules.subjects)) for v in labels.values())
-    best = score_documents(sample, rules).groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
-    scored = [(r.score, r.subject in labels[r.doc_id]) for r in best.collect()]
-    if not scored:
+    scored: DataFrame | None = None
+    for fold, held_out in enumerate(without):
+        part = score_documents(sample.filter(F.col("fold") == fold), held_out)
+        scored = part if scored is None else scored.unionByName(part)
+    best = scored.groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
+    pairs = [(r.score, r.subject in labels[r.doc_id]) for r in best.collect()]
+    if not any(t for _, t in pairs):
         return rules
-    score, true = np.array([x for x, _ in scored]), np.array([x for _, x in scored])
+    score, true = np.array([x for x, _ in pairs]), np.array([x for _, x in pairs])
     order = np.lexsort((~true, -score))
     score, true = score[order], true[order]
-    hits = np.cumsum(true)
-    f1 = 2 * hits / (np.arange(1, len(hits) + 1) + max(1, wanted))
+    f1 = 2 * np.cumsum(true) / (np.arange(1, len(true) + 1) + max(1, wanted))
     f1[:-1] = np.where(score[:-1] == score[1:], 0, f1[:-1])
-    k = int(f1.argmax()) if len(f1) else 0
-    threshold = float((score[k] + score[min(k + 1, len(score) - 1)]) / 2) if len(score) else rules.threshold
+    k = int(f1.argmax())
+    threshold = float((score[k] + score[min(k + 1, len(score) - 1)]) / 2)
+    # Pool adjacent violators: blocks of (least score, labels, pairs) with rising shares.
     blocks: list[list[float]] = []
     for s, t in zip(score[::-1].tolist(), true[::-1].tolist()):
         blocks.append([s, float(t), 1.0])
@@ -358,7 +403,7 @@ def calibrate(rules: RuleSet, sample: DataFrame) -> RuleSet:
 
 
 def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, max_documents: int = 6000, scores: bool = False) -> DataFrame:
-    """``doc_id, subject`` (with ``score`` if asked) of the areas that each document's dispute is about.
+    """``doc_id, subject`` (with ``score``, the calibrated probability, if asked) of the areas that each document's dispute is about.
 
     ``max_documents`` bounds the labelled documents from which rules are mined
     and the threshold is fitted; every document is scored, whole.  Documents
@@ -371,8 +416,14 @@ def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, max_docu
     if len(names) > 1000:
         raise ValueError("more than 1,000 subject areas")
     ship(docs.sparkSession)
-    sample = cut(labelled_sample(docs, labels, max_documents))
-    rules = calibrate(mine(sample, names), sample)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    sample = cut(labelled_sample(docs, labels, max_documents).withColumn("fold", fold))
+    rules, *without = mine(sample, names)
+    rules = calibrate(rules, without, sample)
     out = score_documents(docs, rules, rules.threshold)
     best = out.groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
-    return best if scores else best.drop("score")
+    if not scores:
+        return best.drop("score")
+    # The map as one literal array: the probability of the last step that the score reaches.
+    steps = F.array(*[F.struct(F.lit(x).alias("from"), F.lit(p).alias("p")) for x, p in rules.steps])
+    return best.withColumn("score", F.coalesce(F.array_max(F.transform(F.filter(steps, lambda s: s["from"] <= F.col("score")), lambda s: s["p"])), F.lit(0.0)))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larkspur.llm import subjects
 
@@ -65,3 +66,39 @@ def test_pairs_of_a_long_sentence_all_count(words):
         for y in long[i + 1 :]:
             scorer = subjects.Scorer(subjects.RuleSet(["s"], [((x, y), 0, 0.9)] + [((w,), 0, 0.0) for w in long]))
             assert scorer.score([" ".join(long) + "."])[2].max() > 0.8
+
+
+def test_scores_are_probabilities_of_held_out_documents(spark):
+    docs, truth = corpus(600, 3)
+    labels = [(d, s, "desk") for d in range(400) for s in truth[d]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    areas = spark.createDataFrame([(s, "note") for s in TERMS], "subject string, scope_note string")
+    out = subjects.subject_areas(df, areas, spark.createDataFrame(labels, "doc_id long, subject string, labelled_by string"), scores=True).collect()
+    new = [(r.score, r.subject in truth[r.doc_id]) for r in out if r.doc_id >= 400]
+    assert all(0 <= p <= 1 for p, _ in new)
+    assert abs(np.mean([p for p, _ in new]) - np.mean([t for _, t in new])) < 0.1
+
+
+def test_calibration_rises_with_the_score():
+    rules = subjects.RuleSet(["s"], [], 1.0, ((0.5, 0.1), (1.0, 0.7), (2.0, 1.0)))
+    assert rules.probability(np.array([0.2, 0.5, 0.9, 1.0, 5.0])).tolist() == [0.0, 0.1, 0.1, 0.7, 1.0]
+
+
+def test_typography_and_scripts_break_no_word_or_sentence():
+    got = subjects.sentences('The “seller” read the œuvre – slowly. Второе слово здесь. 第二 문장 “end”.')
+    assert got[0] == ["the", "seller", "read", "the", "oeuvre", "slowly"] and len(got) == 3
+    assert len(got[1]) == 3 and len(set(got[1])) == 3
+    long = "a" * 70 + "b"
+    assert subjects.sentences(long + " " + "a" * 70 + "c") == [[long, "a" * 70 + "c"]]
+    assert subjects.word_hash(long) != subjects.word_hash("a" * 70 + "c")
+
+
+def test_mining_counts_by_fold(spark):
+    sample = spark.createDataFrame([(d, "Rye loaf here. Plain words follow.", ["bread"] if d % 2 else ["bells"], d % subjects.FOLDS) for d in range(60)], "doc_id long, text string, subjects array<string>, fold int")
+    sample = sample.withColumn("text", F.when(F.element_at("subjects", 1) == "bells", F.lit("Bronze bell here. Plain words follow.")).otherwise(F.col("text")))
+    sets = subjects.mine(sample, ["bells", "bread"])
+    assert len(sets) == subjects.FOLDS + 1
+    for k, rules in enumerate(sets):
+        own = {w: (c, p) for w, c, p in rules.rules}
+        n = 30 if k == 0 else 30 - 60 // subjects.FOLDS // 2
+        assert own[("rye",)] == (1, (n + 0.5) / (n + 1.5)) and own[("bell",)][0] == 0 and ("plain",) not in own and ("loaf", "rye") not in own
