@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -178,27 +179,37 @@ def date_format_percent(c: Column, percent: str, mysql: bool = False) -> Column:
 _MODIFIER = re.compile(r"^\s*([+-]?\d+)\s*(second|minute|hour|day|week|month|year)s?\s*$", re.I)
 
 
-def shift(c: Column, *modifiers: str, calendar: bool = True) -> Column:
-    """Apply modifiers such as ``+3 days`` or ``-1 month`` to a timestamp.
+def modifier_steps(modifiers: Sequence[str], calendar: bool = True) -> list[tuple[int, str]]:
+    """Date modifiers as ``(number, unit)`` in seconds, minutes, hours, days, months, years, or ``(0, unit)`` to cut at its start.
 
-    ``calendar`` adds true months and years; otherwise a month is 30 days and a
-    year 365.  ``localtime`` and ``utc`` change nothing; ``start of day|month|year``
-    cut.  Any other text is an error.
+    ``localtime`` and ``utc`` change nothing.  Without ``calendar`` a month is 30
+    days and a year 365.  Any other text is an error.
     """
+    out = []
     for text in modifiers:
         low = text.strip().lower()
         if low in ("localtime", "utc"):
             continue
-        if low.startswith("start of "):
-            c = F.date_trunc(low[9:], c)
+        if low in ("start of day", "start of month", "start of year"):
+            out.append((0, low[9:]))
             continue
         m = _MODIFIER.match(text)
         if not m:
             raise ValueError(f"unknown date modifier: {text!r}")
         n, unit = int(m[1]), m[2].lower()
+        if unit == "week":
+            n, unit = n * 7, "day"
         if not calendar and unit in ("month", "year"):
             n, unit = n * (30 if unit == "month" else 365), "day"
-        c = c + F.expr(f"INTERVAL '{n}' {unit.upper()}") if unit != "week" else c + F.expr(f"INTERVAL '{n * 7}' DAY")
+        if n:
+            out.append((n, unit))
+    return out
+
+
+def shift(c: Column, *modifiers: str, calendar: bool = True) -> Column:
+    """Apply modifiers such as ``+3 days``, ``-1 month`` or ``start of day`` to a timestamp; see ``modifier_steps``."""
+    for n, unit in modifier_steps(modifiers, calendar):
+        c = c + F.expr(f"INTERVAL '{n}' {unit.upper()}") if n else F.date_trunc(unit, c)
     return c
 
 

@@ -328,11 +328,8 @@ def _number(x: object) -> float:
         return 0.0
 
 
-def evaluate_column(expression: Column) -> Column:
-    """Evaluate expressions that stand in a text column; results as text, null where they fail."""
-    if session := SparkSession.getActiveSession():
-        ship(session)
-
+def evaluator():
+    """The vectorised function behind ``evaluate_column``, to be called or registered."""
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         known: dict[str, object] = {}
@@ -350,4 +347,11 @@ def evaluate_column(expression: Column) -> Column:
 
         return s.map(one)
 
-    return run(expression)
+    return run
+
+
+def evaluate_column(expression: Column) -> Column:
+    """Evaluate expressions that stand in a text column; results as text, null where they fail."""
+    if session := SparkSession.getActiveSession():
+        ship(session)
+    return evaluator()(expression)

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.functions import script
 from larkspur.operators import dml
 from larkspur.operators.fuzzy import SQL_FUNCTIONS
 from larkspur.operators.recursion import recursive_distinct
 from larkspur.plans import rewrite
 from larkspur.plans.catalog import CatalogError, Column, ConstraintError, ForeignKey, State, TableMeta, Trigger, sql_type
 from larkspur.plans.materialize import cut
+from larkspur.plans.ship import ship
 
 #: Versions of a table after which its lineage is cut.
 CUT_EVERY = 8
@@ -25,6 +30,12 @@ MAX_TRIGGER_DEPTH = 16
 #: Statements slower than this many seconds go to the slow log.
 SLOW_SECONDS = 0.01
 
+#: Logical operators by the names that EXPLAIN JSON gives them.
+OPERATORS = {
+    "LogicalRDD": "SeqScan", "LogicalRelation": "SeqScan", "LocalRelation": "SeqScan", "OneRowRelation": "Values", "Aggregate": "GroupBy", "Sort": "OrderBy", "GlobalLimit": "Limit",
+    "LocalLimit": "Limit", "Deduplicate": "Distinct", "WithCTE": "With", "CTERelationDef": "Cte", "CTERelationRef": "CteScan",
+}
+
 _NAME = r"(?:`[^`]+`|[\w.]+)"
 
 
@@ -61,6 +72,8 @@ class Session:
         self._depth = 0
         for statement in SQL_FUNCTIONS:
             spark.sql(statement)
+        ship(spark)
+        spark.udf.register("sqf_eval", script.evaluator())
 
     # --- names ---
 
@@ -106,11 +119,11 @@ class Session:
             hook(sql)
         start = time.perf_counter()
         params: dict = {}
+        bound = sql
         if args:
-            sql, params = rewrite.bind(sql, args)
-        else:
-            sql = rewrite.text(rewrite.lex(sql))
-        out = self._dispatch(sql.rstrip(";").strip(), params)
+            bound, params = rewrite.bind(sql, args)
+        # Literals hide their content until the clauses are told apart.
+        out = self._dispatch(rewrite.masked(bound).rstrip(";").strip(), params)
         took = time.perf_counter() - start
         if took > SLOW_SECONDS:
             self.slow_log.append((sql, took))
@@ -156,6 +169,19 @@ class Session:
         returns = ""
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(args)}) {returns} RETURN {rewrite.to_spark(body, self.profile)}")
 
+    def register_aggregate(self, name: str, function: Callable, returns: str) -> None:
+        """An aggregate over a group's values (a pandas Series to one value); a group must fit one task."""
+        def aggregate(values: pd.Series) -> object:
+            return function(values)
+
+        aggregate.__annotations__["return"] = object
+        self.spark.udf.register(name, F.pandas_udf(aggregate, returns, F.PandasUDFType.GROUPED_AGG))
+
+    def register_table_function(self, name: str, function: Callable[..., Iterator[tuple]], returns: str) -> None:
+        """A table function: ``function`` yields rows for its arguments; ``returns`` like ``'n INT, sq INT'``."""
+        handler = type(name, (), {"eval": lambda _self, *args: function(*args)})
+        self.spark.udtf.register(name, F.udtf(handler, returnType=returns))
+
     def register_python(self, name: str, function: Callable, returns: str) -> None:
         """A vectorised function (Arrow batches), for what SQL cannot say."""
         self.spark.udf.register(name, F.pandas_udf(function, returns))
@@ -180,7 +206,9 @@ class Session:
         return handler(sql, params)
 
     def _query(self, sql: str, params: dict | None = None) -> DataFrame:
-        text = rewrite.to_spark(sql, self.profile)
+        row_id = self.last_insert_rowid
+        values = {"changes": f"CAST({self.changes} AS BIGINT)", "last_insert_rowid": "CAST(0 AS BIGINT)" if row_id is None else f"CAST({row_id} AS BIGINT)"}
+        text = rewrite.to_spark(sql, self.profile, values, {n: m.primary for n, m in self.state.meta.items()})
         if self.profile == "ansi":
             return self.spark.sql(text, args=params or None)
         # Expressions take their overflow and error mode when they are analysed, which is now.
@@ -226,7 +254,7 @@ class Session:
             rows = source.toDF(*given)
         out = []
         for c in meta.columns:
-            value = F.col(f"`{c.name}`") if c.name in given else (F.expr(c.default) if c.default else F.lit(None))
+            value = F.col(f"`{c.name}`") if c.name in given else (F.expr(rewrite.to_spark(c.default)) if c.default else F.lit(None))
             out.append(value.cast(c.type).alias(c.name))
         rows = rows.select(*out)
         for c in meta.columns:
@@ -235,19 +263,29 @@ class Session:
                 rows = dml.number_rows(rows, c.name, int(top), [x for x in names if x != c.name] or [c.name])
         return cut(rows)
 
-    def _check(self, name: str, rows: DataFrame, after: DataFrame) -> None:
+    def _check(self, name: str, rows: DataFrame, rest: DataFrame) -> None:
+        """Refuse the new ``rows`` of a table if they break a constraint; ``rest`` are the rows that stay, which broke none.
+
+        Only the new rows' keys are compared, so a write costs one look at the
+        table's keys and no regrouping of them.
+        """
         meta = self.state.meta[name]
         must = [c.name for c in meta.columns if c.not_null or c.name in meta.primary]
-        if must and not dml.null_violations(rows, must).isEmpty():
-            raise ConstraintError(f"NOT NULL constraint of {name} ({', '.join(must)})")
-        for condition in meta.checks:
-            if not dml.check_violations(rows, condition).isEmpty():
-                raise ConstraintError(f"CHECK constraint of {name}: {condition}")
+        faults = {f"NOT NULL constraint of {name} ({c})": F.col(f"`{c}`").isNull() for c in must}
+        faults |= {f"CHECK constraint of {name}: {x}": ~F.coalesce(F.expr(rewrite.to_spark(x)), F.lit(True)) for x in meta.checks}
+        if faults:
+            found = rows.agg(*[F.coalesce(F.bool_or(f), F.lit(False)).alias(f"f{i}") for i, f in enumerate(faults.values())]).first()
+            for message, bad in zip(faults, found):
+                if bad:
+                    raise ConstraintError(message)
         for keys in [*([meta.primary] if meta.primary else []), *meta.unique]:
-            if not dml.duplicate_keys(after, keys).isEmpty():
+            new = rows.select(*keys).dropna("any")
+            twice = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+            if not twice.unionByName(rest.select(*keys).join(new, list(keys), "left_semi")).isEmpty():
                 raise ConstraintError(f"UNIQUE constraint of {name} ({', '.join(keys)})")
         for fk in meta.foreign:
-            if not dml.fk_violations(rows, fk.column, self.table(fk.parent), fk.parent_column).isEmpty():
+            parent = rest.unionByName(rows) if fk.parent == name else self.table(fk.parent)
+            if not dml.fk_violations(rows, fk.column, parent, fk.parent_column).isEmpty():
                 raise ConstraintError(f"FOREIGN KEY constraint of {name}.{fk.column} to {fk.parent}")
 
     def _returning(self, sql: str) -> tuple[str, str | None]:
@@ -258,11 +296,21 @@ class Session:
         rows.createOrReplaceTempView("__returning")
         return self._query(f"SELECT {items} FROM __returning")
 
-    def _finish(self, name: str, event: str, rows: DataFrame, after: DataFrame, returning: str | None) -> DataFrame:
-        """Swap the table version, fire triggers and answer."""
-        self._fire(name, "before", event, rows)
-        self._store(name, after)
-        self._fire(name, "after", event, rows)
+    def _finish(self, name: str, rows: DataFrame, after: DataFrame, returning: str | None, events: dict[str, DataFrame]) -> DataFrame:
+        """Swap the table version, fire triggers and answer.  ``events`` holds pairs of old and new rows by event.
+
+        A trigger that raises undoes the whole statement.
+        """
+        before = self.state.copy()
+        try:
+            for event, pairs in events.items():
+                self._fire(name, "before", event, pairs)
+            self._store(name, after)
+            for event, pairs in events.items():
+                self._fire(name, "after", event, pairs)
+        except Exception:
+            self._restore(before)
+            raise
         n = rows.count()
         if returning:
             out = self._project(rows, returning)
@@ -285,17 +333,21 @@ class Session:
             keys = [c.strip().lower() for c in conflict[1].split(",")]
         if mode == "ignore" or (conflict and conflict[2].lower() == "nothing"):
             rows = cut(dml.last_per_key(rows, keys).join(old.select(*keys), keys, "left_anti").select(*old.columns)) if keys else rows
-            after = old.unionByName(rows)
-        elif mode == "replace":
-            after = dml.replace_into(old, rows, keys) if keys else dml.insert(old, rows)
+            rest = old
+        elif mode == "replace" and keys:
+            rows = cut(dml.last_per_key(rows, keys))
+            rest = old.join(rows.select(*keys), keys, "left_anti").select(*old.columns)
         elif conflict:
-            assign = self._assignments(conflict[3])
-            after = dml.upsert(old, rows, keys, assign, conflict[4])
-            rows = after.join(rows.select(*keys), keys, "left_semi").select(*old.columns)
+            where = rewrite.to_spark(conflict[4], self.profile) if conflict[4] else None
+            touched = rows.select(*keys).distinct()
+            hit = old.join(touched, keys, "left_semi").select(*old.columns)
+            rest = old.join(touched, keys, "left_anti").select(*old.columns)
+            rows = cut(dml.upsert(hit, rows, keys, self._assignments(conflict[3]), where))
         else:
-            after = dml.insert(old, rows)
+            rest = old
+        after = rest.unionByName(rows)
         try:
-            self._check(name, rows, after)
+            self._check(name, rows, rest)
         except ConstraintError:
             if mode == "rollback" and self.saved:
                 self._restore(self.saved[0][1])
@@ -304,7 +356,7 @@ class Session:
         auto = next((c.name for c in meta.columns if c.auto), None)
         if auto:
             self.last_insert_rowid = rows.agg(F.max(auto)).first()[0]
-        return self._finish(name, "insert", rows, after, returning)
+        return self._finish(name, rows, after, returning, {"insert": _pairs(None, rows)})
 
     def _do_replace(self, sql: str, params: dict) -> DataFrame:
         return self._do_insert(re.sub(r"(?is)^replace\s+into", "INSERT OR REPLACE INTO", sql), params)
@@ -339,12 +391,19 @@ class Session:
         unknown = set(assign) - set(kinds)
         if unknown:
             raise rewrite.SqlError(f"no column {sorted(unknown)} in {name}")
-        items = ", ".join(f"CAST({assign[c]} AS {kinds[c]}) AS `{c}`" if c in assign else f"`{c}`" for c in hit.columns)
-        rows = cut(self.spark.sql(f"SELECT {items} FROM __hit", args=params or None))
+        new = ", ".join(f"CAST({assign[c]} AS {kinds[c]}) AS `new_{c}`" if c in assign else f"`{c}` AS `new_{c}`" for c in hit.columns)
+        both = ", ".join(f"`{c}` AS `old_{c}`" for c in hit.columns)
+        pairs = cut(self.spark.sql(f"SELECT {both}, {new} FROM __hit", args=params or None))
+        rows = _side(pairs, "new", hit.columns)
         after = rest.unionByName(rows)
-        self._check(name, rows, after)
-        self._children(name, hit, after, "update")
-        return self._finish(name, "update", rows, after, returning)
+        self._check(name, rows, rest)
+        before = self.state.copy()
+        try:
+            self._moved(name, pairs, set(assign), after)
+            return self._finish(name, rows, after, returning, {"update": pairs})
+        except Exception:
+            self._restore(before)
+            raise
 
     def _do_delete(self, sql: str, params: dict) -> DataFrame:
         sql, returning = self._returning(sql)
@@ -356,22 +415,52 @@ class Session:
             where = f"EXISTS (SELECT 1 FROM {using} WHERE {where or 'true'})"
         hit, rest = self._split_by(name, where, params)
         hit = cut(hit)
-        self._children(name, hit, rest, "delete")
-        return self._finish(name, "delete", hit, rest, returning)
+        before = self.state.copy()
+        try:
+            self._children(name, hit, rest)
+            return self._finish(name, hit, rest, returning, {"delete": _pairs(hit, None)})
+        except Exception:
+            self._restore(before)
+            raise
+
+    def _moved(self, name: str, pairs: DataFrame, assigned: set[str], after: DataFrame) -> None:
+        """Foreign keys that point to keys which an update changes: children follow, lose the reference or forbid it."""
+        for child, meta in list(self.state.meta.items()):
+            for fk in meta.foreign:
+                if fk.parent != name or fk.parent_column not in assigned:
+                    continue
+                gone = pairs.select(F.col(f"old_{fk.parent_column}").alias("_old"), F.col(f"new_{fk.parent_column}").alias("_new"))
+                gone = gone.filter("_old IS NOT NULL AND NOT (_old <=> _new)")
+                still = after.select(F.col(fk.parent_column).alias("_old"))
+                gone = cut(gone.join(still, "_old", "left_anti").dropDuplicates(["_old"]))
+                # A table that refers to itself follows in its new version, which is stored afterwards.
+                kids = after if child == name else self.table(child)
+                if fk.on_update in ("cascade", "set null"):
+                    x = kids.join(gone, kids[fk.column] == gone["_old"], "left")
+                    value = F.col("_new") if fk.on_update == "cascade" else F.lit(None)
+                    kind = dict(kids.dtypes)[fk.column]
+                    new = F.when(F.col("_old").isNotNull(), value.cast(kind)).otherwise(F.col(f"`{fk.column}`"))
+                    if child == name:
+                        raise ConstraintError(f"ON UPDATE of a reference of {name} to itself is not supported")
+                    moved = cut(x.select(F.col("_old").isNotNull().alias("_hit"), *[F.col(f"`{c}`").alias(f"old_{c}") for c in kids.columns], *[(new if c == fk.column else F.col(f"`{c}`")).alias(f"new_{c}") for c in kids.columns]))
+                    self._moved(child, moved.filter("_hit"), {fk.column}, _side(moved, "new", kids.columns))
+                    self._store(child, _side(moved, "new", kids.columns))
+                elif not kids.join(gone, kids[fk.column] == gone["_old"], "left_semi").isEmpty():
+                    raise ConstraintError(f"rows of {child} refer to {name}.{fk.parent_column}")
 
-    def _children(self, name: str, old_rows: DataFrame, after: DataFrame, event: str) -> None:
+    def _children(self, name: str, old_rows: DataFrame, after: DataFrame) -> None:
         """Foreign keys that point to rows which are about to go."""
         for child, meta in list(self.state.meta.items()):
             for fk in meta.foreign:
                 if fk.parent != name:
                     continue
                 gone = old_rows.select(fk.parent_column).join(after.select(fk.parent_column), fk.parent_column, "left_anti")
-                rule = fk.on_delete if event == "delete" else fk.on_update
+                rule = fk.on_delete
                 kids = self.table(child)
-                if rule == "cascade" and event == "delete":
+                if rule == "cascade":
                     hit = kids.join(gone, kids[fk.column] == gone[fk.parent_column], "left_semi")
                     left = cut(dml.cascade_delete(kids, fk.column, gone, fk.parent_column))
-                    self._children(child, cut(hit), left, "delete")
+                    self._children(child, cut(hit), left)
                     self._store(child, left)
                 elif rule == "set null":
                     self._store(child, cut(dml.cascade_set_null(kids, fk.column, gone, fk.parent_column)))
@@ -386,38 +475,55 @@ class Session:
         name, t, source, s, on, rest = m[1].lower(), m[2] or m[1], m[3], m[4] or m[3], m[5], m[6]
         clauses = re.findall(r"(?is)when\s+(not\s+)?matched\s*(?:and\s+(.*?))?\s*then\s+(.*?)(?=\swhen\s+(?:not\s+)?matched|$)", rest)
         old = self.table(name)
-        cols = old.columns
+        cols, kinds = old.columns, dict(old.dtypes)
+        # Rows may be equal, so each gets a number of its own, written down for the two looks at them.
+        cut(old.withColumn("__id", F.monotonically_increasing_id())).createOrReplaceTempView("__merge_target")
+        matched = [(c or "true", a.strip()) for n, c, a in clauses if not n]
+        fresh = [(c or "true", a.strip()) for n, c, a in clauses if n]
+
+        def first(conditions: list[str]) -> str:
+            # The first clause whose condition holds is the one that acts.
+            cases = " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(conditions))
+            return f"CASE {cases} ELSE -1 END" if cases else "-1"
+
+        act = first([c for c, _ in matched])
         value = {c: f"{t}.`{c}`" for c in cols}
-        drop, new = "false", None
-        for negated, condition, action in clauses:
-            action, condition = action.strip(), condition.strip() or "true"
-            if negated:
-                a = re.match(r"(?is)insert\s*(?:\((.*?)\))?\s*values\s*\((.*)\)$", action)
-                given = [c.strip().lower() for c in a[1].split(",")] if a[1] else cols
-                vals = [rewrite.text(v) for v in rewrite.arguments(rewrite.lex(a[2]))]
-                new = dict(zip(given, vals)), condition
-            elif action.lower() == "delete":
-                drop = f"({drop}) OR ({condition})"
-            else:
-                body = re.sub(r"(?is)^update\s+set\s+", "", action)
-                for c, e in self._assignments(body).items():
+        for i, (_, action) in enumerate(matched):
+            if action.lower() != "delete":
+                for c, e in self._assignments(re.sub(r"(?is)^update\s+set\s+", "", action)).items():
                     c = c.split(".")[-1]
-                    value[c] = f"CASE WHEN {condition} THEN {e} ELSE {value[c]} END"
-        kinds = dict(old.dtypes)
-        items = ", ".join(f"CAST({value[c]} AS {kinds[c]}) AS `{c}`" for c in cols)
-        hit = cut(self._query(f"SELECT {items}, ({drop}) AS __drop FROM {name} {t} JOIN {source} {s} ON {on}", params).distinct())
-        rest_rows = self._query(f"SELECT {t}.* FROM {name} {t} WHERE NOT EXISTS (SELECT 1 FROM {source} {s} WHERE {on})", params)
-        kept = hit.filter(~F.coalesce("__drop", F.lit(False))).drop("__drop")
-        rows = kept
-        if new:
-            given, condition = new
+                    value[c] = f"CASE WHEN ({act}) = {i} THEN {e} ELSE {value[c]} END"
+        both = ", ".join([f"{t}.`{c}` AS `old_{c}`" for c in cols] + [f"CAST({value[c]} AS {kinds[c]}) AS `new_{c}`" for c in cols])
+        hit = self._query(f"SELECT {t}.__id, {act} AS __act, {both} FROM __merge_target {t} JOIN {source} {s} ON {on}", params)
+        # Of several partners of one row the greatest outcome counts, once.
+        hit = cut(dml.last_per_key(hit.filter("__act >= 0"), ["__id"]))
+        deletes = [i for i, (_, action) in enumerate(matched) if action.lower() == "delete"]
+        rest_rows = self.spark.table("__merge_target").join(hit.select("__id"), "__id", "left_anti").select(*cols)
+        changed, dropped = hit.filter(~F.col("__act").isin(deletes)), hit.filter(F.col("__act").isin(deletes))
+        rows = _side(changed, "new", cols)
+        events = {"update": changed.drop("__id", "__act"), "delete": _pairs(_side(dropped, "old", cols), None)}
+        if fresh:
+            which = first([c for c, _ in fresh])
+            given: dict[str, str] = {}
+            for i, (_, action) in enumerate(fresh):
+                a = re.match(r"(?is)insert\s*(?:\((.*?)\))?\s*values\s*\((.*)\)$", action)
+                names = [c.strip().lower().strip("`") for c in a[1].split(",")] if a[1] else cols
+                for c, v in zip(names, rewrite.arguments(rewrite.lex(a[2]))):
+                    given[c] = f"CASE WHEN ({which}) = {i} THEN {rewrite.text(v)} ELSE {given.get(c, 'NULL')} END"
             items = ", ".join(f"CAST({given.get(c, 'NULL')} AS {kinds[c]}) AS `{c}`" for c in cols)
-            fresh = self._query(f"SELECT {items} FROM {source} {s} WHERE NOT EXISTS (SELECT 1 FROM {name} {t} WHERE {on}) AND ({condition})", params)
-            rows = rows.unionByName(fresh)
-        rows = cut(rows)
-        after = rest_rows.unionByName(rows)
-        self._check(name, rows, after)
-        return self._finish(name, "update", rows, after, returning)
+            new = cut(self._query(f"SELECT {items} FROM {source} {s} WHERE NOT EXISTS (SELECT 1 FROM __merge_target {t} WHERE {on}) AND ({which}) >= 0", params))
+            rows = rows.unionByName(new)
+            events["insert"] = _pairs(None, new)
+        self._check(name, rows, rest_rows)
+        before = self.state.copy()
+        try:
+            if deletes:
+                self._children(name, _side(dropped, "old", cols), rest_rows.unionByName(rows))
+            self._moved(name, changed, set(cols), rest_rows.unionByName(rows))
+            return self._finish(name, rows.unionByName(_side(dropped, "old", cols)), rest_rows.unionByName(rows), returning, events)
+        except Exception:
+            self._restore(before)
+            raise
 
     def _do_truncate(self, sql: str, params: dict) -> DataFrame:
         m = re.match(rf"(?is)^truncate\s+(?:table\s+)?(if\s+exists\s+)?({_NAME})$", sql)
@@ -441,7 +547,7 @@ class Session:
         meta = self.state.meta[name.lower()]
         rows = cut(read_lines(self.spark, data.splitlines(), meta.schema(), separator))
         after = dml.insert(self.table(name), rows)
-        self._check(name.lower(), rows, after)
+        self._check(name.lower(), rows, self.table(name))
         self._store(name.lower(), after)
         return rows.count()
 
@@ -458,7 +564,7 @@ class Session:
                     return self._done(0)
                 raise CatalogError(f"view {name} exists")
             self._query(m[4]).createOrReplaceTempView(name)
-            self.state.views[name] = m[4]
+            self.state.views[name] = rewrite.plain(m[4])
             return self._done(0)
         if m := re.match(rf"(?is)^create\s+(?:unique\s+)?index\s+(?:if\s+not\s+exists\s+)?(\w+)\s+on\s+({_NAME})\s*(?:using\s+(\w+)\s*)?\(\s*(\w+).*\)(?:\s*using\s+(\w+))?$", sql):
             meta = self.state.meta[m[2].lower()]
@@ -493,23 +599,61 @@ class Session:
         m = re.match(rf"(?is)^create\s+trigger\s+(?:if\s+not\s+exists\s+)?(\w+)\s+(before|after)\s+(insert|update|delete)\s+on\s+({_NAME})\s+(?:for\s+each\s+row\s+)?(?:when\s+(.*?)\s+)?begin\s+(.*?);?\s*end$", sql)
         if not m:
             raise rewrite.SqlError("cannot read CREATE TRIGGER")
-        self.state.triggers[m[1].lower()] = Trigger(m[1].lower(), m[4].lower(), m[2].lower(), m[3].lower(), m[6], m[5])
+        self.state.triggers[m[1].lower()] = Trigger(m[1].lower(), m[4].lower(), m[2].lower(), m[3].lower(), rewrite.plain(m[6]), m[5] and rewrite.plain(m[5]))
         return self._done(0)
 
-    def _fire(self, name: str, timing: str, event: str, rows: DataFrame) -> None:
-        """Statement-level triggers: the body sees the affected rows as table ``affected``."""
+    def _fire(self, name: str, timing: str, event: str, pairs: DataFrame) -> None:
+        """Triggers of a table run once per statement over all of its rows.
+
+        The body sees the rows as table ``affected``: every column as ``old_c``
+        and ``new_c``, and as ``c`` the new value (the old one for a delete).
+        ``NEW.c`` and ``OLD.c`` stand for these; see ``_set_based``.
+        """
         for t in [t for t in self.state.triggers.values() if (t.table, t.timing, t.event) == (name, timing, event)]:
             if self._depth >= MAX_TRIGGER_DEPTH:
                 raise RecursionError(f"triggers nest deeper than {MAX_TRIGGER_DEPTH}")
             self._depth += 1
             try:
-                hit = rows.filter(F.expr(re.sub(r"(?i)\b(new|old)\.", "", t.when))) if t.when else rows
-                if not hit.isEmpty():
-                    hit.createOrReplaceTempView("affected")
-                    self.run(_per_row_to_set(t.body))
+                hit = pairs.filter(F.expr(rewrite.to_spark(_of_pair(t.when)))) if t.when else pairs
+                if hit.isEmpty():
+                    continue
+                columns = [c[4:] for c in pairs.columns if c.startswith("new_")]
+                now = "old" if event == "delete" else "new"
+                for statement in rewrite.split_statements(t.body):
+                    # Set anew for every statement, as triggers of triggers set it too.
+                    hit.createOrReplaceTempView("__pairs")
+                    hit.select("*", *[F.col(f"`{now}_{c}`").alias(c) for c in columns]).createOrReplaceTempView("affected")
+                    self._trigger_statement(statement)
+            except PySparkException as e:
+                if "USER_RAISED_EXCEPTION" in str(e):
+                    said = re.search(r"\[USER_RAISED_EXCEPTION\]\s*(.*?)\s*SQLSTATE", str(e), re.S)
+                    raise ConstraintError(f"trigger {t.name}: {said[1] if said else 'raised'}") from None
+                raise
             finally:
                 self._depth -= 1
 
+    def _trigger_statement(self, statement: str) -> None:
+        sums = _increments(statement)
+        if sums:
+            # ``c = c + x``, row by row, is the sum of ``x`` over all affected rows of a target row.
+            table, assign, where = sums
+            target = cut(self.table(table).withColumn("__id", F.monotonically_increasing_id()))
+            target.createOrReplaceTempView("__sum_target")
+            items = ", ".join(f"sum({_of_pair(x)}) AS `__s_{c}`" for c, x in assign.items())
+            add = self._query(f"SELECT __id, {items} FROM __sum_target JOIN __pairs ON {_of_pair(where)} GROUP BY __id")
+            kinds = dict(target.dtypes)
+            both = target.join(cut(add), "__id")
+            new = {c: (F.col(c) + F.col(f"__s_{c}")).cast(kinds[c]) if c in assign else F.col(c) for c in self.table(table).columns}
+            changed = cut(both.select("__id", *[F.col(c).alias(f"old_{c}") for c in new], *[x.alias(f"new_{c}") for c, x in new.items()]))
+            rest = target.join(changed.select("__id"), "__id", "left_anti").drop("__id")
+            rows = _side(changed, "new", list(new))
+            self._check(table, rows, rest)
+            self._finish(table, rows, rest.unionByName(rows), None, {"update": changed.drop("__id")})
+            return
+        out = self.sql(_set_based(statement))
+        if re.match(r"(?i)\s*(select|with)\b", statement):
+            out.write.format("noop").mode("overwrite").save()  # a SELECT only matters for what it raises
+
     def on(self, name: str, table: str, timing: str, event: str, body: str) -> None:
         """A trigger given directly; ``body`` is SQL over the table ``affected``."""
         self.state.triggers[name.lower()] = Trigger(name.lower(), table.lower(), timing, event, body)
@@ -546,7 +690,7 @@ class Session:
         if a := re.match(r"(?is)^add\s+(?:column\s+)?(.*)$", action):
             new = parse_columns(a[1])
             for c in new.columns:
-                df = df.withColumn(c.name, (F.expr(c.default) if c.default else F.lit(None)).cast(c.type))
+                df = df.withColumn(c.name, (F.expr(rewrite.to_spark(c.default)) if c.default else F.lit(None)).cast(c.type))
             meta = replace(meta, columns=(*meta.columns, *new.columns))
         elif a := re.match(r"(?is)^drop\s+(?:column\s+)?(?:if\s+exists\s+)?(\w+)$", action):
             gone = a[1].lower()
@@ -619,7 +763,7 @@ class Session:
 
     def _do_set(self, sql: str, params: dict) -> DataFrame:
         name, _, value = re.sub(r"(?is)^(set|pragma)\s+", "", sql).partition("=")
-        self.settings[name.strip().lower()] = value.strip().strip("'")
+        self.settings[name.strip().lower()] = rewrite.plain(value).strip("'")
         return self._done(0)
 
     _do_pragma = _do_set
@@ -653,8 +797,14 @@ class Session:
     _do_desc = _do_describe
 
     def _do_explain(self, sql: str, params: dict) -> DataFrame:
-        plan = self._query(re.sub(r"(?is)^explain\s+", "", sql), params)._jdf.queryExecution().toString()
-        return self._rows([(line,) for line in plan.splitlines()], "plan string")
+        """The plan as text lines; ``EXPLAIN JSON`` gives one row with the list of operators, outermost first."""
+        m = re.match(r"(?is)^explain\s+(json\s+)?(.*)$", sql)
+        execution = self._query(m[2], params)._jdf.queryExecution()
+        if m[1]:
+            nodes = [n["class"].rsplit(".", 1)[-1] for n in json.loads(execution.analyzed().toJSON())]
+            names = [OPERATORS.get(n, n) for n in nodes if n not in ("SubqueryAlias", "View", "UnresolvedSubqueryColumnAliases")]
+            return self._rows([(json.dumps(names),)], "plan string")
+        return self._rows([(line,) for line in execution.toString().splitlines()], "plan string")
 
     def _do_call(self, sql: str, params: dict) -> DataFrame:
         return self._query("SELECT " + re.sub(r"(?is)^call\s+", "", sql) + " AS result", params)
@@ -666,7 +816,8 @@ class Session:
 
     def _do_prepare(self, sql: str, params: dict) -> DataFrame:
         m = re.match(r"(?is)^prepare\s+(\w+)\s+(?:as|from)\s+(.*)$", sql)
-        self.prepare(m[1], m[2].strip("'"))
+        body = rewrite.plain(m[2])
+        self.prepare(m[1], body[1:-1].replace("''", "'") if body.startswith("'") else body)
         return self._done(0)
 
     # --- results for host programs ---
@@ -688,25 +839,81 @@ def _top_level_where(body: str) -> tuple[str, str | None]:
     return body, None
 
 
-def _per_row_to_set(body: str) -> str:
-    """``INSERT INTO log VALUES (NEW.a, 'x')`` as one set statement over the affected rows."""
-    out = []
-    for s in rewrite.split_statements(body):
-        if re.search(r"(?i)\b(new|old)\.", s):
-            m = re.match(r"(?is)^(insert\s.*?)\bvalues\s*\((.*)\)$", s)
-            if m:
-                s = f"{m[1]} SELECT {re.sub(r'(?i)\b(new|old)\.', '', m[2])} FROM affected"
-            elif m := re.match(r"(?is)^(update|delete)\s(.*)\swhere\s+(.*)$", s):
-                s = f"{m[1]} {m[2]} WHERE EXISTS (SELECT 1 FROM affected WHERE {re.sub(r'(?i)\b(new|old)\.', 'affected.', m[3])})"
-        out.append(s)
-    return "; ".join(out)
+def _pairs(old: DataFrame | None, new: DataFrame | None) -> DataFrame:
+    """Rows as ``old_c`` and ``new_c`` columns; the side that is not given is null."""
+    one = new if new is not None else old
+    assert one is not None
+    kinds = dict(one.dtypes)
+    side = lambda df, prefix: [(F.col(f"`{c}`") if df is not None else F.lit(None).cast(kinds[c])).alias(f"{prefix}_{c}") for c in one.columns]
+    return one.select(*side(old, "old"), *side(new, "new"))
+
+
+def _side(pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return pairs.select(*[F.col(f"`{side}_{c}`").alias(c) for c in columns])
+
+
+def _of_pair(sql: str) -> str:
+    """``NEW.c`` and ``OLD.c`` as columns of ``__pairs``."""
+    tokens, out, k = rewrite.lex(sql), [], 0
+    while k < len(tokens):
+        t = tokens[k]
+        if t.kind == "word" and t.low in ("new", "old") and k + 2 < len(tokens) and tokens[k + 1].text == "." and tokens[k + 2].kind in ("word", "quoted"):
+            out.append(rewrite.Token("word", f"{t.low}_{tokens[k + 2].low.strip('`')}"))
+            k += 3
+        else:
+            out.append(t)
+            k += 1
+    return rewrite.text(out)
+
+
+def _increments(statement: str) -> tuple[str, dict[str, str], str] | None:
+    """Table, increments and condition of ``UPDATE t SET c = c + x, ... WHERE ...`` that speaks of NEW or OLD rows."""
+    m = re.match(rf"(?is)^update\s+({_NAME})\s+set\s+(.*)$", rewrite.masked(statement))
+    if not m or _of_pair(statement) == rewrite.text(rewrite.lex(statement)):
+        return None
+    body, where = _top_level_where(m[2])
+    assign = {}
+    for part in rewrite.arguments(rewrite.lex(body)):
+        x = re.match(r"(?is)^`?(\w+)`?\s*=\s*`?(\w+)`?\s*([+-])\s*(.+)$", rewrite.text(part))
+        if not x or x[1].lower() != x[2].lower():
+            return None
+        assign[x[1].lower()] = x[4] if x[3] == "+" else f"-({x[4]})"
+    return (m[1].lower().strip("`"), assign, where) if where else None
+
+
+def _set_based(statement: str) -> str:
+    """A statement about one NEW or OLD row as one over all rows of ``__pairs``.
+
+    ``INSERT ... VALUES`` and ``SELECT`` read from it, ``DELETE`` asks whether a
+    row is there, ``UPDATE`` becomes a MERGE (of several rows for one target the
+    greatest outcome counts).  A statement that names neither runs as it is.
+    """
+    sql = _of_pair(statement)
+    if sql == rewrite.text(rewrite.lex(statement)):
+        return statement
+    hidden = rewrite.masked(sql)
+    if m := re.match(r"(?is)^(insert\s.*?)\bvalues\s*(\(.*\))$", hidden):
+        rows = [rewrite.text(r).strip() for r in rewrite.arguments(rewrite.lex(m[2]))]
+        return f"{rewrite.plain(m[1])} " + " UNION ALL ".join(f"SELECT {r[1:-1]} FROM __pairs" for r in rows)
+    if m := re.match(rf"(?is)^update\s+({_NAME})\s+set\s+(.*)$", hidden):
+        body, where = _top_level_where(m[2])
+        return f"MERGE INTO {m[1]} USING __pairs ON {where or 'true'} WHEN MATCHED THEN UPDATE SET {rewrite.plain(body)}"
+    if m := re.match(rf"(?is)^delete\s+from\s+({_NAME})\s+where\s+(.*)$", hidden):
+        return f"DELETE FROM {m[1]} WHERE EXISTS (SELECT 1 FROM __pairs WHERE {rewrite.plain(m[2])})"
+    parts = rewrite.clauses(rewrite.lex(re.sub(r"(?is)^insert\s.*?(?=\bselect\b)", "", hidden)))
+    if not parts:
+        raise rewrite.SqlError(f"a trigger cannot run: {statement}")
+    head = rewrite.plain(hidden[: re.search(r"(?is)\bselect\b", hidden).start()])
+    source = f"{rewrite.text(parts['from'])} CROSS JOIN __pairs" if "from" in parts else "__pairs"
+    tail = " ".join(f"{w} {rewrite.text(parts[w])}" for w in ("where", "group", "having", "order", "limit") if w in parts)
+    return f"{head} SELECT {rewrite.text(parts['select'])} FROM {source} {tail}"
 
 
 def parse_columns(body: str) -> TableMeta:
     """Columns and table constraints of a CREATE TABLE body."""
     columns, primary, unique, checks, foreign = [], (), [], [], []
     for part in rewrite.arguments(rewrite.lex(body)):
-        s = rewrite.text(part)
+        s = rewrite.masked(rewrite.text(part))
         s = re.sub(r"(?is)^constraint\s+\w+\s+", "", s)
         names = lambda x: tuple(c.strip().strip("`").lower() for c in x.split(","))
         if m := re.match(r"(?is)^primary\s+key\s*\((.*?)\)$", s):
@@ -714,7 +921,7 @@ def parse_columns(body: str) -> TableMeta:
         elif m := re.match(r"(?is)^unique\s*\((.*?)\)$", s):
             unique.append(names(m[1]))
         elif m := re.match(r"(?is)^check\s*\((.*)\)$", s):
-            checks.append(m[1])
+            checks.append(rewrite.plain(m[1]))
         elif m := re.match(r"(?is)^foreign\s+key\s*\(\s*(\w+)\s*\)\s*references\s+(\w+)\s*\(\s*(\w+)\s*\)(.*)$", s):
             foreign.append(_foreign(m[1], m[2], m[3], m[4]))
         else:
@@ -729,12 +936,12 @@ def parse_columns(body: str) -> TableMeta:
             if re.search(r"(?i)\bunique\b", rest):
                 unique.append((name,))
             if c := re.search(r"(?is)check\s*\(((?:[^()]|\([^()]*\))*)\)", rest):
-                checks.append(c[1])
+                checks.append(rewrite.plain(c[1]))
             if r := re.search(r"(?is)references\s+(\w+)\s*\(\s*(\w+)\s*\)(.*)$", rest):
                 foreign.append(_foreign(name, r[1], r[2], r[3]))
             d = re.search(r"(?is)default\s+(\((?:[^()]|\([^()]*\))*\)|'(?:[^']|'')*'|[-+]?[\w.]+(?:\(\))?)", rest)
             auto = bool(re.search(r"(?i)auto_?increment", rest)) or (is_pk and kind.lower() == "integer")
-            columns.append(Column(name, sql_type(kind), "not null" in low, d[1] if d else None, auto))
+            columns.append(Column(name, sql_type(kind), "not null" in low, rewrite.plain(d[1]) if d else None, auto))
     if len({c.name for c in columns}) != len(columns) or not columns:
         raise CatalogError("a table needs columns with different names")
     return TableMeta(tuple(columns), primary, tuple(unique), tuple(checks), tuple(foreign))
