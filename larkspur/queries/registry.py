@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package, each with QUERIES and SQL.
-MODULES = ["records", "relational", "writes"]
+MODULES = ["records", "relational", "statements", "writes"]
 
 
 def _merged(attribute: str) -> dict:

@@ -56,14 +56,14 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "math_funcs": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(l_discount - l_tax) AS a, round(sqrt(l_quantity), 6) AS q, l_discount * l_discount AS p, round(power(l_quantity, 2), 2) AS sq, CAST(ceil(l_extendedprice) AS DOUBLE) AS c, CAST(floor(l_extendedprice) AS DOUBLE) AS f, CAST(sign(l_discount - l_tax) AS INT) AS s FROM lineitem",
     "integer_division": ("SELECT o_orderkey, o_custkey DIV 7 AS q, o_custkey % 7 AS r, o_custkey / 7 AS x FROM orders", "SELECT o_orderkey, o_custkey // 7 AS q, o_custkey % 7 AS r, o_custkey / 7 AS x FROM orders"),
     "date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d FROM orders",
-    "date_format": ("SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd HH:mm') AS f FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS f FROM orders"),
+    "date_format": ("SELECT o_orderkey, DATE_FORMAT(o_orderdate, '%Y-%m-%d %H:%i') AS f FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS f FROM orders"),
     "date_diff": ("SELECT o_orderkey, CAST(datediff(o_orderdate, DATE '1995-01-01') AS BIGINT) AS days FROM orders", "SELECT o_orderkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders"),
     "unix_ts": ("SELECT event_id, unix_timestamp(CAST(ts AS TIMESTAMP)) AS s FROM events", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events"),
     "date_shift_days": "SELECT event_id, ts + INTERVAL '3' DAY AS later, ts - INTERVAL '90' MINUTE AS earlier FROM events",
     "date_shift_months": "SELECT event_id, ts + INTERVAL '1' MONTH AS next_month FROM events",
     "time_filter": "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'",
     "coalesce_ifnull": "SELECT id, coalesce(killer_uid, victim_uid, -1) AS who, ifnull(killer_weapon, 'none') AS w, nullif(distance, -1) AS d FROM kill_events",
-    "typeof_tag": ("SELECT DISTINCT CASE typeof(l_quantity) WHEN 'bigint' THEN 'integer' WHEN 'double' THEN 'real' ELSE 'text' END AS q, CASE typeof(l_orderkey) WHEN 'bigint' THEN 'integer' ELSE 'text' END AS k FROM lineitem", "SELECT DISTINCT CASE typeof(l_quantity) WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'real' ELSE 'text' END AS q, CASE typeof(l_orderkey) WHEN 'BIGINT' THEN 'integer' ELSE 'text' END AS k FROM lineitem"),
+    "typeof_tag": ("SELECT DISTINCT TYPEOF(l_quantity) AS q, TYPEOF(l_orderkey) AS k FROM lineitem", "SELECT DISTINCT CASE typeof(l_quantity) WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'real' ELSE 'text' END AS q, CASE typeof(l_orderkey) WHEN 'BIGINT' THEN 'integer' ELSE 'text' END AS k FROM lineitem"),
     "json_field": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "array_access": ("SELECT vec_id, round(CAST(embedding[0] AS DOUBLE), 5) AS x0, CAST(size(embedding) AS BIGINT) AS n FROM embeddings", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 5) AS x0, CAST(len(embedding) AS BIGINT) AS n FROM embeddings"),
     "array_explode": ("SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT label, explode(embedding) AS x FROM embeddings) WHERE x > 0 GROUP BY label", "SELECT label, CAST(count(*) AS BIGINT) AS n FROM (SELECT label, unnest(embedding) AS x FROM embeddings) WHERE x > 0 GROUP BY label"),

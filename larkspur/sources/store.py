@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import json
-import shutil
 from collections.abc import Iterator
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame
 
 from larkspur.plans.catalog import TableMeta
 from larkspur.plans.session import Session, ddl
+from larkspur.sources.files import Files
 from larkspur.sources.text import write_csv
 
 
 def guarded(root: str, relative: str) -> str:
-    """A path below ``root``; absolute paths, ``..`` and links that lead out are errors."""
-    base = Path(root).resolve()
-    if Path(relative).is_absolute() or ".." in Path(relative).parts:
+    """A path below ``root``, a local folder or a URI; absolute paths, ``..`` and (locally) links that lead out are errors."""
+    parts = PurePosixPath(relative).parts
+    if not parts or relative.startswith(("/", "\\")) or ".." in parts or ":" in parts[0]:
         raise PermissionError(f"path leaves the export folder: {relative}")
+    if "://" in root or root.startswith("file:"):
+        return f"{root.rstrip('/')}/{'/'.join(parts)}"
+    base = Path(root).resolve()
     full = (base / relative).resolve()
     if not full.is_relative_to(base):
         raise PermissionError(f"path leaves the export folder: {relative}")
@@ -26,29 +29,31 @@ def guarded(root: str, relative: str) -> str:
 
 
 def save(session: Session, path: str) -> None:
-    """Write all tables as parquet with a metadata file: to a staging folder first, then swapped in; the last state stays as ``.bak``."""
-    target, staging, backup = Path(path), Path(path + ".tmp"), Path(path + ".bak")
-    shutil.rmtree(staging, ignore_errors=True)
+    """Write all tables as parquet with a metadata file: to a staging folder first, then swapped in; the last state stays as ``.bak``.
+
+    ``path`` may lie on any file system that Spark writes to; on a cluster it must be one that all executors share.
+    """
+    files, staging, backup = Files(session.spark), path + ".tmp", path + ".bak"
+    files.delete(staging)
     for name, df in session.state.tables.items():
-        df.write.parquet(str(staging / name))
-    staging.mkdir(parents=True, exist_ok=True)
+        df.write.parquet(f"{staging}/{name}")
     meta = {"tables": {n: m.describe() for n, m in session.state.meta.items()}, "views": session.state.views, "sequences": session.state.sequences}
-    (staging / "_meta.json").write_text(json.dumps(meta, indent=1))
-    if target.exists():
-        shutil.rmtree(backup, ignore_errors=True)
-        target.rename(backup)
-    staging.rename(target)
+    files.write(f"{staging}/_meta.json", json.dumps(meta, indent=1))
+    if files.exists(path):
+        files.delete(backup)
+        files.move(path, backup)
+    files.move(staging, path)
 
 
 def load(session: Session, path: str) -> None:
     """Read a saved state, or its ``.bak`` if it cannot be read; all or nothing."""
-    errors = []
-    for folder in (Path(path), Path(path + ".bak")):
+    files, errors = Files(session.spark), []
+    for folder in (path, path + ".bak"):
         try:
-            meta = json.loads((folder / "_meta.json").read_text())
+            meta = json.loads(files.read(f"{folder}/_meta.json"))
             metas = {n: TableMeta.restore(session.spark, d) for n, d in meta["tables"].items()}
             # An empty table has no part files, only its schema in the metadata.
-            frames = {n: session.spark.read.schema(m.schema()).parquet(str(folder / n)) for n, m in metas.items()}
+            frames = {n: session.spark.read.schema(m.schema()).parquet(f"{folder}/{n}") for n, m in metas.items()}
         except (OSError, ValueError, KeyError) as e:
             errors.append(e)
             continue
