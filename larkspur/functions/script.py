@@ -241,7 +241,9 @@ def column(expression: str | Node, variables: Mapping[str, Column]) -> Column:
             case "trim":
                 return F.trim(a[0])
             case "typename":
-                return F.upper(F.typeof(a[0]))
+                kind = F.typeof(a[0])
+                scalar = F.when(kind == "string", "STRING").when(kind == "boolean", "BOOL").otherwise("SCALAR")
+                return F.when(F.startswith(kind, F.lit("array")), "ARRAY").otherwise(scalar)
             case "count":
                 return F.size(a[0]) if n.args[0].op == "array" else F.coalesce(F.length(a[0].cast("string"))) if n.args[0].op == "lit" else F.size(a[0])
             case "parsenumber":

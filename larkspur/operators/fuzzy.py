@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.plans.materialize import cut
+from larkspur.plans.skew import hot_keys
+
 #: Similarity from which two texts match by default.
 THRESHOLD = 0.3
+#: Tasks that share the texts of a common trigram.
+SPLIT = 32
 
 
 def trigrams(c: Column) -> Column:
@@ -38,7 +43,9 @@ def fuzzy_join(left: DataFrame, left_key: str, left_text: str, right: DataFrame,
     of texts meet through a prefix of their rarest trigrams (texts of Jaccard
     ``t`` share one of the ``n - ceil(t n) + 1`` rarest, so no pair is lost), and
     exact scores come from the trigram sets.  Rows expand to keys at the end.
-    Null texts match nothing.
+    A trigram that stands in a large share of the prefixes is split: one side's
+    texts over ``SPLIT`` tasks, the other's copied to each.  Null texts match
+    nothing.
     """
     def texts(df: DataFrame, text: str) -> DataFrame:
         return df.select(F.col(text).alias("t")).filter("t IS NOT NULL").distinct().withColumn("g", trigrams(F.col("t")))
@@ -53,7 +60,13 @@ def fuzzy_join(left: DataFrame, left_key: str, left_text: str, right: DataFrame,
         keep = F.size("o") - F.ceil(F.lit(threshold) * F.size("o") - 1e-9) + 1
         return ranked.select(F.col("t").alias(name), F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), keep).cast("int"))).alias("gram"))
 
-    pairs = prefix(a, "ta").join(prefix(b, "tb"), "gram").select("ta", "tb").distinct()
+    left_grams, right_grams = cut(prefix(a, "ta")), prefix(b, "tb")
+    hot = hot_keys(left_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "n")
+    is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
+    left_grams = left_grams.withColumn("part", F.when(is_hot, F.pmod(F.xxhash64("ta"), F.lit(SPLIT))).otherwise(F.lit(0).cast("long")))
+    copies = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right_grams = right_grams.withColumn("part", F.explode(copies))
+    pairs = left_grams.join(right_grams, ["gram", "part"]).select("ta", "tb").distinct()
     scored = pairs.withColumn("score", similarity(F.col("ta"), F.col("tb"))).filter(F.col("score") >= threshold)
     l = left.select(F.col(left_key).alias("left_key"), F.col(left_text).alias("ta"))
     r = right.select(F.col(right_key).alias("right_key"), F.col(right_text).alias("tb"))

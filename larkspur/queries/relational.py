@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.operators.fuzzy import SQL_FUNCTIONS
 from larkspur.plans.rewrite import lex, recursive_union, to_spark
+from larkspur.plans.skew import row_hash
 from larkspur.sources.tables import table
 
 TABLES = {
@@ -141,11 +142,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     # set operations
     "union_all": "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer",
     "union_distinct": "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer",
-    "except_distinct": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30",
+    "except_distinct": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "intersect_distinct": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "nested_setops": "(SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20 INTERSECT SELECT n_nationkey FROM nation)",
+    "nested_setops": "(SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation) EXCEPT (SELECT s_nationkey FROM supplier WHERE s_acctbal < 5000 INTERSECT SELECT n_nationkey FROM nation)",
     # CTEs
     "cte_chain": "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), b(k, total) AS (SELECT o_custkey, t FROM a WHERE t > 500000) SELECT k, round(total, 2) AS total FROM b",
     "cte_materialized": "WITH a AS MATERIALIZED (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT x.n_regionkey, y.n FROM a x JOIN a y ON x.n_regionkey = y.n_regionkey",
@@ -160,8 +161,14 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "leaderboard_top10": "SELECT s.s_name, CAST(count(*) AS BIGINT) AS n, CAST(sum(l.l_quantity) AS DOUBLE) AS q FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey WHERE l.l_quantity > 5 GROUP BY s.s_name HAVING count(*) > 1 ORDER BY n DESC, s_name LIMIT 10",
     "weapon_top10": "SELECT lower(trim(killer_weapon)) AS weapon, CAST(count(*) AS BIGINT) AS kills FROM (SELECT DISTINCT * FROM kill_events) WHERE killer_weapon IS NOT NULL GROUP BY 1 ORDER BY kills DESC, weapon LIMIT 10",
     "headshot_leaders": "SELECT killer_uid, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT * FROM kill_events) WHERE headshot = 1 AND killer_uid <> 0 GROUP BY killer_uid ORDER BY n DESC, killer_uid LIMIT 10",
-    "kill_death": "WITH e AS (SELECT DISTINCT * FROM kill_events), k AS (SELECT killer_uid AS uid, count(*) AS kills FROM e WHERE killer_uid <> 0 GROUP BY killer_uid), d AS (SELECT victim_uid AS uid, count(*) AS deaths FROM e WHERE victim_uid <> 0 GROUP BY victim_uid) SELECT coalesce(k.uid, d.uid) AS uid, coalesce(kills, 0) AS kills, coalesce(deaths, 0) AS deaths FROM k FULL OUTER JOIN d ON k.uid = d.uid",
-    "stats_differences": "WITH e AS (SELECT DISTINCT * FROM kill_events), k AS (SELECT killer_uid AS uid, count(*) AS kills FROM e GROUP BY killer_uid), s AS (SELECT DISTINCT * FROM session_stats) SELECT s.uid, s.kills AS stated, coalesce(k.kills, 0) AS counted FROM s LEFT JOIN k ON s.uid = k.uid WHERE s.kills IS NULL OR s.kills <> coalesce(k.kills, 0)",
+    "kill_death": (
+        "WITH e AS (SELECT DISTINCT killer_uid, victim_uid, id, row_hash FROM kill_events_hashed), r AS (SELECT stack(2, killer_uid, 1, victim_uid, 0) AS (uid, kill) FROM e) SELECT uid, count_if(kill = 1) AS kills, count_if(kill = 0) AS deaths FROM r WHERE uid <> 0 GROUP BY uid",
+        "WITH e AS (SELECT DISTINCT * FROM kill_events), k AS (SELECT killer_uid AS uid, count(*) AS kills FROM e WHERE killer_uid <> 0 GROUP BY killer_uid), d AS (SELECT victim_uid AS uid, count(*) AS deaths FROM e WHERE victim_uid <> 0 GROUP BY victim_uid) SELECT coalesce(k.uid, d.uid) AS uid, coalesce(kills, 0) AS kills, coalesce(deaths, 0) AS deaths FROM k FULL OUTER JOIN d ON k.uid = d.uid",
+    ),
+    "stats_differences": (
+        "WITH e AS (SELECT DISTINCT killer_uid, id, row_hash FROM kill_events_hashed), k AS (SELECT killer_uid AS uid, count(*) AS kills FROM e GROUP BY killer_uid), s AS (SELECT DISTINCT uid, kills, row_hash FROM session_stats_hashed) SELECT s.uid, s.kills AS stated, coalesce(k.kills, 0) AS counted FROM s LEFT JOIN k ON s.uid = k.uid WHERE s.kills IS NULL OR s.kills <> coalesce(k.kills, 0)",
+        "WITH e AS (SELECT DISTINCT * FROM kill_events), k AS (SELECT killer_uid AS uid, count(*) AS kills FROM e GROUP BY killer_uid), s AS (SELECT DISTINCT * FROM session_stats) SELECT s.uid, s.kills AS stated, coalesce(k.kills, 0) AS counted FROM s LEFT JOIN k ON s.uid = k.uid WHERE s.kills IS NULL OR s.kills <> coalesce(k.kills, 0)",
+    ),
     "player_ratio": "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS purchases, round(count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0), 6) AS ratio FROM events GROUP BY user_id",
     "templates_per_faction": "SELECT upper(faction) AS faction, CAST(count(*) AS BIGINT) AS n FROM loadout_templates GROUP BY upper(faction)",
     "command_queue": "SELECT DISTINCT id, lower(trim(command)) AS command FROM server_commands WHERE lower(trim(status)) = 'pending' ORDER BY id LIMIT 50",
@@ -176,8 +183,13 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         from larkspur.plans.session import Session
 
-        for name in sorted(TABLES & {t.low for t in lex(text) if t.kind == "word"}):
+        words = {t.low for t in lex(text) if t.kind == "word"}
+        for name in sorted(TABLES & words):
             table(spark, d, name).createOrReplaceTempView(name)
+        for name in sorted(w for w in words if w.endswith("_hashed")):
+            # A row's hash tells repeated rows, so that only the columns in use travel.
+            raw = table(spark, d, name.removesuffix("_hashed"))
+            raw.withColumn("row_hash", row_hash(raw)).createOrReplaceTempView(name)
         if recursive_union(text):
             return Session(spark).sql(text)
         if "fuzzy" in text or "fts_score" in text or "%%" in text:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions import script
 from larkspur.operators import boards, dml
 from larkspur.plans.catalog import ConstraintError, Column, TableMeta
 from larkspur.plans.materialize import cut, shared_dir
@@ -543,10 +544,12 @@ def other_readers(spark, d):
     return s.sql("SELECT n_nationkey, n_name, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY n_nationkey, n_name")
 
 
-@_query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 500) AS page FROM orders WHERE o_orderkey <= 1200")
+@_query("SELECT c_custkey, ((row_number() OVER (ORDER BY c_custkey) - 1) // ((SELECT count(*) FROM customer) // 3 + 1)) AS page FROM customer")
 def cursor_pages(spark, d):
-    s = _session(spark, d, "orders")
-    s.cursor("c", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 1200 ORDER BY o_orderkey", 500)
+    """All customers in three pages of a cursor."""
+    s = _session(spark, d, "customer")
+    size = s.table("customer").count() // 3 + 1
+    s.cursor("c", "SELECT c_custkey FROM customer ORDER BY c_custkey", size)
     pages = [s.fetch("c").withColumn("page", F.lit(k).cast("long")) for k in range(3)]
     s.close("c")
     return reduce(DataFrame.unionByName, pages)
@@ -664,3 +667,53 @@ def value_operators_all(spark, d):
         one(s, "cat", "!").alias("cat"), one(s, "default", "x").alias("deflt"), num("round", "1", r).alias("rnd"), num("clamp", "10|20").alias("clamp"), num("negate", "").alias("negate"),
         one(s, "replace", "ring|loop").alias("repl"), one(s, "format", "<%1>").alias("frm"), one(s, "set", "new").alias("st"), one(n, "toggle", "").alias("tog"),
     )
+
+
+_X = "CAST(p_size AS DOUBLE)"
+#: Expressions of the embedded language over _x (a number from 1 to 50), with their SQL.
+_MATH = {
+    "sqrt": ("sqrt _x", "sqrt({x})"), "sin": ("sin _x", "sin({x})"), "cos": ("cos _x", "cos({x})"), "tan": ("tan (_x / 60)", "tan({x} / 60)"), "abs": ("abs (3 - _x)", "abs(3 - {x})"),
+    "exp": ("exp (_x / 10)", "exp({x} / 10)"), "ln": ("ln _x", "ln({x})"), "log": ("log _x", "log10({x})"), "log10": ("log10 _x", "log10({x})"), "asin": ("asin (1 / _x)", "asin(1 / {x})"),
+    "acos": ("acos (1 / _x)", "acos(1 / {x})"), "atan": ("atan _x", "atan({x})"), "deg": ("deg _x", "degrees({x})"), "rad": ("rad _x", "radians({x})"), "cosec": ("cosec _x", "1 / sin({x})"),
+    "sec": ("sec _x", "1 / cos({x})"), "cot": ("cot _x", "1 / tan({x})"), "round": ("round (_x / 3)", "round({x} / 3)"), "floor": ("floor (_x / -3)", "floor({x} / -3)"), "ceil": ("ceil (_x / -3)", "ceil({x} / -3)"),
+    "trunc": ("trunc (_x / -3)", "trunc({x} / -3)"), "sign": ("sign (7 - _x)", "sign(7 - {x})"), "mins": ("_x min 9", "least({x}, 9)"), "maxs": ("9 max _x", "greatest(9, {x})"), "atan2": ("_x atan2 3", "atan2({x}, 3)"),
+    "clamp": ("_x clamp [5, 20]", "least(greatest({x}, 5), 20)"), "rest": ("(_x + 0.5) % 7", "({x} + 0.5) % 7"), "power": ("2 ^ (_x / 10)", "power(2, {x} / 10)"), "zero": ("(_x / 0) max 1", "1"), "prec": ("1 + _x * 2 - -3", "1 + {x} * 2 + 3"),
+}
+
+
+@_query("SELECT p_partkey, " + ", ".join(f"round(CAST({sql.format(x=_X)} AS DOUBLE), 5) AS {n}" for n, (_, sql) in _MATH.items()) + " FROM part")
+def sqf_math_all(spark, d):
+    x = {"_x": F.col("p_size").cast("double")}
+    return table(spark, d, "part").select("p_partkey", *[F.round(script.column(e, x).cast("double"), 5).alias(n) for n, (e, _) in _MATH.items()])
+
+
+@_query("""SELECT p_partkey, p_name || '' AS s, upper(p_name) AS u, lower(p_name) AS l, 'STRING' AS kind, 'SCALAR' AS number, 'ARRAY' AS list, 'BOOL' AS truth, CAST(coalesce(TRY_CAST(trim(p_name) AS DOUBLE), 0) AS DOUBLE) AS p,
+           CAST(p_size AS DOUBLE) AS q, trim(p_name) AS t, CAST(instr(p_name, 'ring') - 1 AS BIGINT) AS at, replace(p_name, 'ring', 'loop') AS r, CAST(3 AS BIGINT) AS n FROM part""")
+def sqf_string_all(spark, d):
+    v = {"_n": F.col("p_name"), "_k": F.col("p_size").cast("string"), "_pad": F.concat(F.lit("  "), F.col("p_name"), F.lit(" "))}
+    said = {
+        "s": "str _n", "u": "toUpper _n", "l": "toLower _n", "kind": "typeName _n", "number": "typeName 1", "list": "typeName [1]", "truth": "typeName (1 == 1)", "p": "parseNumber _n", "q": "parseNumber _k", "t": "trim _pad",
+        "at": "_n find 'ring'", "r": "_n replace ['ring', 'loop']", "n": "count 'abc'",
+    }
+    kinds = {"at": "long", "n": "long"}
+    return table(spark, d, "part").select("p_partkey", *[script.column(e, v).cast(kinds[n]).alias(n) if n in kinds else script.column(e, v).alias(n) for n, e in said.items()])
+
+
+@_query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS first, CAST(NULL AS DOUBLE) AS none, p_size IN (3, 7) AS there, CAST(4 AS BIGINT) AS pushed, CAST(9 AS DOUBLE) AS last, CAST(2 AS BIGINT) AS fewer,
+           sqrt(p_size * p_size + 25.0) AS far, false AS nil, p_size = 7 AS same, p_size > 5 AND NOT p_size > 9 OR p_size = 1 AS logic, CAST(p_size AS DOUBLE) AS shown, true AS unknown FROM part""")
+def sqf_array_all(spark, d):
+    v = {"_x": F.col("p_size").cast("double")}
+    said = {
+        "first": "[_x, 5, 6] select 0", "none": "[_x, 5, 6] select 9", "there": "_x in [3, 7]", "pushed": "count ([_x, 5, 6] pushBack 9)", "last": "([_x, 5, 6] pushBack 9) select 3", "fewer": "count ([_x, 5, 6] deleteAt 0)",
+        "far": "vectorMagnitude [_x, 3, 4]", "nil": "isNil _x", "same": "_x isEqualTo 7", "logic": "_x > 5 && !(_x > 9) || _x == 1", "shown": "hint _x", "unknown": "isNil _nothing",
+    }
+    kinds = {"pushed": "long", "fewer": "long"}
+    return table(spark, d, "part").select("p_partkey", *[script.column(e, v).cast(kinds[n]).alias(n) if n in kinds else script.column(e, v).alias(n) for n, e in said.items()])
+
+
+@_query("SELECT p_partkey, " + ", ".join(f"round(CAST({sql.format(x=_X)} AS DOUBLE), 5) AS {n}" for n, (_, sql) in _MATH.items() if n not in ("zero",)) + " FROM part")
+def sqf_eval_all(spark, d):
+    """The same expressions from a text column, one text per number, evaluated in batches."""
+    x = table(spark, d, "part")
+    of = lambda e: F.replace(F.lit(e), F.lit("_x"), F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")")))
+    return x.select("p_partkey", *[F.round(script.evaluate_column(of(e)).cast("double"), 5).alias(n) for n, (e, _) in _MATH.items() if n not in ("zero",)])

@@ -19,13 +19,13 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    """New versions of every seventh part and as many parts that are not there yet."""
-    x = _parts(spark, d).filter("p_partkey % 7 = 0")
+    """New versions of all large parts and as many parts that are not there yet."""
+    x = _parts(spark, d).filter("p_size > 40")
     return x.withColumn("p_size", F.col("p_size") + 100).unionAll(x.withColumn("p_partkey", F.col("p_partkey") + 1_000_000))
 
 
 _OLD = "old AS (SELECT p_partkey, p_name, p_size FROM part)"
-_NEW = "new AS (SELECT p_partkey, p_name, p_size + 100 AS p_size FROM old WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey + 1000000, p_name, p_size FROM old WHERE p_partkey % 7 = 0)"
+_NEW = "new AS (SELECT p_partkey, p_name, p_size + 100 AS p_size FROM old WHERE p_size > 40 UNION ALL SELECT p_partkey + 1000000, p_name, p_size FROM old WHERE p_size > 40)"
 
 
 def insert_select(spark, d):
@@ -59,7 +59,7 @@ def delete_using(spark, d):
 
 def merge_all(spark, d):
     return dml.merge(
-        _parts(spark, d), _changes(spark, d), ["p_partkey"], {"p_size": "s.p_size"}, "t.p_size < 5", {"p_partkey": "s.p_partkey", "p_name": "'new'", "p_size": "s.p_size"}
+        _parts(spark, d), _changes(spark, d), ["p_partkey"], {"p_size": "s.p_size"}, "t.p_size < 45", {"p_partkey": "s.p_partkey", "p_name": "'new'", "p_size": "s.p_size"}
     )
 
 
@@ -229,14 +229,14 @@ _SIM = "(len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y})
 _TG = "list_distinct(list_transform(range(1, length('  ' || lower({0}) || '  ') - 1), lambda i: substr('  ' || lower({0}) || '  ', i, 3)))"
 
 SQL: dict[str, str] = {
-    "insert_select": "SELECT p_partkey, p_name, p_size FROM part UNION ALL SELECT p_partkey + 1000000, p_name, p_size FROM part WHERE p_partkey % 7 = 0",
+    "insert_select": "SELECT p_partkey, p_name, p_size FROM part UNION ALL SELECT p_partkey + 1000000, p_name, p_size FROM part WHERE p_size > 40",
     "insert_ignore": f"WITH {_OLD}, {_NEW} SELECT * FROM old UNION ALL SELECT * FROM new WHERE p_partkey NOT IN (SELECT p_partkey FROM old)",
     "replace_into": f"WITH {_OLD}, {_NEW} SELECT * FROM old WHERE p_partkey NOT IN (SELECT p_partkey FROM new) UNION ALL SELECT * FROM new",
     "upsert_update": f"WITH {_OLD}, {_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, coalesce(o.p_name, n.p_name) AS p_name, CASE WHEN n.p_partkey IS NULL THEN o.p_size WHEN o.p_partkey IS NULL THEN n.p_size ELSE o.p_size * 2 + n.p_size END AS p_size FROM old o FULL JOIN new n ON o.p_partkey = n.p_partkey",
     "update_where": "SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN p_size + 1 ELSE p_size END AS p_size FROM part",
     "delete_where": "SELECT p_partkey, p_name, p_size FROM part WHERE NOT (p_size > 25 OR p_size = 3)",
     "delete_using": "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)",
-    "merge_all": f"WITH {_OLD}, {_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'new' ELSE o.p_name END AS p_name, coalesce(n.p_size, o.p_size) AS p_size FROM old o FULL JOIN new n ON o.p_partkey = n.p_partkey WHERE NOT (o.p_partkey IS NOT NULL AND n.p_partkey IS NOT NULL AND o.p_size < 5)",
+    "merge_all": f"WITH {_OLD}, {_NEW} SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'new' ELSE o.p_name END AS p_name, coalesce(n.p_size, o.p_size) AS p_size FROM old o FULL JOIN new n ON o.p_partkey = n.p_partkey WHERE NOT (o.p_partkey IS NOT NULL AND n.p_partkey IS NOT NULL AND o.p_size < 45)",
     "returning_update": "SELECT p_partkey, p_size * 10 AS p_size FROM part WHERE p_size = 7",
     "unique_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "null_violations": "SELECT DISTINCT id FROM kill_events WHERE killer_uid IS NULL OR killer_weapon IS NULL",
