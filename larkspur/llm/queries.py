@@ -84,6 +84,26 @@ def p2_merged_blocks(spark: SparkSession, d: str) -> DataFrame:
     return certified(counted, "weapon", "distance", ests, QS, "n").withColumnRenamed("grp", "weapon")
 
 
+#: Distances whose ranks p2_counted counts.
+MARKS = (25.0, 100.0, 400.0)
+
+
+def p2_counted(spark: SparkSession, d: str) -> DataFrame:
+    """The counting pass that certifies percentiles, at fixed distances in place of estimates."""
+    counted = _distances(spark, d)
+    rows = digest_rows(merge_digests(centroids(counted, "weapon", "distance", weight="n")))
+    marks = cut(rows.select("grp", "n", "lo", "hi", F.array(*[F.lit(m) for m in MARKS]).alias("ests")))
+    out = certified(counted, "weapon", "distance", marks, [0.5] * len(MARKS), "n")
+    return out.select(F.col("grp").alias("weapon"), "n", F.col("estimate").alias("mark"), "below", "upto")
+
+
+P2_COUNTED_SQL = """
+SELECT coalesce(nullif(lower(regexp_replace(killer_weapon, '^\\s+|\\s+$', '', 'g')), ''), 'unspecified') AS weapon, mark, count(*) AS n,
+       CAST(count(*) FILTER (WHERE distance < mark) AS BIGINT) AS below, CAST(count(*) FILTER (WHERE distance <= mark) AS BIGINT) AS upto
+FROM (SELECT DISTINCT * FROM kill_events), (SELECT unnest([25.0::DOUBLE, 100.0, 400.0]) AS mark) WHERE distance >= 0 GROUP BY ALL
+"""
+
+
 def p2_ranges(spark: SparkSession, d: str) -> DataFrame:
     """What a digest keeps exactly: number, least and greatest measured distance per weapon class."""
     rows = digest_rows(merge_digests(centroids(_distances(spark, d), "weapon", "distance", weight="n")))
@@ -110,6 +130,19 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every document: how often it is packed from its begin, and whether its containers hold what they say and no more."""
+    pieces = p8_containers(spark, d)
+    load = pieces.groupBy("container").agg((F.sum("n_tokens") == F.max("fill")).alias("true_fill"), (F.max("fill") <= CAPACITY).alias("fits"))
+    per = pieces.join(load, "container").groupBy("doc_id").agg(
+        F.count_if(F.col("piece") == 0).alias("starts"), (F.count(F.lit(1)) == F.max("piece") + 1).alias("whole"), F.bool_and(F.col("true_fill") & F.col("fits")).alias("fits")
+    )
+    return per
+
+
+P8_COVERAGE_SQL = "SELECT DISTINCT doc_id, CAST(1 AS BIGINT) AS starts, true AS whole, true AS fits FROM documents WHERE doc_id IS NOT NULL"
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "exam_items")).select("doc_id", "item_id")
 
@@ -124,7 +157,7 @@ def p10_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_digests, p2_percentiles, p2_merged_blocks, p2_ranges, p8_containers, p8_fill, p9_found, p10_found, p10_mix)
+    f.__name__: f for f in (p2_digests, p2_percentiles, p2_merged_blocks, p2_ranges, p2_counted, p8_containers, p8_fill, p8_coverage, p9_found, p10_found, p10_mix)
 }
 
-SQL: dict[str, str] = {"p2_ranges": P2_RANGES_SQL}
+SQL: dict[str, str] = {"p2_ranges": P2_RANGES_SQL, "p2_counted": P2_COUNTED_SQL, "p8_coverage": P8_COVERAGE_SQL}
