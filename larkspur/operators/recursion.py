@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 
 from larkspur.plans.materialize import cut
 
 
+#: Rounds after which what is known is written anew as one frame.
+COMPACT_EVERY = 16
+
+
 def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
     """Least fixpoint of ``seed`` under ``step`` as a set; ends on cycles too.
 
-    Semi-naive: a round expands only the rows that the last one added, and only
-    those are written to shared storage (once each), so a lost executor does not
-    lose the state; what is known is the union of the written rounds.  More than
+    Semi-naive: a round expands only the rows that the last one added.  These are
+    written to shared storage once, so a lost executor does not lose the state,
+    and compared with what is known by one null-safe anti-join, whose small side
+    is broadcast where its measured size allows.  The known rows are the written
+    rounds, put together every ``COMPACT_EVERY`` rounds.  More than
     ``max_rounds`` is an error.
     """
     front = cut(seed.distinct())
     seen = front
-    for _ in range(max_rounds):
-        front = cut(step(front).toDF(*seed.columns).subtract(seen))
+    columns = seed.columns
+    for no in range(1, max_rounds + 1):
+        new = step(front).toDF(*columns).distinct()
+        known = seen.toDF(*[f"_{i}" for i in range(len(columns))])
+        same = reduce(and_, [new[c].eqNullSafe(known[f"_{i}"]) for i, c in enumerate(columns)])
+        front = cut(new.join(known, same, "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionAll(front)
+        if no % COMPACT_EVERY == 0:
+            seen = cut(seen)
     raise RecursionError(f"the recursion did not end within {max_rounds} rounds")

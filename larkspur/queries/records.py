@@ -78,6 +78,21 @@ FROM w GROUP BY GROUPING SETS ((killer_uid, weapon), (killer_uid))
 """
 
 
+def p1_event_features(spark: SparkSession, d: str) -> DataFrame:
+    """The operator of p1 over another log (events of users), back in long form with the latest times."""
+    log = table(spark, d, "events").select("user_id", "event_type", F.lit(1).alias("flag"), F.floor("value").alias("whole"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    types = type_vocabulary(log, "event_type")
+    wide = entity_features(log, "user_id", "event_type", types, "flag", "whole", "at")
+    cells = F.array(*[F.struct(F.lit(t).alias("event_type"), *[F.col(f"`{f}__{t}`").alias(f) for f in ("n", "flags", "total", "latest")]) for t in [*types, "all"]])
+    return wide.select("user_id", F.inline(F.filter(cells, lambda s: s.n > 0)))
+
+
+P1_EVENT_FEATURES_SQL = """
+SELECT user_id, coalesce(event_type, 'all') AS event_type, count(*) AS n, count(*) AS flags, CAST(sum(floor(value)) AS BIGINT) AS total, max(epoch_us(ts)) AS latest
+FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))
+"""
+
+
 def _timed_kills(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "kill_events")
     kills = raw.select("id", "ts", "killer_uid", "server_id", row_hash(raw).alias("row_hash")).filter(_named_killer())
@@ -94,6 +109,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_sessions(spark, d).select("killer_uid", "start_us", "end_us")
 
 
+def p3_event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The operator of p3 over another log: visits of users, ended by six hours without an event."""
+    log = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return sessions(log, "user_id", "at", 6 * 3600, 86_400)
+
+
+P3_EVENT_SESSIONS_SQL = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600000000 THEN 1 ELSE 0 END AS new FROM e),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS no FROM n)
+SELECT user_id, min(t) AS start_us, max(t) AS end_us, max(t) - min(t) AS duration_us, count(*) AS n_events FROM g GROUP BY user_id, no
+"""
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     fields = [(name, table(spark, d, name), key, field) for name, key, field in STAMPED]
     return instants(fields, table(spark, d, "game_servers"))
@@ -212,21 +241,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return out.distinct()
 
 
-P6_FOUND_SQL = """
+_P6_CTES = """
 WITH pl AS (
   SELECT uid, updated_at, arg_max(struct_pack(r := nullif(lower(regexp_replace(rank, '^\\s+|\\s+$', '', 'g')), ''), gone := lower(trim(op)) = 'delete'), rev) AS v
-  FROM players GROUP BY uid, updated_at),
+  FROM players WHERE uid IS NOT NULL AND updated_at IS NOT NULL GROUP BY uid, updated_at),
 ev AS (SELECT uid, updated_at, CASE WHEN v.gone THEN '' ELSE v.r END AS s FROM pl WHERE v.gone OR v.r IS NOT NULL),
 ch AS (SELECT *, lag(s) OVER (PARTITION BY uid ORDER BY updated_at) AS b FROM ev),
-pr AS (SELECT uid, snap_date, arg_max(struct_pack(l := level, x := xp), loaded_at) AS v FROM progression GROUP BY uid, snap_date),
+pr AS (SELECT uid, snap_date, arg_max(struct_pack(l := level, x := xp), loaded_at) AS v FROM progression WHERE uid IS NOT NULL AND snap_date IS NOT NULL GROUP BY uid, snap_date),
 f AS (SELECT uid, snap_date, last_value(v.l IGNORE NULLS) OVER w AS l, last_value(v.x IGNORE NULLS) OVER w AS x, row_number() OVER w AS n
       FROM pr WINDOW w AS (PARTITION BY uid ORDER BY snap_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 g AS (SELECT *, lag(l) OVER (PARTITION BY uid ORDER BY snap_date) AS bl, lag(x) OVER (PARTITION BY uid ORDER BY snap_date) AS bx FROM f)
+"""
+
+P6_FOUND_SQL = _P6_CTES + """
 SELECT DISTINCT 'players' AS source_table, uid, CAST(floor(epoch_us(updated_at) / 1000000.0) AS BIGINT) AS valid_from_s FROM ch WHERE s <> '' AND s IS DISTINCT FROM b
 UNION ALL
 SELECT 'progression', uid, CAST(epoch_us(CAST(snap_date AS TIMESTAMP)) // 1000000 AS BIGINT) FROM g WHERE n = 1 OR l IS DISTINCT FROM bl OR x IS DISTINCT FROM bx
 """
 
+P6_VERSIONS_SQL = _P6_CTES + """,
+pv AS (SELECT uid, s, epoch_us(updated_at) AS t, epoch_us(lead(updated_at) OVER w) AS nxt, CAST(sum(CASE WHEN s <> '' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS no
+       FROM ch WHERE s IS DISTINCT FROM b AND NOT (s = '' AND b IS NULL) WINDOW w AS (PARTITION BY uid ORDER BY updated_at)),
+gv AS (SELECT uid, l, x, epoch_us(CAST(snap_date AS TIMESTAMP)) AS t, epoch_us(CAST(lead(snap_date) OVER w AS TIMESTAMP)) AS nxt, row_number() OVER w AS no
+       FROM g WHERE n = 1 OR l IS DISTINCT FROM bl OR x IS DISTINCT FROM bx WINDOW w AS (PARTITION BY uid ORDER BY snap_date))
+SELECT 'players' AS source_table, uid, no AS version_no, s AS rank, CAST(NULL AS BIGINT) AS level, CAST(NULL AS BIGINT) AS xp, t AS valid_from_us, nxt AS valid_to_us, nxt IS NULL AS is_current FROM pv WHERE s <> ''
+UNION ALL SELECT 'progression', uid, no, NULL, l, x, t, nxt, nxt IS NULL FROM gv
+"""
+
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """One row per gear item of all three tables with owner, path, parent path, class and count."""
@@ -243,7 +284,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_features, p1_type_totals, p3_found, p3_sessions, p4_found, p5_found, p5_report, p6_found, p6_versions, p7_found, p7_items)
+    for f in (p1_features, p1_type_totals, p1_event_features, p3_found, p3_sessions, p3_event_sessions, p4_found, p5_found, p5_report, p6_found, p6_versions, p7_found, p7_items)
 }
 
-SQL = {"p1_type_totals": P1_TYPE_TOTALS_SQL, "p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL}
+SQL = {"p1_type_totals": P1_TYPE_TOTALS_SQL, "p1_event_features": P1_EVENT_FEATURES_SQL, "p3_event_sessions": P3_EVENT_SESSIONS_SQL, "p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL, "p6_versions": P6_VERSIONS_SQL}
