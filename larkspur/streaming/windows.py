@@ -57,11 +57,65 @@ def fan_out(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def running_totals(stream: DataFrame, ts: str, key: str, value: str, late: str = "1 day") -> DataFrame:
+#: State store that keeps state on disk and takes timers.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _totals_processor(idle_ms: int | None):
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Totals(StatefulProcessor):
+        """Count and sum of a key, and when its state is due to go."""
+
+        def init(self, handle) -> None:  # noqa: ANN001
+            self.handle = handle
+            self.state = handle.getValueState("totals", "n long, total double, due long")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+            n, total, due = self.state.get() if self.state.exists() else (0, 0.0, 0)
+            if due and due <= timerValues.getCurrentWatermarkInMs():
+                # Due already, though its timer comes after the rows.
+                self.handle.deleteTimer(due)
+                n, total, due = 0, 0.0, 0
+            then = due
+            for f in rows:
+                n += len(f)
+                total += float(f["value"].sum())
+                if idle_ms is not None and f["at"].notna().any():
+                    then = max(then, int(f["at"].max()) + idle_ms)
+            if then > due:
+                if due:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(then)
+            self.state.update((n, total, then))
+            yield pd.DataFrame({"key": [key[0]], "n": [n], "total": [total]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
+            self.state.clear()
+            return iter([])
+
+        def close(self) -> None:
+            pass
+
+    return Totals()
+
+
+def running_totals(stream: DataFrame, ts: str, key: str, value: str, late: str = "1 day", idle_seconds: int | None = None) -> DataFrame:
     """Custom keyed state: per micro-batch, each touched key's count and sum so far.
 
-    State is two numbers per key, whatever the number of rows.
+    State is two numbers per key, whatever the number of rows, and late rows
+    count.  With ``idle_seconds`` the state of a key is dropped once the watermark
+    has passed its last event by so much, and a later event begins anew; rows
+    later than ``late`` are then left out.  This takes the newer state API
+    (``transformWithState``) and its RocksDB store, which is set on the session.
     """
+    slim = _timed(stream, ts, late if idle_seconds is not None else None).select(F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("value"), F.unix_millis("_ts").alias("at"), "_ts")
+    schema = "key long, n long, total double"
+    if idle_seconds is not None or _has_protobuf():
+        stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        processor = _totals_processor(None if idle_seconds is None else idle_seconds * 1000)
+        return slim.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None" if idle_seconds is None else "EventTime")
+
     def step(k: tuple, frames, state):  # noqa: ANN001, ANN202
         n, total = state.get if state.exists else (0, 0.0)
         for f in frames:
@@ -70,5 +124,13 @@ def running_totals(stream: DataFrame, ts: str, key: str, value: str, late: str =
         state.update((n, total))
         yield pd.DataFrame({"key": [k[0]], "n": [n], "total": [total]})
 
-    slim = _timed(stream, ts, late).select(F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("value"), "_ts")
-    return slim.groupBy("key").applyInPandasWithState(step, "key long, n long, total double", "n long, total double", "update", "NoTimeout")
+    return slim.groupBy("key").applyInPandasWithState(step, schema, "n long, total double", "update", "NoTimeout")
+
+
+def _has_protobuf() -> bool:
+    """Whether the newer state API can talk to its workers."""
+    try:
+        import google.protobuf  # noqa: F401
+    except ImportError:
+        return False
+    return True

@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from table_rows import rows
 from pyspark.sql import functions as F
 
@@ -33,3 +36,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q = windows.running_totals(stream, "ts", "user", "v").writeStream.outputMode("update").format("memory").queryName("totals").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination(60)
     assert rows(spark.table("totals")) == [(1, 3, 7.0), (2, 2, 16.0)]
+
+
+def test_idle_state_is_dropped(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    days = [("2024-01-01", 1), ("2024-01-02", 1), ("2024-02-01", 2), ("2024-03-01", 1)]
+    for k, (day, user) in enumerate(days):
+        df = spark.createDataFrame([(k, user, f"{day} 00:00:00", 1.0)], "id long, user long, t string, v double").select("id", "user", F.col("t").cast("timestamp").alias("ts"), "v")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = windows.event_stream(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
+    out = windows.running_totals(stream, "ts", "user", "v", "1 hour", idle_seconds=7 * 86_400)
+    q = out.writeStream.outputMode("update").format("memory").queryName("idle").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    assert rows(spark.table("idle")) == [(1, 1, 1.0), (1, 1, 1.0), (1, 2, 2.0), (2, 1, 1.0)]
