@@ -6,7 +6,9 @@ Catalyst optimises and generates code for; ``evaluate`` runs it on Python values
 
 Grammar, loosest first: ``||``; ``&&``; comparisons; binary commands (``a min
 b``, right-associative); ``+ -``; ``* / %``; prefix ``- !`` and unary commands.
-Trigonometry is in radians.
+Trigonometry is in radians.  A word without a leading underscore that is no
+known command acts on a host program only: with operands it gives the first one,
+alone it is null (a named variable comes before that).
 """
 
 from __future__ import annotations
@@ -43,8 +45,6 @@ _UNARY = {
     "round", "floor", "ceil", "trunc", "sign", "str", "toupper", "tolower", "typename", "count", "parsenumber", "trim", "isnil", "vectormagnitude", "hint",
 }
 _BINARY = {"min", "max", "atan2", "clamp", "select", "in", "find", "pushback", "deleteat", "isequalto", "replace", "and", "or", "mod"}
-#: Commands that only act on a host program: they give their first operand.
-_HOST = {"hint", "systemchat", "diag_log"}
 
 
 def parse(text: str) -> Node:
@@ -99,6 +99,9 @@ def parse(text: str) -> Node:
         if kind == "word" and str(value).lower() in _BINARY - {"and", "or", "mod"}:
             take()
             return Node(str(value).lower(), (node, command()))
+        if kind == "word" and foreign(str(value)):
+            take()
+            return Node("host", (node, command()))
         return node
 
     def addition() -> Node:
@@ -107,8 +110,16 @@ def parse(text: str) -> Node:
     def product() -> Node:
         return left(prefix, ("*", "/", "%", "mod"))
 
+    def foreign(word: str) -> bool:
+        return not word.startswith("_") and word.lower() not in _NULAR | _UNARY | _BINARY
+
     def prefix() -> Node:
         kind, value = peek()
+        after = tokens[pos + 1] if pos + 1 < len(tokens) else ("end", None)
+        operand = after[0] == "lit" or (after[0] == "op" and after[1] in ("(", "[")) or (after[0] == "word" and str(after[1]).lower() not in _BINARY)
+        if kind == "word" and foreign(str(value)) and operand:
+            take()
+            return Node("host", (prefix(),))
         if kind == "op" and value in ("-", "!", "+"):
             take()
             return Node({"-": "neg", "!": "not", "+": "plus"}[str(value)], (prefix(),))
@@ -266,7 +277,7 @@ def column(expression: str | Node, variables: Mapping[str, Column]) -> Column:
                 return F.filter(a[0], lambda x, i: i != a[1].cast("int"))
             case "isequalto":
                 return a[0].eqNullSafe(a[1])
-            case op if op in _HOST:
+            case "host" | "hint":
                 return a[0]
             case op if op in _MATH:
                 return _MATH[op](a[0])
@@ -285,7 +296,7 @@ def evaluate(expression: str | Node, variables: Mapping[str, object] | None = No
         "asin": math.asin, "acos": math.acos, "atan": math.atan, "deg": math.degrees, "rad": math.radians, "cosec": lambda x: 1 / math.sin(x), "sec": lambda x: 1 / math.cos(x),
         "cot": lambda x: 1 / math.tan(x), "round": half, "floor": math.floor, "ceil": math.ceil, "trunc": math.trunc, "sign": lambda x: (x > 0) - (x < 0),
         "str": str, "toupper": str.upper, "tolower": str.lower, "trim": str.strip, "count": len, "isnil": lambda x: x is None, "neg": lambda x: -x, "plus": lambda x: x,
-        "not": lambda x: not x, "vectormagnitude": lambda x: math.sqrt(sum(v * v for v in x)), "hint": lambda x: x,
+        "not": lambda x: not x, "vectormagnitude": lambda x: math.sqrt(sum(v * v for v in x)), "hint": lambda x: x, "host": lambda x: x,
         "typename": lambda x: "ARRAY" if isinstance(x, list) else "STRING" if isinstance(x, str) else "BOOL" if isinstance(x, bool) else "SCALAR",
         "parsenumber": lambda x: _number(x),
     }
@@ -295,7 +306,7 @@ def evaluate(expression: str | Node, variables: Mapping[str, object] | None = No
         "||": lambda x, y: bool(x or y), "or": lambda x, y: bool(x or y), "&&": lambda x, y: bool(x and y), "and": lambda x, y: bool(x and y),
         "min": min, "max": max, "atan2": math.atan2, "clamp": lambda x, y: min(max(x, y[0]), y[1]), "select": lambda x, y: x[int(y)], "in": lambda x, y: x in y,
         "find": lambda x, y: x.find(y) if isinstance(x, str) else (x.index(y) if y in x else -1), "pushback": lambda x, y: [*x, y],
-        "deleteat": lambda x, y: [v for i, v in enumerate(x) if i != int(y)], "isequalto": lambda x, y: x == y, "replace": lambda x, y: x.replace(y[0], y[1]),
+        "deleteat": lambda x, y: [v for i, v in enumerate(x) if i != int(y)], "isequalto": lambda x, y: x == y, "host": lambda x, y: x, "replace": lambda x, y: x.replace(y[0], y[1]),
     }
 
     def go(n: Node) -> object:

@@ -100,30 +100,3 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, value_cols:
         x = x.join(ends.drop("_end"), [key, "_bucket"]).withColumn("_own", F.coalesce("_own", "_carry"))
     x = x.filter("_side = 1")
     return x.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], F.col("_own._r_at").alias(f"matched_{right_at}"), *[F.col(f"_own.{n}").alias(c) for n, c in zip(cols, value_cols)])
-
-
-# --- set operations by rows (duplicates as in SQL) ---
-
-
-def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionAll(b)
-
-
-def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.union(b).distinct()
-
-
-def except_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.subtract(b)
-
-
-def except_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.exceptAll(b)
-
-
-def intersect_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
-
-
-def intersect_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersectAll(b)

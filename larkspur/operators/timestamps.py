@@ -139,9 +139,11 @@ def zone_intervals(spark: SparkSession, zones: list[str]) -> DataFrame:
 
 def named_zones(df: DataFrame, text: str) -> list[str]:
     """IANA zones (lower case) that texts name in brackets: at most all there are, whatever the number of rows."""
-    name = F.lower(F.regexp_extract(text, r"\[([A-Za-z0-9_+/-]+)\]\s*$", 1))
-    found = df.filter(F.contains(F.col(f"`{text}`"), F.lit("["))).select(name.alias("z")).filter(F.col("z").isin(sorted(_zone_names())))
-    return [r.z for r in found.distinct().collect()]
+    tail = F.rtrim(F.substring_index(F.col(f"`{text}`"), "[", -1))
+    name = F.lower(F.rtrim(tail, F.lit("]")))
+    # Distinct first: the names are few, the rows are many.
+    found = df.filter(F.contains(F.col(f"`{text}`"), F.lit("["))).select(name.alias("z")).distinct().filter(F.col("z").isin(sorted(_zone_names())))
+    return [r.z for r in found.collect()]
 
 
 _PARSED = T.StructType(

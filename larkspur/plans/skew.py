@@ -39,5 +39,8 @@ def semi_join_split(rows: DataFrame, key: str, keys: DataFrame, hot: list) -> Da
 def row_hash(df: DataFrame) -> Column:
     """Hash of a whole row, in which a null differs from a value that is not there."""
     columns = [F.col(f"`{c}`") for c in df.columns]
-    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    nulls = F.lit(0).cast("long")
+    for i, c in enumerate(columns):
+        # Bit by bit; a table of more than 60 columns takes further words of the sum, which a hash may well share.
+        nulls = nulls + F.when(c.isNull(), F.lit(1 << (i % 60)).cast("long")).otherwise(F.lit(0).cast("long"))
     return F.xxhash64(*columns, nulls)

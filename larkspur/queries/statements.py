@@ -700,12 +700,13 @@ def sqf_string_all(spark, d):
 
 
 @_query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS first, CAST(NULL AS DOUBLE) AS none, p_size IN (3, 7) AS there, CAST(4 AS BIGINT) AS pushed, CAST(9 AS DOUBLE) AS last, CAST(2 AS BIGINT) AS fewer,
-           sqrt(p_size * p_size + 25.0) AS far, false AS nil, p_size = 7 AS same, p_size > 5 AND NOT p_size > 9 OR p_size = 1 AS logic, CAST(p_size AS DOUBLE) AS shown, true AS unknown FROM part""")
+           sqrt(p_size * p_size + 25.0) AS far, false AS nil, p_size = 7 AS same, p_size > 5 AND NOT p_size > 9 OR p_size = 1 AS logic, CAST(p_size AS DOUBLE) AS shown, true AS unknown, CAST(p_size + 1 AS DOUBLE) AS host, CAST(p_size AS DOUBLE) AS setter, true AS nular FROM part""")
 def sqf_array_all(spark, d):
     v = {"_x": F.col("p_size").cast("double")}
     said = {
         "first": "[_x, 5, 6] select 0", "none": "[_x, 5, 6] select 9", "there": "_x in [3, 7]", "pushed": "count ([_x, 5, 6] pushBack 9)", "last": "([_x, 5, 6] pushBack 9) select 3", "fewer": "count ([_x, 5, 6] deleteAt 0)",
         "far": "vectorMagnitude [_x, 3, 4]", "nil": "isNil _x", "same": "_x isEqualTo 7", "logic": "_x > 5 && !(_x > 9) || _x == 1", "shown": "hint _x", "unknown": "isNil _nothing",
+        "host": "diag_log (_x + 1)", "setter": "_x setDamage 3", "nular": "isNil allPlayers",
     }
     kinds = {"pushed": "long", "fewer": "long"}
     return table(spark, d, "part").select("p_partkey", *[script.column(e, v).cast(kinds[n]).alias(n) if n in kinds else script.column(e, v).alias(n) for n, e in said.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -46,5 +47,7 @@ class Files:
         stream = fs.open(where)
         try:
             return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Py4JJavaError as e:
+            raise OSError(f"cannot read {path}: {e.java_exception.getMessage()}") from None
         finally:
             stream.close()

@@ -36,7 +36,9 @@ def save(session: Session, path: str) -> None:
     files, staging, backup = Files(session.spark), path + ".tmp", path + ".bak"
     files.delete(staging)
     for name, df in session.state.tables.items():
-        df.write.parquet(f"{staging}/{name}")
+        # Sorted files by the ordered indexes, so that a scan with a condition on them skips most row groups.
+        ordered = [c for _, c, kind in session.state.meta[name].indexes if kind == "btree" and c in df.columns]
+        (df.sortWithinPartitions(*ordered) if ordered else df).write.parquet(f"{staging}/{name}")
     meta = {"tables": {n: m.describe() for n, m in session.state.meta.items()}, "views": session.state.views, "sequences": session.state.sequences}
     files.write(f"{staging}/_meta.json", json.dumps(meta, indent=1))
     if files.exists(path):

@@ -141,3 +141,8 @@ def test_store_round_trip(spark, tmp_path):
 def test_array_literals(spark):
     df = spark.createDataFrame([("[1,'a',nil]",), ("[1,",), (None,)], "t string")
     assert [r.j for r in text.literal_to_json(df, "t", "j").collect()] == ['[1, "a", null]', None, None]
+
+
+def test_host_commands_give_their_first_operand():
+    assert script.evaluate("diag_log 5") == 5 and script.evaluate("3 setDamage 4") == 3 and script.evaluate("allPlayers") is None
+    assert script.evaluate("diag_log (2 + 3) * 2") == 10 and script.evaluate("hint sqrt 9") == 3

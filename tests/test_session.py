@@ -163,3 +163,35 @@ def test_copy(s):
     s.sql("CREATE TABLE c (a INT, b TEXT, f FLOAT)")
     assert s.copy_from("c", "# comment\n1,x,1.5\n2,NULL,2\n") == 2
     assert rows(s.sql("SELECT * FROM c")) == [(1, "x", 1.5), (2, None, 2.0)]
+
+
+def test_words_inside_literals_are_no_clauses(s):
+    s.sql("CREATE TABLE q (id INT, s TEXT DEFAULT 'a, b (c) not null', CHECK (s <> 'x where y'))")
+    s.sql("INSERT INTO q VALUES (1, ' returning s on conflict do nothing'), (2, 'values (3)')")
+    s.sql("INSERT INTO q (id) VALUES (3)")
+    assert rows(s.sql("UPDATE q SET s = s || ' where 1 = 2 returning' WHERE s LIKE '% where %' OR id = 2 RETURNING id, s")) == [(2, "values (3) where 1 = 2 returning")]
+    assert rows(s.sql("SELECT s FROM q WHERE id = 3")) == [("a, b (c) not null",)]
+    with pytest.raises(ConstraintError):
+        s.sql("INSERT INTO q VALUES (4, 'x where y')")
+    assert s.sql("DELETE FROM q WHERE s = ' using t where'").first()[0] == 0
+
+
+def test_triggers_of_triggers_and_rollback(s):
+    s.run("CREATE TABLE a (v INT); CREATE TABLE b (v INT); CREATE TABLE c (v INT)")
+    s.sql("CREATE TRIGGER one AFTER INSERT ON a BEGIN INSERT INTO b VALUES (NEW.v + 1), (NEW.v + 2); INSERT INTO c SELECT NEW.v FROM a WHERE a.v = NEW.v; END")
+    s.sql("CREATE TRIGGER two AFTER INSERT ON b WHEN NEW.v > 10 BEGIN SELECT RAISE(ABORT, 'too much'); END")
+    s.sql("INSERT INTO a VALUES (1), (5)")
+    assert rows(s.sql("SELECT v FROM b")) == [(2,), (3,), (6,), (7,)] and rows(s.sql("SELECT v FROM c")) == [(1,), (5,)]
+    with pytest.raises(ConstraintError, match="too much"):
+        s.sql("INSERT INTO a VALUES (9)")
+    assert [one(s.sql(f"SELECT count(*) FROM {t}")) for t in "abc"] == [2, 4, 2]
+    s.sql("CREATE TRIGGER loop AFTER INSERT ON c BEGIN INSERT INTO c VALUES (NEW.v); END")
+    with pytest.raises(RecursionError):
+        s.sql("INSERT INTO c VALUES (1)")
+    assert one(s.sql("SELECT count(*) FROM c")) == 2
+
+
+def test_equal_subqueries_run_once(s):
+    s.register("t", s.spark.range(100).toDF("v"))
+    plan = s.sql("SELECT v, (SELECT max(v) FROM t) AS m FROM t WHERE v < (SELECT max(v) FROM t)")._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedSubquery" in plan or plan.count("Subquery") >= 2
