@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 #: A text longer than this, runs of blanks counted as one, names no instant: the longest form, with the longest zone
 #: name and a fraction of 300 digits, stays below.
 MAX_CHARS = 400
+#: Runs of blanks are only looked for in texts longer than this.
+SHORT = 80
 _BLANKS = " \t\r\n\f\v "
 #: English month names in calendar order.
 _MONTHS = "january february march april may june july august september october november december".split()
@@ -79,7 +81,10 @@ def parse(texts: pa.Array, month_first: pa.Array, dotted_too: pa.Array | None =
     ok, settled = np.zeros(n, bool), np.zeros(n, bool)
     places: list[str] = [""]
     place = np.zeros(n, np.int32)
-    t = pc.replace_substring_regex(pc.utf8_trim(texts.cast(pa.string()), characters=_BLANKS), r"[\s\v]{2,}", " ")
+    t = pc.utf8_trim(texts.cast(pa.string()), characters=_BLANKS)
+    long = pc.fill_null(pc.greater(pc.binary_length(t), SHORT), False)
+    if pc.any(long).as_py():
+        t = pc.replace_with_mask(t, long, pc.replace_substring_regex(t.filter(long), r"[\s\v]{2,}", " "))
     t = pc.if_else(pc.fill_null(pc.less_equal(pc.binary_length(t), MAX_CHARS), False), t, "")
     if isinstance(t, pa.ChunkedArray):
         t = t.combine_chunks()

@@ -173,7 +173,8 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     the evidence) or follow it too (``dotted="server"``).  A numeric offset wins
     over a bracketed zone name beside it; a bracketed name alone may be any IANA
     zone, in any case.  An abbreviation is looked up in the server's zone.  Any
-    year from 1 to 9999 is resolved.
+    year from 1 to 9999 is resolved.  (A stream cannot be asked which zones it
+    names, so its interval table holds all IANA zones.)
     """
     if dotted not in ("dmy", "server"):
         raise ValueError("dotted must be 'dmy' or 'server'")
@@ -202,7 +203,8 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
         F.when(c("_ls_p.off_s").isNull(), like).alias("_ls_year"),
         (moved.cast("long") * 86_400).alias("_ls_moved"),
     )
-    spans = zone_intervals(spark, [*zones, *named_zones(df, text)]).withColumnsRenamed({"zone": "_ls_z", "local_year": "_ls_y", "spans": "_ls_spans"})
+    named = list(_zone_names()) if df.isStreaming else named_zones(df, text)
+    spans = zone_intervals(spark, [*zones, *named]).withColumnsRenamed({"zone": "_ls_z", "local_year": "_ls_y", "spans": "_ls_spans"})
     x = x.join(F.broadcast(spans), (c("_ls_zone") == c("_ls_z")) & (c("_ls_year") == c("_ls_y")), "left")
     second = F.floor(c("_ls_base") / F.lit(1_000_000.0)).cast("long") - c("_ls_moved")
     hit = F.when(c("_ls_abbr") == "", F.filter("_ls_spans", lambda i: (i.lo <= second) & (second < i.hi))).otherwise(

@@ -7,6 +7,7 @@ from larkspur.operators.entity_features import entity_features, type_vocabulary
 from larkspur.operators.history import versions
 from larkspur.operators.references import Reference, live_keys, orphan_report, orphans, plain_keys
 from larkspur.operators.sessions import sessions
+from larkspur.plans.skew import row_hash
 
 S = 1_000_000
 
@@ -147,3 +148,24 @@ def test_versions_of_late_corrected_and_tied_rows(spark):
     assert rows(versions(empty, "uid", "day", ["xp"], F.lit(0), F.col("loaded"), fill=True).select("xp", "is_current")) == [(None, True)]
     assert versions(empty, "uid", "day", ["xp"], F.lit(0), F.col("loaded"), skip_empty=True).count() == 0
     assert versions(df.limit(0), "uid", "day", ["xp"], F.lit(0), F.col("loaded")).count() == 0
+
+
+def test_a_row_hash_tells_null_from_absence(spark):
+    df = spark.createDataFrame([(1, None, "a"), (None, 1, "a"), (1, None, "a"), (None, None, None), (1, 1, "a")], "x long, y long, s string")
+    assert df.select(row_hash(df).alias("h")).distinct().count() == 4
+
+
+def test_features_of_a_hot_entity(spark):
+    """One entity holds most rows and all types; blocks, batches and folds cut through it."""
+    df = spark.range(300_000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 3000).alias("who"), F.concat(F.lit("t"), F.col("id") % 200).alias("kind"),
+        (F.col("id") % 2).alias("flag"), (F.col("id") % 11).alias("amount"), F.col("id").alias("at"),
+    )
+    types = sorted(f"t{k}" for k in range(200))
+    wide = entity_features(df, "who", "kind", types, "flag", "amount", "at")
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity" in plan
+    cells = F.array(*[F.struct(F.lit(t).alias("kind"), *[F.col(f"{f}__{t}").alias(f) for f in ("n", "flags", "total", "latest")]) for t in types])
+    long = wide.select("who", F.inline(F.filter(cells, lambda c: c.n > 0)))
+    want = df.groupBy("who", "kind").agg(F.count("*").alias("n"), F.sum("flag").alias("flags"), F.sum("amount").alias("total"), F.max("at").alias("latest"))
+    assert long.exceptAll(want).count() == 0 and want.exceptAll(long).count() == 0
