@@ -236,9 +236,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     # Only starts are asked for, so the hash of the rank stands for it.
     for name, log in (("players", _rank_log(spark, d, "if(rank IS NULL, NULL, xxhash64(rank))")), ("progression", _progress_log(spark, d))):
         starts = version_starts(**log).filter("NOT _gone")
-        part = starts.select(F.lit(name).alias("source_table"), F.col("_k").alias("uid"), F.expr("CAST(floor(_at / 1000000.0D) AS bigint)").alias("valid_from_s"))
+        # A second lies in one bucket, so rows of one second meet where the buckets lie anyway.
+        starts = starts.select("_k", "_bucket", F.expr("CAST(floor(_at / 1000000.0D) AS bigint)").alias("valid_from_s")).distinct()
+        part = starts.select(F.lit(name).alias("source_table"), F.col("_k").alias("uid"), "valid_from_s")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 _P6_CTES = """
