@@ -130,6 +130,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Containers in use against the least number that the tokens need."""
+    one = p8_containers(spark, d).agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    least = F.ceil(F.col("tokens") / F.lit(float(CAPACITY)))
+    return one.select("containers", "tokens", least.alias("least"), (F.col("tokens") / (F.col("containers") * CAPACITY)).alias("used"))
+
+
 def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Every document: how often it is packed from its begin, and whether its containers hold what they say and no more."""
     pieces = p8_containers(spark, d)
@@ -157,7 +164,7 @@ def p10_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_digests, p2_percentiles, p2_merged_blocks, p2_ranges, p2_counted, p8_containers, p8_fill, p8_coverage, p9_found, p10_found, p10_mix)
+    f.__name__: f for f in (p2_digests, p2_percentiles, p2_merged_blocks, p2_ranges, p2_counted, p8_containers, p8_fill, p8_bound, p8_coverage, p9_found, p10_found, p10_mix)
 }
 
 SQL: dict[str, str] = {"p2_ranges": P2_RANGES_SQL, "p2_counted": P2_COUNTED_SQL, "p8_coverage": P8_COVERAGE_SQL}
