@@ -138,6 +138,31 @@ REFERENCES = [
 CHAINED = [Reference("player_blobs", "player_uid", "player_loadouts"), Reference("session_stats", "uid", "players", (0,))]
 
 
+#: Servers of p4_event_times: id, zone, date order.
+_CLOCKS = [(0, "UTC", "dmy"), (1, "Asia/Kolkata", "dmy"), (2, "Europe/Berlin", "dmy"), (3, "America/New_York", "mdy")]
+
+
+def p4_event_times(spark: SparkSession, d: str) -> DataFrame:
+    """The operator of p4 over the events' times, written in six ways on four servers' clocks."""
+    written = F.when(F.col("event_id") % 6 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    forms = ("dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss '+0530'", "d MMM yyyy, h:mm:ss a")
+    for k, form in enumerate(forms, 1):
+        written = written.when(F.col("event_id") % 6 == k, F.date_format("ts", form))
+    written = written.otherwise(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
+    log = table(spark, d, "events").select("event_id", written.alias("text"), F.floor(F.col("event_id") / 6).cast("long").alias("k"))
+    servers = spark.createDataFrame(_CLOCKS, "server_id long, zone string, date_order string")
+    log = log.withColumn("server_id", F.pmod("k", F.lit(len(_CLOCKS))))
+    return with_utc_micros(log, "text", "utc_us", servers).select("event_id", "utc_us")
+
+
+# All events lie in winter, so each clock has one offset.
+P4_EVENT_TIMES_SQL = """
+WITH e AS (SELECT event_id, event_id % 6 AS form, (event_id // 6) % 4 AS server, epoch_us(ts) AS t FROM events),
+o AS (SELECT *, CASE server WHEN 1 THEN 19800 WHEN 2 THEN 3600 WHEN 3 THEN -18000 ELSE 0 END * 1000000::BIGINT AS off FROM e)
+SELECT event_id, CAST(CASE form WHEN 0 THEN t - off WHEN 2 THEN t - t % 1000000 WHEN 3 THEN t - t % 1000000 - 19800000000 WHEN 5 THEN t - t % 1000 ELSE t - t % 1000000 - off END AS BIGINT) AS utc_us FROM o
+"""
+
+
 def _references(spark: SparkSession, d: str, refs: list[Reference]) -> DataFrame:
     t = {n: table(spark, d, n) for n in {"players", "loadout_templates", *(r.child for r in refs)}}
     t["kill_events"] = t["kill_events"].withColumn("period", F.floor(F.col("id") / 100_000))
@@ -280,13 +305,34 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p7_order_items(spark: SparkSession, d: str) -> DataFrame:
+    """The operator of p7 over nested texts made of whole orders: an item per line with its supplier inside."""
+    line = table(spark, d, "lineitem").select(
+        "l_orderkey",
+        F.struct(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+            F.concat(F.lit("part-"), "l_partkey").alias("class"), F.col("l_quantity").cast("long").alias("count"),
+            F.array(F.struct(F.concat(F.lit("supplier-"), "l_suppkey").alias("class"))).alias("contents"),
+        ).alias("x"),
+    )
+    texts = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("gear"))
+    return gear_items(texts.select("l_orderkey", F.to_json(F.struct("gear")).alias("text")), "orders", "l_orderkey", "text")
+
+
+P7_ORDER_ITEMS_SQL = """
+WITH l AS (SELECT *, 'gear.' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) AS path FROM lineitem)
+SELECT 'orders' AS source_table, CAST(l_orderkey AS VARCHAR) AS row_key, path AS item_path, NULL AS parent_path, 1 AS depth, 'part-' || l_partkey AS class, CAST(trunc(l_quantity) AS BIGINT) AS count FROM l
+UNION ALL SELECT 'orders', CAST(l_orderkey AS VARCHAR), path || '.contents.0', path, 2, 'supplier-' || l_suppkey, NULL FROM l
+"""
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_items(spark, d).select("source_table", "row_key", "item_path")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_features, p1_type_totals, p1_event_features, p3_found, p3_sessions, p3_event_sessions, p4_found, p5_found, p5_report, p6_found, p6_versions, p7_found, p7_items)
+    for f in (p1_features, p1_type_totals, p1_event_features, p3_found, p3_sessions, p3_event_sessions, p4_found, p4_event_times, p5_found, p5_report, p6_found, p6_versions, p7_found, p7_items, p7_order_items)
 }
 
-SQL = {"p1_type_totals": P1_TYPE_TOTALS_SQL, "p1_event_features": P1_EVENT_FEATURES_SQL, "p3_event_sessions": P3_EVENT_SESSIONS_SQL, "p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL, "p6_versions": P6_VERSIONS_SQL}
+SQL = {"p1_type_totals": P1_TYPE_TOTALS_SQL, "p1_event_features": P1_EVENT_FEATURES_SQL, "p3_event_sessions": P3_EVENT_SESSIONS_SQL, "p4_event_times": P4_EVENT_TIMES_SQL, "p7_order_items": P7_ORDER_ITEMS_SQL, "p5_found": P5_FOUND_SQL, "p5_report": P5_REPORT_SQL, "p6_found": P6_FOUND_SQL, "p6_versions": P6_VERSIONS_SQL}
