@@ -142,7 +142,9 @@ def named_zones(df: DataFrame, text: str) -> list[str]:
     tail = F.rtrim(F.substring_index(F.col(f"`{text}`"), "[", -1))
     name = F.lower(F.rtrim(tail, F.lit("]")))
     # Distinct first: the names are few, the rows are many.
-    found = df.filter(F.contains(F.col(f"`{text}`"), F.lit("["))).select(name.alias("z")).distinct().filter(F.col("z").isin(sorted(_zone_names())))
+    found = df.filter(F.contains(F.col(f"`{text}`"), F.lit("["))).select(name.alias("z")).distinct()
+    # One text to parse in place of some hundred literals to send.
+    found = found.filter("z IN ('" + "', '".join(sorted(_zone_names())) + "')")
     return [r.z for r in found.collect()]
 
 
@@ -191,7 +193,7 @@ def with_utc_micros(df: DataFrame, text: str, out: str, servers: DataFrame, serv
     x = x.withColumn("_ls_p", _parsed(c(f"`{text}`"), c("_ls_ts_order") == "mdy", F.lit(dotted == "server")))
     bracket = F.startswith(c("_ls_p.place"), F.lit("["))
     year = F.year(F.date_from_unix_date(F.floor(c("_ls_p.base_us") / F.lit(86_400_000_000.0)).cast("int")))
-    like = F.when(year > LAST_YEAR, F.element_at(F.array(*[F.lit(y) for y in _like_years()]), F.pmod(year, F.lit(400)) + 1)).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
+    like = F.when(year > LAST_YEAR, F.element_at(F.expr(f"array({', '.join(map(str, _like_years()))})"), F.pmod(year, F.lit(400)) + 1)).otherwise(F.greatest(year, F.lit(FIRST_YEAR)))
     moved = F.when(year > LAST_YEAR, F.unix_date(F.make_date(year, F.lit(1), F.lit(1))) - F.unix_date(F.make_date(like, F.lit(1), F.lit(1)))).otherwise(F.lit(0))
     x = x.select(
         *[c(f"`{k}`") for k in df.columns],
