@@ -189,3 +189,28 @@ def test_an_item_longer_than_a_piece(spark, words):
     bitmap = np.zeros(1 << 22, bool)
     bitmap[leakage._slot(index.grams)] = True
     assert len(leakage.matches([docs[0][1]], index, bitmap)[0][2]) > 8800
+
+
+def test_recall_on_nested_and_repeated_items_and_a_passage_in_one_percent(spark, words):
+    rng = random.Random(21)
+    inner, plain = words(50), words(90)
+    items = [(1, inner), (2, f"{words(20)} {inner} {words(20)}"), (3, plain), (4, plain), (5, words(90))]
+    common = " ".join(items[4][1].split()[30:56])
+    docs, want = [], set()
+    for d in range(1000):
+        body = words(rng.randrange(60, 160)).split()
+        if d % 100 == 7:  # one percent, everywhere in other surroundings
+            body[30:30] = common.split()
+            want.add((d, 5))
+        elif d % 50 == 3:
+            start = rng.randrange(20)
+            body[20:20] = inner.split()[start : start + 27]
+            want |= {(d, 1), (d, 2)}
+        elif d % 50 == 9:
+            start = rng.randrange(50)
+            body[20:20] = plain.split()[start : start + 32]
+            body[20 + 11] = "changed"
+            want |= {(d, 3), (d, 4)}
+        docs.append((d, " ".join(body)))
+    found = leaks(spark, docs, items)
+    assert len(found & want) / len(want) > 0.9 and len(found & want) / len(found) > 0.99
