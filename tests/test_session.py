@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from table_rows import rows
 
@@ -195,3 +197,68 @@ def test_equal_subqueries_run_once(s):
     s.register("t", s.spark.range(100).toDF("v"))
     plan = s.sql("SELECT v, (SELECT max(v) FROM t) AS m FROM t WHERE v < (SELECT max(v) FROM t)")._jdf.queryExecution().executedPlan().toString()
     assert "ReusedSubquery" in plan or plan.count("Subquery") >= 2
+
+
+def test_a_stats_mod_end_to_end(s):
+    """The life of a small statistics table: tables, events, boards, retention."""
+    s.run("""
+        CREATE TABLE IF NOT EXISTS stats (uid INTEGER PRIMARY KEY, name TEXT NOT NULL, kills INTEGER DEFAULT 0, score INTEGER DEFAULT 0, team TEXT DEFAULT 'RED', seen TEXT DEFAULT '');
+        CREATE TABLE IF NOT EXISTS hits (id INTEGER PRIMARY KEY, ts TEXT, who INTEGER, target INTEGER, weapon TEXT, far INTEGER, head INTEGER DEFAULT 0);
+        CREATE TABLE IF NOT EXISTS stats (other INT);
+        INSERT INTO stats (name, kills) VALUES ('Ann', 0);
+        INSERT OR IGNORE INTO stats (uid, name) VALUES (76561198000000001, 'Bob'), (1, 'again');
+        INSERT INTO hits (ts, who, target, weapon, far, head) VALUES (datetime('now'), 1, 2, 'bow', 300, 1), (datetime('now', '-8 days'), 1, 2, 'bow', 100, 0), (datetime('now', '-2 hours'), 2, 1, 'axe', 2, 0);
+        UPDATE stats SET seen = datetime('now'), kills = (SELECT count(*) FROM hits WHERE who = uid) WHERE uid = 1
+    """)
+    assert rows(s.sql("SELECT name, kills, length(seen) FROM stats")) == [("Ann", 2, 19), ("Bob", 0, 0)]
+    assert rows(s.sql("SELECT weapon, COUNT(*) AS n, AVG(far) AS a, SUM(head) AS h FROM hits GROUP BY weapon ORDER BY n DESC")) == [("axe", 1, 2.0, 0), ("bow", 2, 200.0, 1)]
+    assert one(s.sql("SELECT COUNT(*) FROM hits WHERE ts > datetime('now', '-1 day')")) == 2
+    assert rows(s.sql("SELECT who, target, COUNT(*) AS times FROM hits WHERE (who, target) IN (SELECT who, target FROM hits GROUP BY who, target HAVING COUNT(*) > 1) GROUP BY who, target")) == [(1, 2, 2)]
+    assert one(s.sql("DELETE FROM hits WHERE ts < datetime('now', '-7 days')")) == 1
+    assert rows(s.sql("SELECT s.name, COUNT(h.id) AS n FROM stats s LEFT JOIN hits h ON s.uid = h.who GROUP BY s.name")) == [("Ann", 1), ("Bob", 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_writes_against_a_dictionary(s, seed):
+    rng = random.Random(seed)
+    s.sql("CREATE TABLE kv (k INT PRIMARY KEY, v INT CHECK (v < 50))")
+    model = {}
+    for _ in range(14):
+        ks = rng.sample(range(8), 3)
+        vs = [rng.choice([None, rng.randrange(60)]) for _ in ks]
+        values = ", ".join(f"({k}, {'NULL' if v is None else v})" for k, v in zip(ks, vs))
+        after = dict(model)
+        match rng.randrange(6):
+            case 0:
+                sql = f"INSERT INTO kv VALUES {values}"
+                after |= dict(zip(ks, vs))
+                fine = not set(ks) & set(model)
+            case 1:
+                sql = f"INSERT OR IGNORE INTO kv VALUES {values}"
+                after |= {k: v for k, v in zip(ks, vs) if k not in model}
+                fine = True
+            case 2:
+                sql = f"REPLACE INTO kv VALUES {values}"
+                after |= dict(zip(ks, vs))
+                fine = True
+            case 3:
+                sql = f"INSERT INTO kv VALUES {values} ON CONFLICT (k) DO UPDATE SET v = v + excluded.v"
+                after |= {k: (None if v is None or model[k] is None else model[k] + v) if k in model else v for k, v in zip(ks, vs)}
+                fine = True
+            case 4:
+                sql = f"UPDATE kv SET v = v + 5 WHERE k IN ({ks[0]}, {ks[1]}) OR v > 40"
+                after |= {k: None if v is None else v + 5 for k, v in model.items() if k in ks[:2] or (v or 0) > 40}
+                fine = True
+            case _:
+                sql = f"DELETE FROM kv WHERE k = {ks[0]} OR v < {rng.randrange(30)}"
+                limit = int(sql.rsplit(" ", 1)[1])
+                after = {k: v for k, v in model.items() if not (k == ks[0] or (v is not None and v < limit))}
+                fine = True
+        changed = {k: v for k, v in after.items() if k not in model or model[k] != v}
+        if fine and all(v is None or v < 50 for v in changed.values()):
+            s.sql(sql)
+            model = after
+        else:
+            with pytest.raises(ConstraintError):
+                s.sql(sql)
+        assert dict(rows(s.sql("SELECT * FROM kv"))) == model, sql
