@@ -15,7 +15,7 @@
 3. *Calibration.*  Counts are kept per fold of the sample, so that the same pass
    gives the rules mined without each fold.  Every labelled document is scored by
    the rules that have not seen it; monotone regression of its labels on these
-   scores maps evidence to probability, and the least score of best F1 decides.
+   scores maps evidence to probability; what is likelier than half of the best F1 is given.
 
 Broadcast bound: the rules, which come from the bounded sample and are counted
 before they leave it (more than ``MAX_RULES`` is an error); nothing that grows
@@ -370,8 +370,8 @@ def score_documents(docs: DataFrame, rules: RuleSet, least: float = 0.0) -> Data
 
 
 def calibrate(rules: RuleSet, without: list[RuleSet], sample: DataFrame) -> RuleSet:
-    """``rules`` with the threshold of best F1 and the map from score to probability, both fitted on the sample's
-    documents as scored by the rules ``without`` their fold.  Where these give no score, ``rules`` stay as they are.
+    """``rules`` with the threshold for F1 (half of the best F1, as a probability) and the map from score to probability,
+    both fitted on the sample's documents as scored by the rules ``without`` their fold.  Where these give no score, ``rules`` stay as they are.
     """
     # Ids, labels and scores of the bounded sample come to the driver; its texts do not.
     labels = {r.doc_id: set(r.subjects) for r in sample.select("doc_id", "subjects").collect()}
@@ -389,8 +389,6 @@ def calibrate(rules: RuleSet, without: list[RuleSet], sample: DataFrame) -> Rule
     score, true = score[order], true[order]
     f1 = 2 * np.cumsum(true) / (np.arange(1, len(true) + 1) + max(1, wanted))
     f1[:-1] = np.where(score[:-1] == score[1:], 0, f1[:-1])
-    k = int(f1.argmax())
-    threshold = float((score[k] + score[min(k + 1, len(score) - 1)]) / 2)
     # Pool adjacent violators: blocks of (least score, labels, pairs) with rising shares.
     blocks: list[list[float]] = []
     for s, t in zip(score[::-1].tolist(), true[::-1].tolist()):
@@ -399,7 +397,12 @@ def calibrate(rules: RuleSet, without: list[RuleSet], sample: DataFrame) -> Rule
             last = blocks.pop()
             blocks[-1][1] += last[1]
             blocks[-1][2] += last[2]
-    return RuleSet(rules.subjects, rules.rules, threshold, tuple((b[0], b[1] / b[2]) for b in blocks))
+    steps = tuple((b[0], b[1] / b[2]) for b in blocks)
+    # A pair raises F1 as long as its probability is over half of the best F1.
+    at = next(k for k, (_, p) in enumerate(steps) if p >= float(f1.max()) / 2)
+    below = steps[at - 1][0] if at else 0.0
+    last = max((s for s in score.tolist() if s < steps[at][0]), default=below)
+    return RuleSet(rules.subjects, rules.rules, (last + steps[at][0]) / 2, steps)
 
 
 def subject_areas(docs: DataFrame, areas: DataFrame, labels: DataFrame, max_documents: int = 6000, scores: bool = False) -> DataFrame:
