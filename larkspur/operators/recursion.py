@@ -1,4 +1,4 @@
-"""Recursive queries with set semantics (UNION without ALL)."""
+"""Recursive queries with set semantics (UNION without ALL), and the row limit of Spark's own with UNION ALL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.plans.materialize import cut
 
@@ -14,6 +14,19 @@ from larkspur.plans.materialize import cut
 #: Rounds after which what is known is written anew as one frame.
 COMPACT_EVERY = 16
 
+#: Spark's setting for the rows that a recursion with UNION ALL may have in all; -1 stands for any number.
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
+
+
+def lift_row_limit(spark: SparkSession) -> None:
+    """Let recursions with UNION ALL have any number of rows, where Spark ends them by an error at a million.
+
+    The setting is read when a query runs, so it stays in the session.  A limit
+    that is set already is kept; that of levels still ends endless recursions.
+    """
+    if spark.conf.get(ROW_LIMIT, None) is None:
+        spark.conf.set(ROW_LIMIT, "-1")
+
 
 def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 100) -> DataFrame:
     """Least fixpoint of ``seed`` under ``step`` as a set; ends on cycles too.

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from larkspur.functions import script
 from larkspur.operators import dml
 from larkspur.operators.fuzzy import SQL_FUNCTIONS
-from larkspur.operators.recursion import recursive_distinct
+from larkspur.operators.recursion import lift_row_limit, recursive_distinct
 from larkspur.plans import rewrite
 from larkspur.plans.catalog import CatalogError, Column, ConstraintError, ForeignKey, State, TableMeta, Trigger, sql_type
 from larkspur.plans.materialize import cut
@@ -72,6 +72,7 @@ class Session:
         self._depth = 0
         for statement in SQL_FUNCTIONS:
             spark.sql(statement)
+        lift_row_limit(spark)
         ship(spark)
         spark.udf.register("sqf_eval", script.evaluator())
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.operators.fuzzy import SQL_FUNCTIONS
+from larkspur.operators.recursion import lift_row_limit
 from larkspur.plans.rewrite import lex, recursive_union, to_spark
 from larkspur.plans.skew import row_hash
 from larkspur.sources.tables import table
@@ -192,6 +193,8 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
             raw.withColumn("row_hash", row_hash(raw)).createOrReplaceTempView(name)
         if recursive_union(text):
             return Session(spark).sql(text)
+        if "recursive" in words:
+            lift_row_limit(spark)
         if "fuzzy" in text or "fts_score" in text or "%%" in text:
             for statement in SQL_FUNCTIONS:
                 spark.sql(statement)

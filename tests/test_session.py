@@ -6,6 +6,9 @@ from table_rows import rows
 from larkspur.plans.catalog import CatalogError, ConstraintError
 from larkspur.plans.rewrite import SqlError, bind, split_statements, to_spark
 from larkspur.plans.session import Session
+from larkspur.queries import registry
+
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 @pytest.fixture()
@@ -125,6 +128,35 @@ def test_recursive_distinct_on_a_cycle(s):
     assert rows(out) == [(1,), (2,), (3,)]
 
 
+def test_recursion_of_more_than_a_million_rows(s):
+    out = s.sql("WITH RECURSIVE t(k, depth) AS (SELECT id, 0 FROM range(600000) UNION ALL SELECT k, depth + 1 FROM t WHERE depth < 1) SELECT depth, count(*), count(DISTINCT k) FROM t GROUP BY depth")
+    assert rows(out) == [(0, 600_000, 600_000), (1, 600_000, 600_000)]
+    # The limit of levels ends what would not end, a limit of rows that is asked for holds, and LIMIT stops early.
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+        s.sql("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n FROM t) SELECT n FROM t").collect()
+    assert rows(s.sql("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t) SELECT n FROM t LIMIT 3")) == [(1,), (2,), (3,)]
+
+
+def test_a_limit_of_rows_that_is_set_is_kept(s):
+    text = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t"
+    s.spark.conf.set(ROW_LIMIT, "10")
+    try:
+        with pytest.raises(Exception, match="RECURSION_ROW_LIMIT_EXCEEDED"):
+            Session(s.spark).sql(text).collect()
+    finally:
+        s.spark.conf.unset(ROW_LIMIT)
+    assert len(Session(s.spark).sql(text).collect()) == 50
+
+
+def test_recursive_tree_over_more_than_a_million_parts(spark, tmp_path):
+    spark.conf.unset(ROW_LIMIT)
+    n = 1_100_000
+    spark.range(n, numPartitions=4).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    out = registry.queries()["recursive_tree"](spark, str(tmp_path)).groupBy("depth").agg({"*": "count", "k": "sum"})
+    want = [range(0 if d == 0 else 10**d, min(10 ** (d + 1), n)) for d in range(7)]
+    assert rows(out.select("depth", "count(1)", "sum(k)")) == [(d, len(keys), sum(keys)) for d, keys in enumerate(want)]
+
+
 def test_distinct_on_groups_and_concat(s):
     s.register("t", s.spark.createDataFrame([("a", 1), ("a", 3), ("a", 5), ("b", 10), ("b", None)], "g string, v int"))
     assert rows(s.sql("SELECT DISTINCT ON (g) g, v FROM t ORDER BY g, v DESC NULLS LAST")) == [("a", 5), ("b", 10)]
